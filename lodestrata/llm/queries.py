@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import canonical, duplicates, ledger, survivors
+from lodestrata.llm import canonical, duplicates, ledger, scan_noise, survivors
 from lodestrata.session import materialize
 from lodestrata.sources.tables import table
 
@@ -50,6 +50,25 @@ def p2_truths(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.truths(entries.withColumn("source", source), "group_id", "source", "verified_text")
 
 
+_SCANNED = ["original_text", "source_text", "verified_text"]
+
+
+def _noise(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "manual_review_decisions").select("decision_id", "document", "page", *_SCANNED)
+    return scan_noise.read_noise(rows, "document", "page", _SCANNED).select("decision_id", F.explode("noise").alias("n"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scan noise by decision and field."""
+    return _noise(spark, folder).select("decision_id", F.col("n.field").alias("field_name"), F.explode("n.kinds").alias("noise_kind")).distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text that had noise, in continuous paragraphs without it."""
+    noisy = _noise(spark, folder).where(F.size("n.kinds") > 0)
+    return noisy.select("decision_id", F.col("n.field").alias("field_name"), F.col("n.repaired").alias("text")).distinct()
+
+
 _VALUES = {"value_index": ("occurrence_id", "value"), "manual_review_decisions": ("decision_id", "original_text")}
 
 
@@ -72,6 +91,8 @@ def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_truths": p2_truths,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_spellings": p4_spellings,
     "p5_found": p5_found,
