@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import canonical, duplicates, ledger, scan_noise, survivors
+from lodestrata.llm import canonical, duplicates, leaks, ledger, reading_level, scan_noise, survivors
 from lodestrata.session import materialize
 from lodestrata.sources.tables import table
 
@@ -88,6 +88,51 @@ def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_rows")).where("n_spellings > 1")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with twelve or more consecutive words of an evaluation item."""
+    return _leaks(spark, folder).where(F.col("longest_run") >= leaks.WINDOW).select("doc_id", "item_id")
+
+
+def p8_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and item whose passages align, edited copies included, with the score."""
+    return _leaks(spark, folder)
+
+
+#: Shorter documents get no band.
+LEAST_CHARS = 400
+
+
+def _described(spark: SparkSession, folder: str) -> DataFrame:
+    english = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "n_chars", "text")
+    described = reading_level.features(english.select("doc_id", "text"), "doc_id", "text")
+    long_enough = english.where(F.col("n_chars") >= LEAST_CHARS).select("doc_id")
+    return materialize(described, "features").join(long_enough, "doc_id", "left_semi")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The reading band of every English document without a label."""
+    described, labels = _described(spark, folder), table(spark, folder, "level_labels")
+    bands = reading_level.fit_bands(described, labels, "doc_id", "reading_band")
+    if bands is None:
+        return spark.createDataFrame([], "doc_id BIGINT, reading_band INT")
+    return reading_level.predict_bands(described.join(labels, "doc_id", "left_anti"), bands, "doc_id")
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, mean share of unfamiliar words and mean sentence length by band and kind."""
+    described, labels = _described(spark, folder), table(spark, folder, "level_labels")
+    bands = reading_level.fit_bands(described, labels, "doc_id", "reading_band")
+    if bands is None:
+        return spark.createDataFrame([], "reading_band INT, n BIGINT, unfamiliar DOUBLE, sentence_words DOUBLE")
+    both = reading_level.predict_bands(described, bands, "doc_id").join(described, "doc_id")
+    share, words = F.avg(F.col("features")[reading_level.SHARES.index(0.02)]), F.avg(F.col("features")[len(reading_level.SHARES)])
+    return both.groupBy("reading_band").agg(F.count(F.lit(1)).alias("n"), F.round(share, 4).alias("unfamiliar"), F.round(words, 2).alias("sentence_words"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_truths": p2_truths,
@@ -97,4 +142,8 @@ QUERIES = {
     "p4_spellings": p4_spellings,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p8_found": p8_found,
+    "p8_alignments": p8_alignments,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
 }
