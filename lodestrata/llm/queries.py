@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import canonical, duplicates, leaks, ledger, reading_level, scan_noise, survivors
+from lodestrata.llm import canonical, duplicates, leaks, ledger, packing, reading_level, scan_noise, survivors
 from lodestrata.session import materialize
 from lodestrata.sources.tables import table
 
@@ -88,6 +88,27 @@ def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_rows")).where("n_spellings > 1")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document for every capacity; over-long documents in pieces."""
+    sizes = materialize(packing.token_counts(table(spark, folder, "documents"), "doc_id", "text"), "sizes")
+    parts = []
+    for spec in table(spark, folder, "pack_specs").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect():
+        packed = packing.pack(sizes, "doc_id", "tokens", spec["capacity_tokens"])
+        parts.append(packed.select(F.lit(spec["spec_id"]).alias("spec_id"), "doc_id", "piece", "container", "tokens"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers of each capacity, the least possible number, and the share of room used."""
+    used = p7_containers(spark, folder).groupBy("spec_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    share = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4)
+    return used.join(table(spark, folder, "pack_specs"), "spec_id").select("spec_id", "containers", least.alias("least_containers"), share.alias("used_share"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -142,6 +163,8 @@ QUERIES = {
     "p4_spellings": p4_spellings,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_alignments": p8_alignments,
     "p9_found": p9_found,
