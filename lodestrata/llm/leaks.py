@@ -25,8 +25,6 @@ from lodestrata.llm.canonical import canonical_text
 GRAM = 4
 #: So many consecutive words of an item are a leak; each such stretch has seeds.
 WINDOW = 12
-#: Seeds in each third of a stretch, so that one changed or divided word leaves others.
-THIRDS = 3
 #: Words of items that the workers get at a time; larger sets take several passes.
 BLOCK_WORDS = 2_000_000
 #: Scores of the alignment of words.
@@ -35,6 +33,7 @@ MATCH, MISMATCH, GAP = 2, -2, -1
 LEAST_SCORE = MATCH * WINDOW
 
 _WORD = re.compile(r"[^\W_]+")
+_LINE_BREAK = re.compile(r"[-¬=‐‑­][ \t]*\r?\n")
 _DIVIDED = re.compile(r"(?<=[^\W\d_])[-¬=‐‑­][ \t]*\r?\n[ \t>|]*(?=[^\W\d_])")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)]
 
@@ -80,18 +79,16 @@ class Items:
         self.seed_grams = np.zeros(0, np.int64)
 
     def choose(self, documents: dict[int, int]) -> None:
-        """Seeds: in each third of every stretch the n-gram that the fewest documents hold."""
+        """Seeds: of every stretch the n-gram that the fewest documents hold; on a tie the one chosen before."""
         seeds: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        span = (WINDOW - GRAM + 1) // THIRDS
         for item, at in enumerate(self.at):
             counts = [documents.get(int(g), 0) for g in at]
-            starts = range(max(1, len(at) - WINDOW + GRAM))
-            for s in starts:
-                for t in range(THIRDS):
-                    third = range(s + t * span, min(s + (t + 1) * span, len(at)))
-                    if third:
-                        i = min(third, key=lambda i: (counts[i], i))
-                        seeds[int(at[i])].add((item, i))
+            last = -1
+            for start in range(max(1, len(at) - WINDOW + GRAM)):
+                stretch = range(start, min(start + WINDOW - GRAM + 1, len(at)))
+                if stretch:
+                    last = min(stretch, key=lambda i: (counts[i], i != last, -i))
+                    seeds[int(at[last])].add((item, last))
         self.seeds = {g: sorted(x) for g, x in seeds.items()}
         self.seed_grams = np.array(sorted(self.seeds), np.int64)
 
@@ -105,10 +102,10 @@ class Items:
         owner: list[int] = []
         for i, text in enumerate(texts):
             if text:
-                read.append(words_of(text))
+                read.append(words_of(text, join=False))
                 owner.append(i)
-                if _DIVIDED.search(text):
-                    read.append(words_of(text, join=False))
+                if _LINE_BREAK.search(text):
+                    read.append(words_of(text))
                     owner.append(i)
         get = self.vocabulary.get
         sizes = [len(w) + GRAM for w in read]
@@ -154,8 +151,7 @@ class Items:
         get = self.vocabulary.get
         doc = np.array([get(w, 0) for w in words], np.int64)
         own = self.ids[item]
-        score, matched = smith_waterman(own, doc)
-        run = _longest_run(own, doc)
+        score, matched, run = smith_waterman(own, doc)
         if run < WINDOW <= len(own) and _holds_stretch(self.words[item], words):
             run = WINDOW
         return score, matched, run
@@ -173,36 +169,37 @@ def _regions(seeds: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in regions]
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best local alignment of two id sequences: score and number of matched words. Id 0 of ``b`` matches nothing.
+def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of two id sequences: score and matched words; and the longest run of equal words.
 
-    One row at a time; the gaps inside a row are a running maximum.
+    Id 0 of ``b`` matches nothing. One row at a time; the gaps inside a row are a
+    running maximum. Score and matches share a number, the score in its high part.
     """
-    if not len(a) or not len(b):
-        return 0, 0
     n = len(b)
-    slope = -GAP * np.arange(1, n + 1)
-    # score and matches in one number, the score first
+    if not len(a) or not n:
+        return 0, 0, 0
     unit = 1 << 20
-    above = np.zeros(n + 1, np.int64)
-    best = 0
-    for word in a:
-        step = np.where(b == word, MATCH * unit + 1, MISMATCH * unit)
-        row = np.maximum(np.maximum(above[:-1] + step, above[1:] + GAP * unit), 0)
-        row = np.maximum.accumulate(row + slope * unit) - slope * unit
-        above = np.concatenate([[0], np.maximum(row, 0)])
-        best = max(best, int(row.max()))
-    return best // unit, best % unit
-
-
-def _longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    above = np.zeros(len(b) + 1, np.int64)
-    best = 0
-    for word in a:
-        row = np.where(b == word, above[:-1] + 1, 0)
-        above = np.concatenate([[0], row])
-        best = max(best, int(row.max(initial=0)))
-    return best
+    slope = np.arange(1, n + 1, dtype=np.int64) * (-GAP * unit)
+    codes, rows = np.unique(a, return_inverse=True)
+    equal = codes[:, None] == b[None, :]
+    gain = np.where(equal, MATCH * unit + 1, MISMATCH * unit)
+    above, row, up = np.zeros(n + 1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    runs = np.zeros(n + 1, np.int64)
+    tops, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for code in rows:
+        np.add(above[:-1], gain[code], out=row)
+        np.add(above[1:], GAP * unit, out=up)
+        np.maximum(row, up, out=row)
+        np.maximum(row, 0, out=row)
+        row += slope
+        np.maximum.accumulate(row, out=row)
+        row -= slope
+        above[1:] = row
+        np.maximum(tops, row, out=tops)
+        runs[1:] = (runs[:-1] + 1) * equal[code]
+        np.maximum(longest, runs[1:], out=longest)
+    best = int(tops.max())
+    return best // unit, best % unit, int(longest.max())
 
 
 def _holds_stretch(item: list[str], words: list[str]) -> bool:
