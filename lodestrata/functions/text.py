@@ -66,8 +66,10 @@ def engine_text(c: Column) -> Column:
 
 
 def repair_mojibake(c: Column) -> Column:
-    repaired = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), mojibake(), F.coalesce(c, F.lit("")))
-    return F.replace(F.replace(repaired, F.lit("°℃"), F.lit("°C")), F.lit("℃"), F.lit("°C"))
+    """Symbols in place of what their bytes look like when read as Windows-1252; texts without such letters are not touched."""
+    repaired = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), mojibake(), c)
+    repaired = F.replace(F.replace(repaired, F.lit("°℃"), F.lit("°C")), F.lit("℃"), F.lit("°C"))
+    return F.coalesce(F.when(c.rlike("[ÂÃÎÏâ℃]"), repaired).otherwise(c), F.lit(""))
 
 
 def has_mojibake(c: Column) -> Column:
@@ -248,10 +250,11 @@ def page_key(c: Column) -> Column:
 
 def query_value(c: Column) -> Column:
     """The value that a query names, without command phrase and enclosing quotes."""
+    quoted = r"""^(['"])(.*)\1$"""
+    phrase = r"(?i)^(?:" + "|".join(p.replace(" ", r"\s+") for p in PHRASES) + r")\s+(.+)$"
     text = F.trim(c)
-    bare = lambda t: F.when(t.rlike(r"""^(['"]).*\1$""") & (F.length(t) >= 2), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    matches = [F.nullif(F.regexp_extract(text, rf"(?i)^\s*{phrase.replace(' ', chr(92) + 's+')}\s+(.+?)\s*$", 1), F.lit("")) for phrase in PHRASES]
-    return F.when(text.rlike(r"""^(['"]).*\1$""") & (F.length(text) >= 2), bare(text)).otherwise(bare(F.coalesce(*matches, text)))
+    unquoted = lambda t: F.trim(F.regexp_replace(t, quoted, "$2"))
+    return F.when(text.rlike(quoted), unquoted(text)).otherwise(unquoted(F.regexp_replace(text, phrase, "$1")))
 
 
 def content_words(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import core_problems, index_queries
+from lodestrata.plans import core_problems, index_queries, review_queries
 
-MODULES = [core_problems, index_queries]
+MODULES = [core_problems, index_queries, review_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
