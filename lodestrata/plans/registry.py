@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import core_problems, index_queries, review_queries
+from lodestrata.plans import core_problems, engine_queries, index_queries, review_queries
 
-MODULES = [core_problems, index_queries, review_queries]
+MODULES = [core_problems, index_queries, review_queries, engine_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return core_problems.p6_found(spark, folder)
+    """Cells of all records, their column roles, scored candidates, and every entity with the fields that hold it."""
+    return index_queries.agg3_entity_links(spark, folder)
