@@ -5,7 +5,7 @@ from __future__ import annotations
 from calendar import month_name
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that carry technical meaning and are read wrongly at a cost.
@@ -87,26 +87,19 @@ def comparison_form(c: Column) -> Column:
     return fold(t)
 
 
-def is_number(c: Column) -> Column:
-    """A number with grouping marks, or one followed by a short unit."""
-    t = F.trim(F.replace(F.translate(squash(c), "−–", "--"), F.lit(","), F.lit("")))
-    return t.rlike(rf"^{_PLAIN_NUMBER}(?:\s*[^\d\s]{{1,8}})?$")
+def _number(t: Column) -> Column:
+    cleaned = F.trim(F.replace(F.translate(t, "−–", "--"), F.lit(","), F.lit("")))
+    return cleaned.rlike(rf"^{_PLAIN_NUMBER}(?:\s*[^\d\s]{{1,8}})?$")
 
 
-def is_date(c: Column) -> Column:
-    return squash(c).rlike(rf"^(?:\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|(?i:{_MONTH}[- /]\d{{2,4}}))$")
-
-
-def is_boolean(c: Column) -> Column:
-    return fold(c).isin(BOOLEANS)
+def _date(t: Column) -> Column:
+    return t.rlike(rf"^(?:\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|(?i:{_MONTH}[- /]\d{{2,4}}))$")
 
 
-def identifier_score(c: Column) -> Column:
-    """How much a value is shaped like a code: 1, 0.9, 0.75, 0.55 or 0."""
-    t = squash(c)
+def _identifier(t: Column, plain: Column) -> Column:
     digit, upper = t.rlike(r"\d"), F.upper(t) == t
     return (
-        F.when((t == "") | (F.length(t) > 120) | is_number(c) | is_date(c), 0.0)
+        F.when((t == "") | (F.length(t) > 120) | plain, 0.0)
         .when(t.rlike(r"^[A-Za-z0-9]+(?:[-_/.:][A-Za-z0-9]+)+$"), 1.0)
         .when(~t.rlike(r"^[A-Za-z0-9]{2,32}$"), 0.0)
         .when(digit & upper, 0.9)
@@ -116,6 +109,24 @@ def identifier_score(c: Column) -> Column:
     )
 
 
+def is_number(c: Column) -> Column:
+    """A number with grouping marks, or one followed by a short unit."""
+    return _number(squash(c))
+
+
+def is_date(c: Column) -> Column:
+    return _date(squash(c))
+
+
+def is_boolean(c: Column) -> Column:
+    return fold(c).isin(BOOLEANS)
+
+
+def identifier_score(c: Column) -> Column:
+    """How much a value is shaped like a code: 1, 0.9, 0.75, 0.55 or 0."""
+    return _identifier(squash(c), is_number(c) | is_date(c))
+
+
 def value_type(c: Column) -> Column:
     return (
         F.when(squash(c) == "", "empty")
@@ -127,6 +138,15 @@ def value_type(c: Column) -> Column:
     )
 
 
+def with_types(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with kind, score, code (score of a code) and number of a column, built step by step so no rule is repeated."""
+    t = F.col("_t")
+    steps = df.withColumn("_t", squash(F.col(column))).withColumns({"number": _number(t), "_date": _date(t)})
+    steps = steps.withColumn("score", _identifier(t, F.col("number") | F.col("_date"))).withColumn("code", F.col("score") >= 0.75)
+    kind = F.when(t == "", "empty").when(F.col("_date"), "date").when(F.col("number"), "number").when(is_boolean(t), "boolean").when(F.col("code"), "identifier_like")
+    return steps.withColumn("kind", kind.otherwise("text")).drop("_t", "_date")
+
+
 def numeric_like(c: Column) -> Column:
     """The candidate dialect: what reads as a float once grouping marks and some signs are gone."""
     t = F.regexp_replace(F.regexp_replace(squash(c), ",", ""), "[%°±Ωμλ∆]", "")
@@ -270,9 +290,11 @@ def months() -> dict[str, int]:
 
 def month_of(c: Column) -> Column:
     """The month that a text names, null where it names none or several."""
+    known = F.create_map(*(x for name, n in months().items() for x in (F.lit(name), F.lit(n))))
     words = F.regexp_extract_all(fold(c), F.lit("[a-z]+"), F.lit(0))
-    numbers_ = F.array_distinct(F.array_compact(F.array(*(F.when(F.array_contains(words, name), F.lit(n)) for name, n in months().items()))))
-    return F.when(F.size(numbers_) == 1, numbers_[0])
+    named = F.array_distinct(F.array_compact(F.transform(words, lambda w: F.try_element_at(known, w))))
+    # bound to a lambda's argument, the array is computed once
+    return F.transform(F.array(named), lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0))))[0]
 
 
 def is_figure_caption(c: Column) -> Column:

@@ -26,9 +26,9 @@ def frequencies(fields: DataFrame) -> DataFrame:
 
 
 def candidate_evidence() -> tuple[Column, Column]:
-    """Score and evidence of a value from its column's roles and its frequencies."""
+    """Score and evidence of a value from its column's roles, its frequencies and its looks (columns ``looks_…``)."""
     role = lambda name: F.coalesce(F.col(f"{name}_score"), F.lit(0.0))
-    value, code = F.col("value"), text.code_like(F.col("value"))
+    code = F.col("looks_code")
     plain = (role("identifier") < 0.60) & ~code
     repeated = F.least(F.lit(0.10), 0.025 * F.col("value_frequency"))
     terms = [
@@ -37,8 +37,8 @@ def candidate_evidence() -> tuple[Column, Column]:
         ("repeated_value", F.col("value_frequency") >= 2, repeated),
         ("repeated_column_context", F.col("context_frequency") >= 2, F.lit(0.05)),
         ("cross_document_occurrence", F.col("document_frequency") >= 2, F.lit(0.10)),
-        ("temporal_suppression", (role("temporal") >= 0.70) | text.temporal_like(value), F.lit(-0.35)),
-        ("measurement_suppression", (role("measurement") >= 0.70) | text.numeric_like(value), F.lit(-0.45)),
+        ("temporal_suppression", (role("temporal") >= 0.70) | F.col("looks_temporal"), F.lit(-0.35)),
+        ("measurement_suppression", (role("measurement") >= 0.70) | F.col("looks_numeric"), F.lit(-0.45)),
         ("status_suppression", (role("status") >= 0.80) & plain, F.lit(-0.20)),
         ("parameter_suppression", (role("parameter") >= 0.80) & plain, F.lit(-0.10)),
         ("categorical_penalty", (role("categorical") >= 0.80) & plain, F.lit(-0.05)),
@@ -53,9 +53,12 @@ def scored_occurrences(fields: DataFrame, profiles: DataFrame) -> DataFrame:
     """Field occurrences that score as candidates, with score and evidence."""
     roles = profiles.select("table_id", "column_index", *(f"{r}_score" for r in ("identifier", "temporal", "measurement", "categorical", "parameter", "status")))
     keyed = fields.withColumn("key", text.fold(F.col("value"))).where("key <> ''")
-    joined = keyed.join(roles, ["table_id", "column_index"], "left").join(frequencies(fields), "key")
+    # looks are taken once per distinct value, and before the joins, so no expression repeats them
+    v = F.col("value")
+    looks = keyed.select("key", "value").distinct().withColumns({"looks_code": text.code_like(v), "looks_temporal": text.temporal_like(v), "looks_numeric": text.numeric_like(v)})
+    joined = keyed.join(roles, ["table_id", "column_index"], "left").join(frequencies(fields), "key").join(looks, ["key", "value"])
     score, evidence = candidate_evidence()
-    return joined.withColumns({"score": score, "evidence": evidence}).where(F.col("score") >= LEAST_SCORE)
+    return joined.withColumns({"score": score, "evidence": evidence}).where(F.col("score") >= LEAST_SCORE).drop("looks_code", "looks_temporal", "looks_numeric")
 
 
 def candidates(occurrences: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ ROLES = ["identifier", "temporal", "measurement", "categorical", "parameter", "s
 
 
 def typed(cells: DataFrame, column: str = "text") -> DataFrame:
-    """Cells with their lexical type and code score, computed once for all aggregates."""
-    return cells.withColumns({"kind": text.value_type(F.col(column)), "code": text.identifier_score(F.col(column)) >= 0.75})
+    """Cells with their lexical type (kind), whether they are shaped like a code, and whether they read as a number (numeric)."""
+    return text.with_types(cells, column).withColumnRenamed("number", "numeric").drop("score")
 
 
 def _share(condition: Column, among: Column) -> Column:
@@ -30,7 +30,7 @@ def row_ratios(cells: DataFrame) -> DataFrame:
     """For each row of a table: filled, text, number and code ratio, label evidence and the types in column order."""
     filled = F.col("kind") != "empty"
     short = F.length(text.squash(F.col("text"))) <= 40
-    label = 0.25 * _share(short, filled) + 0.25 * _share(~text.is_number(F.col("text")), filled) + 0.20 * _share(~F.col("code"), filled)
+    label = 0.25 * _share(short, filled) + 0.25 * _share(~F.col("numeric"), filled) + 0.20 * _share(~F.col("code"), filled)
     ratios = typed(cells).groupBy("table_id", "row_index").agg(
         _share(filled, F.lit(True)).alias("filled_ratio"),
         _share(F.col("kind") == "text", filled).alias("text_ratio"),
@@ -93,7 +93,7 @@ def column_profiles(cells: DataFrame, by: list[str], column: str = "text") -> Da
     """
     values = cells.select(*by, text.squash(F.col(column)).alias("text")).where(F.col("text") != "")
     spelled = values.groupBy(*by, "text").agg(F.count(F.lit(1)).alias("n"))
-    spelled = typed(spelled).withColumns({"key": text.fold(F.col("text")), "short": F.length("text") <= 40})
+    spelled = typed(spelled).drop("numeric").withColumns({"key": text.fold(F.col("text")), "short": F.length("text") <= 40})
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     keyed = spelled.groupBy(*by, "key").agg(
         F.sum("n").alias("n"),

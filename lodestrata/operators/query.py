@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text
 from lodestrata.operators.skew import skew_lookup
+from lodestrata.session import materialize
 
 #: Words of an entity's value at most, as it may stand in a question.
 VALUE_WORDS = 8
@@ -79,14 +80,14 @@ def answer_questions(questions: DataFrame, entities: DataFrame, evidence: DataFr
     the month that the question may name.
     """
     asked = questions.select("question").distinct()
-    named = skew_lookup(asked, resolve_entities(asked, entities), ["question"], "left")
+    named = materialize(skew_lookup(asked, resolve_entities(asked, entities), ["question"], "left"), "named")
     headers = evidence.select("entity_id", text.fold(F.col("header")).alias("header")).where("header <> ''").distinct()
     headers = headers.withColumn("word", F.explode(text.content_words(F.col("header"))))
     worded = named.where("entity_id IS NOT NULL").select("question", "entity_id", F.explode(text.content_words(F.col("question"))).alias("word"))
     scored = worded.join(headers, ["entity_id", "word"]).groupBy("question", "header").agg(F.count(F.lit(1)).alias("overlap"))
     best = scored.groupBy("question", "overlap").agg(F.count(F.lit(1)).alias("n"), F.min("header").alias("field"))
     best = best.groupBy("question").agg(F.max(F.struct("overlap", "n", "field")).alias("b")).select("question", F.col("b.n").alias("n_fields"), "b.field")
-    state = named.join(best, "question", "left").withColumn("month", text.month_of(F.col("question")))
+    state = materialize(named.join(best, "question", "left").withColumn("month", text.month_of(F.col("question"))), "state")
     wanted = state.where("n_fields = 1").select("question", "entity_id", "field", "month")
     rows = evidence.withColumn("field", text.fold(F.col("header")))
     facts = wanted.join(rows, ["entity_id", "field"])

@@ -23,10 +23,8 @@ def f1_text_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 def f8_value_types(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical types and code scores of all values."""
-    v = F.col("value")
     values = table(spark, folder, "value_index").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    typed = values.select(text.value_type(v).alias("kind"), text.identifier_score(v).alias("score"), "n")
-    return typed.groupBy("kind", "score").agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
+    return text.with_types(values, "value").groupBy("kind", "score").agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 def f9_candidate_looks(spark: SparkSession, folder: str) -> DataFrame:

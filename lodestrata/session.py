@@ -14,6 +14,8 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # small shuffles keep as many partitions as there are cores: text rules cost more than the rows weigh
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -45,3 +47,15 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A scan of few files is shuffled once; one that already has enough partitions
+    stays as it is. Only for plans without a shuffle: counting partitions runs the
+    stages before the last.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if partitions >= cores else df.repartition(cores)
