@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.canonical import canonical_text
+from lodestrata.session import spread
 
 #: Words of a seed.
 GRAM = 4
@@ -244,7 +245,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     without items the result is empty.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    texts = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
     parts: list[DataFrame] = []
     for block in item_blocks(items, item_key, item_text):
         given = spark.sparkContext.broadcast(block)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 #: Folder of the public tokenizers and the vocabulary that lengths are measured in.
 TOKENIZERS = "/opt/tokenizers"
@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 #: Groups of large lengths, and the part of the capacity up to which a document is small.
-GROUPS, SMALL = 24, 1 / 12
+GROUPS, SMALL = 64, 1 / 12
 #: Documents and containers that one task fills at most, on average.
 SHARD_ROWS = 40_000
 #: Parts that the documents of one length are ranked in.
@@ -57,7 +57,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/
             counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=[key, "tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, tokens INT")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, tokens INT")
 
 
 def group_lengths(lengths: np.ndarray, counts: np.ndarray, groups: int) -> list[tuple[int, int]]:
@@ -106,24 +106,23 @@ def layouts(groups: list[tuple[int, int]], capacity: int, rounds: int = 400) ->
 
 def _best_layout(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The layout worth most at the given prices: a knapsack over the capacity."""
-    value, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    least = int(sizes.min())
-    for c in range(least, capacity + 1):
-        fits = np.flatnonzero(sizes <= c)
-        worth = value[c - sizes[fits]] + prices[fits]
-        best = int(worth.argmax())
-        if worth[best] > value[c - 1] + 1e-12:
-            value[c], item[c] = worth[best], fits[best]
-        else:
-            value[c] = value[c - 1]
-    column, c = np.zeros(len(sizes), int), capacity
-    while c > 0:
-        if item[c] < 0:
-            c -= 1
+    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for g, (size, price) in enumerate(zip(sizes.tolist(), prices.tolist(), strict=True)):
+        if price <= 0:
             continue
-        column[item[c]] += 1
-        c -= int(sizes[item[c]])
-    return column, float(value[capacity])
+        for _ in range(capacity // size):  # one more document of the group each time
+            with_it = value[:-size] + price
+            better = np.flatnonzero(with_it > value[size:] + 1e-12)
+            if not len(better):
+                break
+            value[size + better] = with_it[better]
+            last[size + better] = g
+    column, c = np.zeros(len(sizes), int), int(value.argmax())
+    worth = float(value[c])
+    while last[c] >= 0:
+        column[last[c]] += 1
+        c -= int(sizes[last[c]])
+    return column, worth
 
 
 def _first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[list[int]]:
@@ -178,7 +177,6 @@ def _place_large(items: DataFrame, large: pd.DataFrame, key: str, capacity: int)
                 places.append((g, taken[g], taken[g] + n * count, bins, n))
                 taken[g] += n * count
         bins += count
-    starts = np.concatenate([[0], np.cumsum([n for _, n in groups])])
     first = np.concatenate([[0], np.cumsum(large["count"].to_numpy())])[:-1]
     # rank among all large documents, longest first: place of the length, of the part, and in the part
     positions = spark.createDataFrame([(int(t), int(f)) for t, f in zip(large["tokens"], first, strict=True)], "tokens INT, first BIGINT")
@@ -188,11 +186,8 @@ def _place_large(items: DataFrame, large: pd.DataFrame, key: str, capacity: int)
     within = F.row_number().over(Window.partitionBy("tokens", "part").orderBy(key)) - 1
     ranked = parted.withColumn("within", within).join(offsets, ["tokens", "part"]).join(F.broadcast(positions), "tokens")
     ranked = ranked.withColumn("rank", F.col("first") + F.col("offset") + F.col("within"))
-    group = F.lit(0)
-    for s in starts[1:-1]:
-        group = group + (F.col("rank") >= int(s)).cast("int")
-    start = F.element_at(F.array(*(F.lit(int(s)) for s in starts[:-1])), F.col("group") + 1)
-    ranked = ranked.withColumn("group", group).withColumn("at", F.col("rank") - start)
+    equal = groups[0][1]  # every group but the last holds so many
+    ranked = ranked.withColumns({"group": F.floor(F.col("rank") / equal).cast("int"), "at": F.col("rank") % equal})
     table = spark.createDataFrame([tuple(map(int, p)) for p in places], "place_group INT, low BIGINT, high BIGINT, bin BIGINT, n INT")
     fits = (F.col("group") == F.col("place_group")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
     container = F.concat(F.lit("c-"), (F.col("bin") + F.floor((F.col("at") - F.col("low")) / F.col("n"))).cast("string"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 #: A list of familiar words for each of these shares of the documents. The lowest share p bounds the
 #: lists: a document has so many different words d on average, so no more than d / p words reach it.
 SHARES = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3)
@@ -45,7 +47,7 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     def _counted(counts: Counter[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = texts.select(text).where(F.col(text).isNotNull())
+    rows = spread(texts.select(text).where(F.col(text).isNotNull()))
     return rows.mapInArrow(count, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -86,7 +88,7 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = [describe(t, lists.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[key, "features"])
 
-    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")))
     return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, features ARRAY<DOUBLE>")
 
 
