@@ -29,8 +29,7 @@ def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
     reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
     if strict:
         return reader.option("mode", "FAILFAST").schema(DOCUMENT).json(path)
-    found = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(f"{DOCUMENT}, _corrupt string").json(path)
-    return found.where("_corrupt IS NULL").drop("_corrupt")
+    return reader.option("mode", "DROPMALFORMED").schema(DOCUMENT).json(path)
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*", exclude_prefix: str | None = None) -> DataFrame:
