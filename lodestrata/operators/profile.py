@@ -48,8 +48,9 @@ def column_agreement(cells: DataFrame) -> DataFrame:
     A column counts if it has two values below; full agreement counts 1, a mix of
     text and codes one half. Rows are taken in their order, whatever their numbers.
     """
-    rows = typed(cells).withColumn("place", F.dense_rank().over(Window.partitionBy("table_id").orderBy("row_index")))
-    near = rows.where(F.col("place") <= CANDIDATES + ROWS_BELOW)
+    # only the first rows of a table matter: a row number under a limit is cut down before the shuffle, however long the table
+    numbered = cells.select("table_id", "row_index").distinct().withColumn("place", F.row_number().over(Window.partitionBy("table_id").orderBy("row_index")))
+    near = typed(cells.join(numbered.where(F.col("place") <= CANDIDATES + ROWS_BELOW), ["table_id", "row_index"]))
     # a row lies below each candidate up to five places above it: at most CANDIDATES copies of a row
     below = near.where(F.col("kind") != "empty").withColumn(
         "candidate", F.explode(F.filter(F.sequence(F.lit(1), F.lit(CANDIDATES)), lambda c: (F.col("place") > c) & (F.col("place") <= c + ROWS_BELOW)))

@@ -42,6 +42,6 @@ def coverage(expected: DataFrame, found: DataFrame, keys: list[str], owner: str)
 def empty_cells_with_evidence(cells: DataFrame, blocks: DataFrame, on: list[str], key: str) -> DataFrame:
     """Empty cells that a block of text on their page covers: their text was lost, not absent."""
     empty = cells.where((text.squash(F.col("text")) == "") & F.col("bbox").isNotNull())
-    seen = blocks.where((text.squash(F.col("text")) != "") & F.col("bbox").isNotNull()).select(*on, F.col("bbox").alias("_box"))
+    seen = blocks.where((text.squash(F.col("text")) != "") & F.col("bbox").isNotNull()).select(*on, F.col("bbox").alias("_box")).distinct()
     hit = empty.join(seen, on).where(geometry.overlap_of_first(F.col("_box"), F.col("bbox")) >= BOX_SHARE)
     return empty.join(hit.select(key).distinct(), key, "left_semi")

@@ -49,11 +49,13 @@ def evidence_tiers(items: DataFrame, decisions: DataFrame, key: str) -> DataFram
     legacy = human.where("object_type = 'PARAGRAPH'").groupBy("document", "page", "original").agg(F.count(F.lit(1)).alias("n"), F.min("settled").alias("legacy"))
     legacy = legacy.where("n = 1").drop("n")
     kept = human.groupBy("original").agg(F.bool_and(F.col("settled") == F.col("original")).alias("kept")).where("kept").select("original", F.col("original").alias("text"))
-    boxed = human.where("bbox IS NOT NULL").select("document", "page", "original", F.col("bbox").alias("known"), F.col("settled").alias("known_text"), F.col(key).alias("known_id"))
-    near = items.where("bbox IS NOT NULL").select(key, "document", "page", "original", "bbox").join(boxed, ["document", "page", "original"])
+    # distinct boxes on both sides: copies of one decision never multiply
+    where = ["document", "page", "original"]
+    boxed = human.where("bbox IS NOT NULL").groupBy(*where, F.col("bbox").alias("known"), F.col("settled").alias("known_text")).agg(F.min(key).alias("known_id"))
+    near = items.where("bbox IS NOT NULL").select(*where, "bbox").distinct().join(boxed, where)
     overlap = geometry.overlap_of_smaller(F.col("bbox"), F.col("known"))
-    place = near.withColumn("o", overlap).where(F.col("o") >= SAME_PLACE).groupBy(key).agg(F.max_by("known_text", F.struct("o", (-F.col("known_id")).alias("early"))).alias("place"))
-    out = items.join(exact, ["document", "page", "original", "source"], "left").join(place, key, "left").join(legacy, ["document", "page", "original"], "left")
+    place = near.withColumn("o", overlap).where(F.col("o") >= SAME_PLACE).groupBy(*where, "bbox").agg(F.max_by("known_text", F.struct("o", (-F.col("known_id")).alias("early"))).alias("place"))
+    out = items.join(exact, [*where, "source"], "left").join(place, [*where, "bbox"], "left").join(legacy, where, "left")
     return out.join(pair, ["original", "source"], "left").join(kept, "original", "left")
 
 
@@ -102,7 +104,7 @@ def queue(unresolved: DataFrame, historical: DataFrame, skipped: DataFrame, keys
 
 def without_repeated_paragraphs(paragraphs: DataFrame, cells: DataFrame, key: str, least: float = SAME_OBJECT) -> DataFrame:
     """Paragraphs that no cell of the same page repeats: the same text in a place that overlaps."""
-    held = cells.where("bbox IS NOT NULL").select("document", "page", text.fold(F.col("original_text")).alias("_t"), F.col("bbox").alias("_box"))
+    held = cells.where("bbox IS NOT NULL").select("document", "page", text.fold(F.col("original_text")).alias("_t"), F.col("bbox").alias("_box")).distinct()
     own = paragraphs.where("bbox IS NOT NULL").withColumn("_t", text.fold(F.col("original_text")))
     repeated = own.join(held, ["document", "page", "_t"]).where(geometry.overlap_of_smaller(F.col("bbox"), F.col("_box")) >= least).select(key).distinct()
     return paragraphs.join(repeated, key, "left_anti")
