@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,17 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if partitions >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once; nothing need be installed on executors."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodestrata-code-")) / "lodestrata.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lodestrata_shipped = True
