@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,14 +94,15 @@ def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document for every capacity; over-long documents in pieces."""
     sizes = materialize(packing.token_counts(table(spark, folder, "documents"), "doc_id", "text"), "sizes")
-    parts = []
-    for spec in table(spark, folder, "pack_specs").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect():
-        packed = packing.pack(sizes, "doc_id", "tokens", spec["capacity_tokens"])
-        parts.append(packed.select(F.lit(spec["spec_id"]).alias("spec_id"), "doc_id", "piece", "container", "tokens"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    specs = table(spark, folder, "pack_specs").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()
+
+    def packed(spec) -> DataFrame:
+        placed = packing.pack(sizes, "doc_id", "tokens", spec["capacity_tokens"])
+        return placed.select(F.lit(spec["spec_id"]).alias("spec_id"), "doc_id", "piece", "container", "tokens")
+
+    # the capacities don't depend on each other: their jobs share the executors
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return reduce(DataFrame.unionByName, pool.map(packed, specs))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
