@@ -4,8 +4,10 @@ Two passes over the documents, no shuffle of texts. The first counts in how many
 documents each n-gram of the evaluation items occurs. From these counts every
 stretch of WINDOW item words gets its rarest n-grams as seeds. The second pass
 joins documents to items by seeds, and a Smith-Waterman alignment of words scores
-each pair found, so that edited copies count as well. The items are the stated
-query set: they travel to the workers in blocks of bounded size.
+each pair found. Copies edited everywhere may hold no seed: ``edited_items`` bounds
+the alignment from above for every item, and all that can reach LEAST_SCORE are
+aligned. The items are the stated query set: they travel to the workers in blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -65,6 +67,14 @@ def _grams(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _postings(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where the items of each start, and the items."""
+    every = np.concatenate([np.zeros(0, np.int64), *keys])
+    pairs = np.unique(np.stack([every, np.repeat(np.arange(len(keys)), [len(k) for k in keys])]), axis=1)
+    found, first = np.unique(pairs[0], return_index=True)
+    return found, np.append(first, pairs.shape[1]), pairs[1]
+
+
 class Items:
     """A block of evaluation items: vocabulary, n-grams and, after ``choose``, seeds."""
 
@@ -76,6 +86,9 @@ class Items:
         grams = [_grams(i) for i in self.ids]
         self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
         self.at = [np.searchsorted(self.grams, g) for g in grams]
+        base = len(self.vocabulary) + 1
+        self.pairs = _postings([i[:-1] * base + i[1:] for i in self.ids])
+        self.skips = _postings([i[:-2] * base + i[2:] for i in self.ids])
         self.seeds: dict[int, list[tuple[int, int]]] = {}
         self.seed_grams = np.zeros(0, np.int64)
 
@@ -93,8 +106,8 @@ class Items:
         self.seeds = {g: sorted(x) for g, x in seeds.items()}
         self.seed_grams = np.array(sorted(self.seeds), np.int64)
 
-    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
-        """Places of item n-grams in texts: text number, word number, n-gram number; the words and where each text starts.
+    def readings(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each reading, its text number, where it starts, and the ids of all words.
 
         A text with words divided at line ends is read a second time with the halves
         apart (a compound may be broken at its hyphen).
@@ -114,28 +127,83 @@ class Items:
         ids = np.zeros(int(starts[-1]), np.int64)
         for words, s in zip(read, starts, strict=False):
             ids[s : s + len(words)] = [get(w, 0) for w in words]
+        return read, np.array(owner, np.int64), starts, ids
+
+    def hits(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of item n-grams in readings: reading number, word number, n-gram number."""
         found = _grams(ids)
         at = np.flatnonzero(found)
         gram = np.searchsorted(self.grams, found[at])
         gram[gram == len(self.grams)] = 0
         real = self.grams[gram] == found[at] if len(self.grams) else np.zeros(0, bool)
         at, gram = at[real], gram[real]
-        reading = np.searchsorted(starts, at, side="right") - 1
-        return np.array(owner, np.int64)[reading] if len(at) else at, at, gram, read, starts
+        return np.searchsorted(starts, at, side="right") - 1, at, gram
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """n-gram numbers and the number of texts that hold each."""
-        text, _, gram, _, _ = self.hits(texts)
-        pairs = np.unique(np.stack([text, gram]), axis=1)
+        _, owner, starts, ids = self.readings(texts)
+        reading, _, gram = self.hits(starts, ids)
+        pairs = np.unique(np.stack([owner[reading], gram]), axis=1)
         return np.unique(pairs[1], return_counts=True)
 
-    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item key, score, matched words, longest run of consecutive item words)."""
-        text, at, gram, read, starts = self.hits(texts)
+    def edited_items(self, ids: np.ndarray) -> list[int]:
+        """Items whose alignment with the words may reach LEAST_SCORE; no other item does.
+
+        An alignment scores MATCH for its first match, and for each further one MATCH
+        less at least one for every word skipped on either side since the match before.
+        So a match adds 2 where it follows the item's word before it directly, 1 where
+        one word is skipped, else nothing; and a run of words that the item lacks costs
+        one from its third word on. The best stretch of this sum is the bound.
+        """
+        least, base = LEAST_SCORE - MATCH, len(self.vocabulary) + 1
+        places, items, gains = [], [], []
+        for gain, gap, (keys, first, posted) in ((1, 1, self.skips), (1, 2, self.pairs), (2, 1, self.pairs)):
+            a, b = ids[:-gap], ids[gap:]
+            at = np.flatnonzero((a > 0) & (b > 0))
+            if not len(at) or not len(keys):
+                continue
+            key = a[at] * base + b[at]
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            real = keys[k] == key
+            at, k = at[real] + gap, k[real]
+            n = first[k + 1] - first[k]
+            places.append(np.repeat(at, n))
+            items.append(posted[np.repeat(first[k + 1] - np.cumsum(n), n) + np.arange(n.sum())])
+            gains.append(np.full(len(items[-1]), gain))
+        if not items:
+            return []
+        place, item, gain = np.concatenate(places), np.concatenate(items), np.concatenate(gains)
+        enough = np.bincount(item, gain, len(self.ids)) >= least
+        kept = enough[item]
+        place, item, gain = place[kept], item[kept], gain[kept]
+        order = np.argsort(item, kind="stable")  # within an item the gains of 2 stay last and count
+        place, item, gain = place[order], item[order], gain[order]
+        numbers = np.flatnonzero(enough)
+        edges = np.searchsorted(item, np.append(numbers, len(self.ids)))
+        own = np.zeros(base, bool)
+        found = []
+        for number, low, high in zip(numbers.tolist(), edges[:-1], edges[1:], strict=True):
+            own[self.ids[number]] = True
+            lacking = ~own[ids]
+            own[self.ids[number]] = False
+            sums = np.zeros(len(ids), np.int64)
+            sums[place[low:high]] = gain[low:high]
+            sums[2:] -= lacking[2:] & lacking[1:-1] & lacking[:-2]
+            total = np.concatenate([[0], np.cumsum(sums)])
+            if (total - np.minimum.accumulate(total)).max() >= least:
+                found.append(number)
+        return found
+
+    def leaks(self, texts: list[str | None], edited: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item key, score, matched words, longest run of consecutive item words).
+
+        All pairs with WINDOW consecutive words; with ``edited`` all that score LEAST_SCORE too.
+        """
+        read, owner, starts, ids = self.readings(texts)
+        reading, at, gram = self.hits(starts, ids)
         seeded = np.isin(gram, self.seed_grams)
         by: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        reading = np.searchsorted(starts, at, side="right") - 1
-        for t, r, p, g in zip(text[seeded], reading[seeded], at[seeded] - starts[reading[seeded]], gram[seeded], strict=True):
+        for t, r, p, g in zip(owner[reading[seeded]], reading[seeded], at[seeded] - starts[reading[seeded]], gram[seeded], strict=True):
             for item, place in self.seeds[int(g)]:
                 by[int(t), item, int(r)].append((int(p), place))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -145,6 +213,13 @@ class Items:
                 found = self._align(item, words)
                 if found[0] >= LEAST_SCORE or found[2] >= WINDOW:
                     best[t, item] = max(best.get((t, item), (0, 0, 0)), found, key=lambda x: (x[2], x[0]))
+        if edited:
+            for r, words in enumerate(read):
+                t = int(owner[r])
+                for item in self.edited_items(ids[starts[r] : starts[r] + len(words)]):
+                    found = self._align(item, words)
+                    if found[0] >= LEAST_SCORE or found[2] >= WINDOW:
+                        best[t, item] = max(best.get((t, item), (0, 0, 0)), found, key=lambda x: (x[2], x[0]))
         for (t, item), found in best.items():
             yield t, self.keys[item], *found
 
@@ -237,8 +312,8 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_
 LEAK_SCHEMA = "doc_id BIGINT, item_id BIGINT, score INT, matched INT, longest_run INT"
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text") -> DataFrame:
-    """One row per document and item of which it holds a passage, whole, in part or edited.
+def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", edited: bool = False) -> DataFrame:
+    """One row per document and item of which it holds WINDOW consecutive words; with ``edited`` every pair whose alignment scores LEAST_SCORE as well.
 
     Columns of LEAK_SCHEMA: score of the alignment, words matched in it, and the
     longest run of consecutive item words. Null and empty documents hold nothing;
@@ -262,7 +337,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
         def leaks(batches: Iterator[pa.RecordBatch], given=seeded) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[t], *rest) for t, *rest in given.value.leaks(batch.column(1).to_pylist())]
+                rows = [(ids[t], *rest) for t, *rest in given.value.leaks(batch.column(1).to_pylist(), edited)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "matched", "longest_run"])

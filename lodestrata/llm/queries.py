@@ -113,8 +113,8 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.join(table(spark, folder, "pack_specs"), "spec_id").select("spec_id", "containers", least.alias("least_containers"), share.alias("used_share"))
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+def _leaks(spark: SparkSession, folder: str, edited: bool = False) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edited=edited)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +124,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and item whose passages align, edited copies included, with the score."""
-    return _leaks(spark, folder)
+    return _leaks(spark, folder, edited=True)
 
 
 #: Shorter documents get no band.

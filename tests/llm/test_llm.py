@@ -178,6 +178,30 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(df, ev.limit(0)).count() == 0 and leaks.find_leaks(df.limit(0), ev).count() == 0
 
 
+def test_edited_copies_equal_brute_force(spark):
+    rng = random.Random(9)
+    common = ["the", "of", "in", "a", "to", "and"]
+    phrase = lambda n: [rng.choice(common) if rng.random() < 0.4 else words(1, rng)[0] for _ in range(n)]
+    items = [(i, " ".join(phrase(rng.choice([14, 40, 60])))) for i in range(15)]
+    docs = []
+    for d in range(300):
+        own, every = items[rng.randrange(15)][1].split(), rng.randint(2, 8)
+        edits = [lambda w: ["changed"], lambda w: [], lambda w: [w, "added"]]
+        copy = [x for k, w in enumerate(own) for x in (rng.choice(edits)(w) if k % every == every - 1 else [w])]
+        docs.append((d, " ".join([*phrase(rng.randint(0, 60)), *copy, *phrase(rng.randint(0, 60))])))
+    block, want, unseeded = leaks.Items(items), {}, 0
+    for d, t in docs:
+        ids = np.array([block.vocabulary.get(w, 0) for w in t.split()])
+        for i, own in enumerate(block.ids):
+            score, matched, run = leaks.smith_waterman(own, ids)
+            if score >= leaks.LEAST_SCORE:
+                want[d, i] = score, matched, run
+                unseeded += run < leaks.GRAM
+    df, ev = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, item_text STRING")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["matched"], r["longest_run"]) for r in leaks.find_leaks(df, ev, edited=True).collect()}
+    assert got == want and unseeded and sum(run < leaks.WINDOW for _, _, run in want.values()) > 100
+
+
 def test_divided_words_and_compounds():
     item = "the fold-out for the jasper basement shows how the inherited manifold was entered twice today"
     block = leaks.Items([(7, item)])
