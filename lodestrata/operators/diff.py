@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import statuses, text
 from lodestrata.functions.udfs import similarity
+from lodestrata.session import materialize
 
 #: Statuses of rows and cells, all of them listed in a summary.
 STATUSES = ["CHANGED", "UNCHANGED", "ADDED", "REMOVED", "AMBIGUOUS"]
@@ -121,3 +122,24 @@ def match_tables(scores: DataFrame, within: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in within)
     return scores.groupBy(*within).applyInPandas(greedy, f"left_table STRING, right_table STRING, status STRING, {kinds}")
+
+
+def match_all_tables(left: DataFrame, right: DataFrame, within: list[str]) -> DataFrame:
+    """``match_tables`` for every table of both sides, also those without a shared header.
+
+    Sides as for ``table_similarity``. A left table without a candidate is REMOVED, a
+    right table that none was matched with is ADDED.
+    """
+    matched = materialize(match_tables(table_similarity(left, right, within), within), "matched")
+
+    def unmatched(side: DataFrame, name: str) -> DataFrame:
+        known = matched.where(F.col(name).isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in within), F.col(name).alias("_table"))
+        condition = F.col(name) == F.col("_table")
+        for c in within:
+            condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return side.select(*within, F.col("table_id").alias(name)).where(F.col(name).isNotNull()).distinct().join(known, condition, "left_anti")
+
+    none = F.lit(None).cast("string")
+    removed = unmatched(left, "left_table").withColumns({"right_table": none, "status": F.lit("REMOVED")})
+    added = unmatched(right, "right_table").withColumns({"left_table": none, "status": F.lit("ADDED")})
+    return matched.unionByName(removed).unionByName(added)

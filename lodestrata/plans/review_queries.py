@@ -46,11 +46,10 @@ def s3_header_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j6_table_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Tables of each document in the records matched with those of the entity links, by their headers."""
+    """Tables of each document in the records matched with those of the entity links, by their headers; unmatched ones of both sides are REMOVED or ADDED."""
     own = fields_of(spark, folder).select("document_id", "table_id", text.label(F.col("header")).alias("header"))
     links = table(spark, folder, "entity_links").select("document_id", "table_id", text.label(F.col("header")).alias("header")).where("table_id IS NOT NULL")
-    scores = diff.table_similarity(own.distinct(), links.distinct(), ["document_id"])
-    return diff.match_tables(scores, ["document_id"])
+    return diff.match_all_tables(own.distinct(), links.distinct(), ["document_id"])
 
 
 def s1_index_merge(spark: SparkSession, folder: str) -> DataFrame:

@@ -110,6 +110,15 @@ def test_table_matching(spark):
     assert got == {"l1": ("r1", "MATCHED"), "l2": (None, "AMBIGUOUS")}
 
 
+def test_unmatched_tables_of_both_sides(spark):
+    schema = "document_id STRING, table_id STRING, header STRING"
+    left = spark.createDataFrame([("d", "l1", "a"), ("d", "l2", "x"), ("d", "l3", "z"), ("d", "l4", ""), ("gone", "g1", "a"), (None, "n1", "a")], schema)
+    right = spark.createDataFrame([("d", "r1", "a"), ("d", "r2", "x"), ("d", "r3", "x"), ("d", "r4", ""), ("new", "g1", "a")], schema)
+    got = sorted(map(str, diff.match_all_tables(left, right, ["document_id"]).select("document_id", "left_table", "right_table", "status").toPandas().fillna("-").agg("/".join, axis=1)))
+    want = ["d/l1/r1/MATCHED", "d/l2/-/AMBIGUOUS", "d/l3/-/REMOVED", "d/l4/-/REMOVED", "gone/g1/-/REMOVED", "-/n1/-/REMOVED", "d/-/r2/ADDED", "d/-/r3/ADDED", "d/-/r4/ADDED", "new/-/g1/ADDED"]
+    assert got == sorted(want)
+
+
 def test_index_merge_keeps_history(spark):
     schema = "document_id STRING, record STRING, source_status STRING"
     old = spark.createDataFrame([("old", "A", None), ("old", "B", None), ("cur", "X", None)], schema)
