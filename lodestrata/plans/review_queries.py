@@ -223,8 +223,8 @@ def k4_value_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k4_contained_values(spark: SparkSession, folder: str) -> DataFrame:
-    """K4 with ``contains``: fields that name a value of the value index's words as a part, counted per value."""
-    asked = table(spark, folder, "value_index").where(text.value_type(F.col("value")) == "text").select(F.lower(F.split_part(text.squash(F.col("value")), F.lit(" "), F.lit(1))).alias("query"))
+    """K4 with ``contains``: fields that hold a whole text value of the value index as a part, counted per value."""
+    asked = table(spark, folder, "value_index").where(text.value_type(F.col("value")) == "text").select(text.fold(F.col("value")).alias("query"))
     found = query.value_matches(asked, fields_of(spark, folder), "contains")
     return found.groupBy("query").agg(F.count(F.lit(1)).alias("n_fields"), F.countDistinct("record_id").alias("n_records"))
 

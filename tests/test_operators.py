@@ -223,6 +223,17 @@ def test_lookups(spark):
     assert [r["record_id"] for r in query.value_matches(part, fields, "contains").collect()] == ["r2"]
 
 
+def test_contained_values_are_whole_phrases(spark, monkeypatch):
+    from lodestrata.plans import review_queries
+
+    values = spark.createDataFrame([("Valve  open",), ("valve shut",), ("valve",), ("open",)], "value STRING")
+    fields = spark.createDataFrame([("r1", "rare VALVE open today"), ("r2", "valve opened"), ("r3", "the valve")], "record_id STRING, value STRING")
+    monkeypatch.setattr(review_queries, "table", lambda *_: values)
+    monkeypatch.setattr(review_queries, "fields_of", lambda *_: fields)
+    got = {r["query"]: (r["n_fields"], r["n_records"]) for r in review_queries.k4_contained_values(spark, "").collect()}
+    assert got == {"valve open": (1, 1), "valve": (3, 3), "open": (1, 1)}
+
+
 EVIDENCE = "entity_id STRING, occurrence STRING, document_id STRING, column_index INT, header STRING, value STRING, verification_status STRING"
 
 
