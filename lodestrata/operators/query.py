@@ -9,8 +9,6 @@ from lodestrata.functions import text
 from lodestrata.operators.skew import skew_lookup
 from lodestrata.session import materialize
 
-#: Words of an entity's value at most, as it may stand in a question.
-VALUE_WORDS = 8
 # Nouns that name no field in particular.
 GENERIC = ["value", "measurement", "reading", "data", "information"]
 
@@ -55,17 +53,19 @@ def question_words(question: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def spans(words: Column, most: int = VALUE_WORDS) -> Column:
+def spans(words: Column, most: Column) -> Column:
     """All runs of up to ``most`` of the words: the keys that entities are joined by."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
+    sizes = lambda i: F.sequence(F.lit(1), F.greatest(F.least(most, F.size(words) - i + 1), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(sizes(i), lambda n: F.array_join(F.slice(words, i, n), " ")))))
 
 
 def resolve_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(question, entity_id): the entity with the longest value that a question names; none where two share that length."""
     named = entities.select("entity_id", F.explode(F.array(text.fold(F.col("canonical_value")), text.fold(F.col("display_value")))).alias("key")).where("key <> ''").distinct()
     worded = questions.select("question").distinct().withColumn("words", question_words(F.col("question")))
-    parts = worded.select("question", F.explode(spans(F.col("words"))).alias("key"))
+    most = named.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(1)).alias("most"))
+    parts = worded.crossJoin(F.broadcast(most)).select("question", F.explode(spans(F.col("words"), F.col("most"))).alias("key"))
     hits = parts.join(named, "key").groupBy("question", F.length("key").alias("length")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
     longest = hits.groupBy("question").agg(F.max(F.struct("length", "n", "entity_id")).alias("b"))
     return longest.where("b.n = 1").select("question", "b.entity_id")

@@ -234,6 +234,14 @@ def test_contained_values_are_whole_phrases(spark, monkeypatch):
     assert got == {"valve open": (1, 1), "valve": (3, 3), "open": (1, 1)}
 
 
+def test_questions_name_values_of_any_length(spark):
+    long = "main coolant return valve of the second lower machine hall in the north"
+    ents = spark.createDataFrame([("e1", long, long.title()), ("e2", "valve", "Valve")], "entity_id STRING, canonical_value STRING, display_value STRING")
+    asked = spark.createDataFrame([(f"What is the pressure of {long}?",), ("Which valve?",), ("?",), (None,)], "question STRING")
+    assert {r["question"]: r["entity_id"] for r in query.resolve_entities(asked, ents).collect()} == {f"What is the pressure of {long}?": "e1", "Which valve?": "e2"}
+    assert query.resolve_entities(asked, ents.limit(0)).count() == 0
+
+
 EVIDENCE = "entity_id STRING, occurrence STRING, document_id STRING, column_index INT, header STRING, value STRING, verification_status STRING"
 
 
