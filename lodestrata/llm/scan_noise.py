@@ -30,10 +30,6 @@ CONFUSIONS = [
     ("c", "e"), ("f", "t"), ("l", "i"), ("b", "h"), ("m", "rn"), ("d", "cl"), ("cl", "d"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("vv", "w"),
 ]
 
-#: The vocabulary holds at most so many words, the most frequent first; this bounds what the workers get.
-VOCABULARY_WORDS = 200_000
-#: The most running-line shapes the workers get, the most frequent first.
-LINE_SHAPES = 5_000
 #: A line shape is a running line from so many texts on.
 SHAPE_TEXTS = 3
 #: A true word is in so many times the texts of its misread form.
@@ -314,13 +310,13 @@ def _shapes(documents: pd.Series, texts: pd.Series) -> pd.Series:
 def read_noise(df: DataFrame, document: str, page: str, columns: list[str]) -> DataFrame:
     """``df`` with a column ``noise``: for each of ``columns`` its kinds of noise and its repaired text.
 
-    Vocabulary and line shapes come from all of ``df``; what the workers get of
-    them is bounded by VOCABULARY_WORDS and LINE_SHAPES.
+    Vocabulary and line shapes come from all of ``df``, and the workers get all of
+    them that several texts hold.
     """
     spark = df.sparkSession
     texts = df.select(F.explode(F.array(*columns)).alias("text")).where("text IS NOT NULL")
-    known = vocabulary(texts).where(F.col("texts") > 1).orderBy(F.desc("texts"), "word").limit(VOCABULARY_WORDS).collect()
-    shapes = line_shapes(df, document, columns).where(F.col("texts") >= SHAPE_TEXTS).orderBy(F.desc("texts"), "shape").limit(LINE_SHAPES).collect()
+    known = vocabulary(texts).where(F.col("texts") > 1).collect()
+    shapes = line_shapes(df, document, columns).where(F.col("texts") >= SHAPE_TEXTS).collect()
     given = spark.sparkContext.broadcast(({r[0]: r[1] for r in known}, {r[0] for r in shapes}))
     kind = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("repaired", T.StringType())]))
 

@@ -148,6 +148,15 @@ def test_read_noise_learns_from_all_rows(spark):
     assert scan_noise.read_noise(df.limit(0), "document", "page", ["a"]).count() == 0
 
 
+def test_rare_words_of_a_large_vocabulary_are_known(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:12]]
+    text = " ".join(many)
+    rows = [(1, "d", "1", text), (2, "d", "1", text), (3, "d", "1", "a zebra"), (4, "d", "1", "the zebra"), (7, "d", "1", "zebra too"), (5, "d", "1", "the zeb-\nra"), (6, "d", "1", text), (8, "d", "1", text)]
+    got = {r["id"]: r["noise"][0] for r in scan_noise.read_noise(spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING"), "document", "page", ["a"]).collect()}
+    assert len(many) > 200_000 and got[5]["kinds"] == ["hyphen"] and got[5]["repaired"] == "the zebra"
+
+
 # leaks
 
 def words(n, rng):
