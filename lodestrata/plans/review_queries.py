@@ -303,7 +303,7 @@ def g13_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g8_row_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups of consecutive rows that are close and alike."""
+    """Groups of consecutive rows that are close and alike."""
     blocks = _blocks(spark, folder)
     placed = g6_grid(spark, folder).join(blocks.select("decision_id", "bbox"), "decision_id")
     rows = placed.groupBy("document", "page", "row_number").agg(F.min(F.col("bbox")[1]).alias("y"), F.sort_array(F.collect_list(F.col("bbox")[0])).alias("edges"))
