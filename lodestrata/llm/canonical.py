@@ -132,12 +132,10 @@ def _canonical(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def canonicalize(df: DataFrame, column: str, to: str) -> DataFrame:
     """``df`` with the canonical spelling of ``column`` in ``to``.
 
-    Stable rows, null and empty texts among them, pass by the Python workers. An
+    Stable texts, null and empty ones among them, never reach the Python workers. An
     existing column ``to`` is replaced, all others are kept.
     """
-    open_ = F.coalesce(unstable(F.col(column)), F.lit(False))
-    stable = df.where(~open_).withColumn(to, F.col(column))
-    return stable.unionByName(df.where(open_).withColumn(to, _canonical(F.col(column))))
+    return df.withColumn(to, F.coalesce(_canonical(F.when(unstable(F.col(column)), F.col(column))), F.col(column)))
 
 
 def disguised(df: DataFrame, column: str) -> DataFrame:

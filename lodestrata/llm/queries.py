@@ -58,18 +58,18 @@ _SCANNED = ["original_text", "source_text", "verified_text"]
 
 def _noise(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "manual_review_decisions").select("decision_id", "document", "page", *_SCANNED)
-    return scan_noise.read_noise(rows, "document", "page", _SCANNED).select("decision_id", F.explode("noise").alias("n"))
+    return scan_noise.read_noise(rows, "decision_id", "document", "page", _SCANNED).withColumnRenamed("field", "field_name")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Kinds of scan noise by decision and field."""
-    return _noise(spark, folder).select("decision_id", F.col("n.field").alias("field_name"), F.explode("n.kinds").alias("noise_kind")).distinct()
+    """Kinds of scan noise by decision and field; running lines without the title are no case."""
+    kinds = _noise(spark, folder).select("decision_id", "field_name", F.explode("kinds").alias("noise_kind"))
+    return kinds.where(F.col("noise_kind") != scan_noise.RUNNING).distinct()
 
 
 def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every text that had noise, in continuous paragraphs without it."""
-    noisy = _noise(spark, folder).where(F.size("n.kinds") > 0)
-    return noisy.select("decision_id", F.col("n.field").alias("field_name"), F.col("n.repaired").alias("text")).distinct()
+    return _noise(spark, folder).select("decision_id", "field_name", F.col("repaired").alias("text")).distinct()
 
 
 _VALUES = {"value_index": ("occurrence_id", "value"), "manual_review_decisions": ("decision_id", "original_text")}

@@ -1,17 +1,23 @@
-"""Text of scanned pages: running titles, page numbers, divided and misread words.
+"""Text of scanned pages: running lines, page numbers, divided and misread words.
 
 What is a word is learned from the corpus: the vocabulary counts the texts that
-hold each word, and a spelling counts as misread when a stated recognition error
-leads from a far more frequent word to it. Running titles are lines that repeat
-over the corpus once the title of their document is masked and small recognition
-errors are folded. Lines are joined after those lines are gone, and a word divided
-at a line end is joined when the vocabulary knows the whole.
+hold each word, and a spelling counts as misread when recognition errors lead
+from a far more frequent word to it. Running lines repeat, small recognition
+errors folded: with the title of their document in them over the corpus, without
+it at the same edge of the document's pages. Lines are joined after those lines
+are gone, and a word divided at a line end is joined when the vocabulary knows
+the whole.
+
+Vocabulary, line shapes and corrections stay distributed. Two spellings that
+recognition may confuse consist of the same strokes (``m`` and ``rn`` are both
+``rrl``), so the words that a token may be misread from are found by one join on
+the strokes, over distinct tokens; a text then gets only what concerns it. Texts
+without a trace of noise never leave the JVM.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.canonical import canonical_text
-from lodestrata.session import spread
+from lodestrata.llm.canonical import canonical_text, canonicalize
+from lodestrata.llm.duplicates import page_number
+from lodestrata.operators.skew import skew_lookup
+from lodestrata.session import materialize, ship
 
-HYPHEN, MISREAD, HEADER, PAGE_NO = "hyphen", "misread", "header", "page_no"
+#: ``running`` is a running line without the title of its document.
+HYPHEN, MISREAD, HEADER, PAGE_NO, RUNNING = "hyphen", "misread", "header", "page_no", "running"
 
 # Recognition errors, read form and true form.
 CONFUSIONS = [
@@ -30,63 +39,106 @@ CONFUSIONS = [
     ("c", "e"), ("f", "t"), ("l", "i"), ("b", "h"), ("m", "rn"), ("d", "cl"), ("cl", "d"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("vv", "w"),
 ]
 
-#: A line shape is a running line from so many texts on.
-SHAPE_TEXTS = 3
+#: A line with the title is a running line from so many pages on.
+SHAPE_PAGES = 3
+#: One without is, from so many pages of its document on, this share of them at least, and with so many letters.
+EDGE_PAGES, EDGE_SHARE, EDGE_LETTERS = 3, 0.25, 12
 #: A true word is in so many times the texts of its misread form.
 MISREAD_RATIO = 6
 #: A word is known from so many texts on.
 KNOWN_TEXTS = 3
-#: Running lines are no longer than this many letters and digits besides the title.
-LINE_REST = 40
+#: So many misread words at most are broadcast, of some 60 bytes each.
+BROADCAST_ROWS = 500_000
+#: Words run together are looked at apart where one of them is in so many texts.
+COMMON_TEXTS = 50 * KNOWN_TEXTS
 
-_WORD_PATTERN = r"(?U)(?<![\p{L}\p{Nd}@!\-/])\p{L}{2,}(?![\p{L}\p{Nd}@]|[!\-/][\p{L}\p{Nd}])"
 _TOKEN = re.compile(r"[\w!@$|]+(?:[-/][\w!@$|]+)*")
 _IDENTIFIER = re.compile(r"(?:^|[-/])\d+(?:$|[-/])")
 _LETTERS = re.compile(r"[^\W\d_]")
+_SPACING = re.compile(r"[^\w!@|$]|_")
 _CODE = re.compile(r"[a-z]{1,4}\d{2,}$|\d+[a-z]{1,3}$")
 _EDGE = "!|$"
 _LINE_END = re.compile(r"([\w!@$|]+)[-¬=] *$")
 _LINE_START = re.compile(r"^ *([\w!@$|]+)")
-_PAGE = re.compile(r"^[\W_]*(?:p|pp|pg|page|seite|s|página|pág|blatt)?[\W_]*(\d{1,6})(?:\s*(?:/|of|von|de)\s*\d{1,6})?[\W_]*$", re.I)
+_PAGE_LINE = r"^[\W_]*+(?:pp|pg|page|seite|página|pág|blatt|p|s)?[\W_]*+\d{1,6}(?:\s*+(?:/|of|von|de)\s*+\d{1,6})?[\W_]*+$"
+_PAGE = re.compile(_PAGE_LINE, re.I)
+_LINE_BREAK = r"\r\n|\r|\n"
 _BARE = re.compile(r"^\s*(\d{1,6})\s*$")
 _ROMAN = re.compile(r"^[\W_]*(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})[\W_]*$", re.I)
 
-_PAIRS = {"rn": "m", "ri": "n", "cl": "d", "vv": "w", "ii": "u"}
-_PAIR = re.compile("|".join(_PAIRS))
-_SINGLE = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "$": "s", "6": "b", "8": "b", "9": "g", "@": "a", "e": "c", "t": "f", "h": "b"})
+# Letters and signs in strokes; what CONFUSIONS leads to each other has the same strokes.
+STROKES = {
+    "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "$": "s", "6": "b", "8": "b", "9": "g", "@": "a", "e": "c", "t": "f", "h": "b",
+    "m": "rrl", "n": "rl", "u": "ll", "d": "cl", "w": "vv",
+}
+_STROKES = str.maketrans(STROKES)
+_SIGNS = set("015689!|@$")
+
+
+def strokes(text: str) -> str:
+    """Letter by letter the strokes of a text in lower case: equal for a text and all its misreadings."""
+    return text.lower().translate(_STROKES)
+
+
+def strokes_of(text: Column) -> Column:
+    """``strokes`` as a column."""
+    one = [k for k, v in STROKES.items() if len(v) == 1]
+    out = F.translate(F.lower(text), "".join(one), "".join(STROKES[k] for k in one))
+    for k, v in STROKES.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def misreads(token: str, word: str) -> bool:
+    """Whether one or two recognition errors lead from ``word`` to ``token``; signs and digits for letters are one error, however many."""
+    if token == word:
+        return False
+    best: dict[tuple[int, int], set[tuple[int, bool]]] = {(0, 0): {(0, False)}}
+    for i in range(len(token) + 1):
+        for j in sorted(k for a, k in best if a == i):
+            for letters, signs in best[i, j]:
+                if i < len(token) and j < len(word) and token[i] == word[j]:
+                    best.setdefault((i + 1, j + 1), set()).add((letters, signs))
+                for read, true in CONFUSIONS:
+                    if token.startswith(read, i) and word.startswith(true, j):
+                        step = (letters, True) if read in _SIGNS else (letters + 1, signs)
+                        if sum(step) <= 2:
+                            best.setdefault((i + len(read), j + len(true)), set()).add(step)
+    return (len(token), len(word)) in best
 
 
-def fold_errors(text: str) -> str:
-    """Letters and digits only, with forms that recognition confuses made one; equal for a line and its misreadings."""
-    low = re.sub(r"[^\w!@|$]|_", "", text.lower())
-    return _PAIR.sub(lambda m: _PAIRS[m.group()], low).translate(_SINGLE)
+@lru_cache(maxsize=1 << 16)
+def _title(document: str) -> str:
+    """The letters of a document's title in strokes; empty without any."""
+    return strokes(re.sub(r"[\W_]+", "", canonical_text(document)))
 
 
-@lru_cache(maxsize=1 << 16)
-def _title(document: str) -> re.Pattern | None:
-    """A pattern for the title of a document inside a line, whatever stands between its letters."""
-    letters = re.sub(r"[\W_]+", "", canonical_text(document).lower())
-    if not letters:
+def without_title(line: str, title: str) -> str | None:
+    """The line with a blank for the title (in strokes), whatever stands between its letters; null if it isn't there."""
+    # most lines lack even the strokes
+    if not title or title not in strokes(_SPACING.sub("", line)):
         return None
-    forms = {c: {c} for c in letters}
-    for read, true in CONFUSIONS:
-        if len(true) == 1 and true in forms:
-            forms[true].add(read)
-        if len(read) == 1 and read in forms and len(true) == 1:
-            forms[read].add(true)
-    return re.compile(r"[\W_]*".join("(?:" + "|".join(map(re.escape, sorted(forms[c]))) + ")" for c in letters), re.I)
-
-
-def line_shape(line: str, title: re.Pattern | None) -> str | None:
-    """The fuzzy shape of a line that holds the title: the rest in folded letters, numbers as ``#``; else null."""
-    found = title and title.search(line)
-    if not found:
-        return None
-    rest = line[: found.start()] + " " + line[found.end() :]
-    if len(re.sub(r"[\W_]+", "", rest)) > LINE_REST:
-        return None
-    words = re.findall(r"\w+", rest)
-    return " ".join("#" if w.isdigit() or _ROMAN.match(w) else fold_errors(w) for w in words)
+    stream, begins, ends = [], {}, {}
+    at = 0
+    for i, c in enumerate(line):
+        if not _SPACING.match(c):
+            begins[at] = i
+            stream.append(strokes(c))
+            at += len(stream[-1])
+            ends[at] = i + 1
+    whole = "".join(stream)
+    at = whole.find(title)
+    while at >= 0:
+        if at in begins and at + len(title) in ends:
+            return line[: begins[at]] + " " + line[ends[at + len(title)] :]
+        at = whole.find(title, at + 1)
+    return None
+
+
+def line_shape(rest: str) -> str:
+    """The fuzzy shape of what a running line has besides the title: words in strokes, numbers as ``#``."""
+    return " ".join("#" if w.isdigit() or _ROMAN.match(w) else strokes(w) for w in re.findall(r"[^\W_]+", rest))
 
 
 def lines_of(text: str) -> list[str]:
@@ -94,59 +146,29 @@ def lines_of(text: str) -> list[str]:
 
 
 class Reader:
-    """Reads texts with a vocabulary (word to number of texts) and the known shapes of running lines."""
+    """Reads texts with a vocabulary (word to number of texts), the known shapes of running lines, and ``fixes``.
+
+    ``fixes`` are the corrections of tokens, (misread word, true word) by lower
+    case; without them they are taken from the vocabulary.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], shapes: set[str]) -> None:
-        self.vocabulary, self.shapes = vocabulary, shapes
-        self._misread: dict[str, str | None] = {}
+    def __init__(self, vocabulary: dict[str, int], shapes: set[str], fixes: dict[str, tuple[str, str]] | None = None) -> None:
+        self.vocabulary, self.shapes, self.fixes = vocabulary, shapes, fixes
+        self._by_strokes: dict[str, list[str]] = {}
+        for word in vocabulary:
+            self._by_strokes.setdefault(strokes(word), []).append(word)
         self._corrected: dict[str, str | None] = {}
 
     def known(self, word: str) -> bool:
         return self.vocabulary.get(word, 0) >= KNOWN_TEXTS
 
-    def _sources(self, token: str) -> Iterator[str]:
-        """Words that one or two recognition errors lead from to ``token``; of the same error any number."""
-        seen = {token}
-        level = [token]
-        for _ in range(2):
-            following = []
-            for form in level:
-                for read, true in CONFUSIONS:
-                    at = form.find(read)
-                    while at >= 0:
-                        word = form[:at] + true + form[at + len(read) :]
-                        if word not in seen:
-                            seen.add(word)
-                            following.append(word)
-                            yield word
-                        at = form.find(read, at + 1)
-                whole = form
-                for read, true in CONFUSIONS[:12]:
-                    whole = whole.replace(read, true)
-                if whole not in seen:
-                    seen.add(whole)
-                    following.append(whole)
-                    yield whole
-            level = following
-
     def true_word(self, token: str) -> str | None:
-        """The word that ``token`` (lower case) is a misreading of, else null."""
-        if token not in self._misread:
-            if len(self._misread) > 500_000:
-                self._misread.clear()
-            self._misread[token] = self._find(token)
-        return self._misread[token]
-
-    def _find(self, token: str) -> str | None:
-        if len(token) < 3 and token.isalpha() or not _LETTERS.search(token) or len(token) > 40:
+        """The most frequent word that ``token`` (lower case) is a misreading of, the first in order on a tie, else null."""
+        if len(token) < 3 and token.isalpha() or not _LETTERS.search(token):
             return None
-        seen = self.vocabulary.get(token, 0)
-        best, most = None, max(KNOWN_TEXTS, MISREAD_RATIO * seen) - 1
-        for word in self._sources(token):
-            n = self.vocabulary.get(word, 0)
-            if n > most and (len(word) > 3 or not token.isalpha()) and word.isalpha():
-                best, most = word, n
-        return best
+        least = max(KNOWN_TEXTS, MISREAD_RATIO * self.vocabulary.get(token, 0))
+        from_ = [w for w in self._by_strokes.get(strokes(token), ()) if self.vocabulary[w] >= least and (len(w) > 3 or not token.isalpha()) and misreads(token, w)]
+        return min(from_, key=lambda w: (-self.vocabulary[w], w), default=None)
 
     def correct(self, token: str) -> str | None:
         """The token with its misread word put right, else null. Words run together are looked at apart."""
@@ -163,7 +185,15 @@ class Reader:
         return right if right != token else None
 
     def _put_right(self, token: str) -> str | None:
-        low = token.lower()
+        found = self.find(token.lower()) if self.fixes is None else self.fixes.get(token.lower())
+        if found is None:
+            return None
+        low, word = found
+        at = token.lower().find(low)
+        return token[:at] + _cased(word, token[at : at + len(low)]) + token[at + len(low) :]
+
+    def find(self, low: str) -> tuple[str, str] | None:
+        """What of a token in lower case is misread, and the true word."""
         if len(low) < 2 or low.isdigit() or _CODE.match(low):
             return None
         core = low.rstrip(_EDGE).lstrip("|$")
@@ -174,10 +204,7 @@ class Reader:
             low, word = core, self.true_word(core)
         if word is None and len(low) > 7 and not self.known(low):
             word = self._apart(low)
-        if word is None:
-            return None
-        at = token.lower().find(low)
-        return token[:at] + _cased(word, token[at : at + len(low)]) + token[at + len(low) :]
+        return (low, word) if word is not None else None
 
     def _apart(self, token: str) -> str | None:
         """Two words run together, one of them misread."""
@@ -186,9 +213,9 @@ class Reader:
             a, b = token[:i], token[i:]
             if self.known(a) and self.known(b):
                 return None
-            if found is None and len(b) > 4 and self.known(a) and self.vocabulary[a] > 50 * KNOWN_TEXTS and not self.known(b) and (w := self.true_word(b)):
+            if found is None and len(b) > 4 and self.known(a) and self.vocabulary[a] > COMMON_TEXTS and not self.known(b) and (w := self.true_word(b)):
                 found = a + w
-            elif found is None and len(a) > 4 and self.known(b) and self.vocabulary[b] > 50 * KNOWN_TEXTS and not self.known(a) and (w := self.true_word(a)):
+            elif found is None and len(a) > 4 and self.known(b) and self.vocabulary[b] > COMMON_TEXTS and not self.known(a) and (w := self.true_word(a)):
                 found = w + b
         return found
 
@@ -200,25 +227,38 @@ class Reader:
         """
         if text is None:
             return [], None
+        kinds, body = self.strip(lines_of(text), document, page)
+        return self.mend(body, kinds)
+
+    def strip(self, lines: list[str], document: str | None, page: str | None, edges: str = "") -> tuple[set[str], list[str]]:
+        """The lines without running lines and page numbers, and which of these there were.
+
+        ``edges``: ``t`` and ``b`` where the first and last line repeat over the document's pages.
+        """
         kinds: set[str] = set()
-        title = _title(document) if document else None
+        title = _title(document) if document else ""
         number = _number(page)
-        longest = 2 * (len(document or "") + LINE_REST)
         body: list[str] = []
-        lines = lines_of(text)
-        for line in lines:
-            shape = line_shape(line, title) if title and 3 < len(line) <= longest else None
-            if shape is not None and (shape in ("", "#") or shape in self.shapes or _PAGE.match(title.sub(" ", line))):
+        filled = [i for i, line in enumerate(lines) if line.strip()]
+        running = {filled[0 if e == "t" else -1] for e in edges if filled}
+        for i, line in enumerate(lines):
+            rest = without_title(line, title)
+            if rest is not None and ((shape := line_shape(rest)) in ("", "#") or shape in self.shapes or _PAGE.match(rest)):
                 kinds.add(HEADER)
-                rest = title.sub(" ", line, count=1)
                 # a number beside the title: at an end of the line, not the number of a revision
                 if any(_PAGE.match(p) or _ROMAN.match(p) for p in re.split(r"\s{2,}", rest.strip()) if p.strip()) and re.search(r"\w", rest):
                     kinds.add(PAGE_NO)
             elif _page_line(line, number):
                 kinds.add(PAGE_NO)
+            elif i in running:
+                kinds.add(RUNNING)
             else:
                 body.append(line)
-        paragraphs = self._join(body, kinds)
+        return kinds, body
+
+    def mend(self, lines: list[str], kinds: set[str]) -> tuple[list[str], str]:
+        """The kinds of noise, and the lines as paragraphs with divided and misread words put right."""
+        paragraphs = self._join(lines, kinds)
         repaired = "\n\n".join(self._words(p, kinds) for p in paragraphs)
         return sorted(kinds), repaired
 
@@ -280,59 +320,230 @@ def _page_line(line: str, page: int | None) -> bool:
     return bool(found) and not re.match(r"^\s*[\d.,;:]+\s*$", line)
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, texts): words of letters only, in lower case, with the number of texts that hold them.
+def halves(lines: list[str]) -> list[tuple[str, str]]:
+    """The halves (lower case) that may be one word divided between two lines of a paragraph, whatever the vocabulary knows."""
+    out: list[tuple[str, str]] = []
+    lefts: list[str] = []
+    for line in lines:
+        start, end = _LINE_START.search(line), _LINE_END.search(line)
+        pairs = [(a, start.group(1).lower()) for a in lefts] if start else []
+        out.extend(pairs)
+        lefts = []
+        if end:
+            lefts.append(end.group(1).lower())
+            if start and start.start(1) == end.start(1):  # the line is one piece: it may continue a word
+                lefts.extend(a + b for a, b in pairs)
+    return out
 
-    ``texts`` has one column ``text``. Counted over all texts with partial sums.
-    """
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD_PATTERN), F.lit(0)))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+
+# the scan: what of a text the Python side has to look at
+_JVM_PAGE = r"(?imU)^[\W_&&[^\r\n]]*+(?:pp|pg|page|seite|página|pág|blatt|p|s)?[\W_&&[^\r\n]]*+\d{1,6}(?:[ \t]*+(?:/|of|von|de)[ \t]*+\d{1,6})?[\W_&&[^\r\n]]*+\r?$"
+_JVM_ROMAN = r"(?m)^[ \t]*+[ivxlcdm]+[ \t]*+\r?$"
+_JVM_BARE = r"(?m)^[ \t]*+\d{1,6}[ \t]*+\r?$"
+_JVM_NUMBER = r"^\s*[\d.,;:]+\s*$"
+_JVM_HYPHEN = r"(?U)[\w!@$|][-¬=] *[\r\n]"
+_JVM_TOKEN = r"(?U)[\w!@$|]+(?:[-/][\w!@$|]+)*"
+_JVM_CODE = r"^(?:[a-z]{1,4}\d{2,}|\d+[a-z]{1,3})$"
 
 
-def line_shapes(df: DataFrame, document: str, columns: list[str]) -> DataFrame:
-    """(shape, texts): shapes of lines that hold their document's title, with the number of texts."""
-    texts = df.select(F.col(document).alias("document"), F.explode(F.array(*columns)).alias("text")).where(F.col("text").contains("\n"))
-    shapes = texts.select(F.explode(_shapes("document", "text")).alias("shape"))
-    return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("texts"))
+def _letters(text: Column) -> Column:
+    return strokes_of(F.regexp_replace(text, r"(?U)[^\w!@|$]|_", ""))
+
+
+def _tokens(text: Column) -> Column:
+    """The distinct tokens of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_JVM_TOKEN), F.lit(0)))
+
+
+def _parts(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with each ``part`` that may be a misread word: no numbers, codes or parts of identifiers."""
+    words = tokens.where(~F.col("token").rlike(r"(?:^|[-/])\d+(?:$|[-/])")).withColumn("part", F.explode(F.split("token", "[-/]")))
+    return words.where((F.length("part") > 1) & F.col("part").rlike(r"\p{L}") & ~F.col("part").rlike(_JVM_CODE))
+
+
+def _core(part: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(part, r"[!|$]+$", ""), r"^[|$]+", "")
+
+
+def vocabulary(parts: DataFrame) -> DataFrame:
+    """(word, texts): words of letters only, with the number of texts that hold them (as several tokens, several times)."""
+    words = parts.select(_core(F.col("part")).alias("word"), "texts").where(F.col("word").rlike(r"^\p{L}{2,}$"))
+    return words.groupBy("word").agg(F.sum("texts").alias("texts")).where("texts > 1")
+
+
+def _index(words: DataFrame) -> DataFrame:
+    """(strokes, words): the vocabulary by strokes."""
+    return words.groupBy(strokes_of(F.col("word")).alias("strokes")).agg(F.collect_list(F.struct("word", "texts")).alias("words"))
+
+
+def _slices(forms: DataFrame, key: str, index: DataFrame) -> DataFrame:
+    """(key, words): of the vocabulary the words with the strokes of any form of each key; ``forms`` has key and form."""
+    asked = forms.select(key, strokes_of(F.col("form")).alias("strokes")).distinct()
+    found = skew_lookup(asked, index, ["strokes"], "inner")
+    return found.groupBy(key).agg(F.flatten(F.collect_list("words")).alias("words"))
+
+
+_WORDS = "ARRAY<STRUCT<word: STRING, texts: BIGINT>>"
+_FIX = T.StructType([T.StructField("low", T.StringType()), T.StructField("word", T.StringType())])
+
+
+@F.pandas_udf(_FIX)
+def _find(parts: pd.Series, words: pd.Series) -> pd.DataFrame:
+    found = [Reader({w["word"]: w["texts"] for w in own}, set()).find(p) or (None, None) for p, own in zip(parts, words, strict=True)]
+    return pd.DataFrame(found, columns=["low", "word"])
+
+
+def corrections(parts: DataFrame, words: DataFrame, index: DataFrame) -> DataFrame:
+    """(part, low, word) for every part of a token that is misread: ``low`` is what of it is, ``word`` the true word.
+
+    One join on strokes finds the words that a part may come from, and those of the
+    pieces of unknown long parts (two words run together, one of them misread).
+    """
+    known = words.where(F.col("texts") >= KNOWN_TEXTS).select(F.col("word").alias("core"), F.lit(True).alias("known"))
+    asked = parts.select("part", _core(F.col("part")).alias("core")).join(known, "core", "left")
+    low, core, n = F.col("part"), F.col("core"), F.length("core")
+    cuts = F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2)))
+    pieces = F.flatten(F.transform(cuts, lambda i: F.array(F.substring(core, F.lit(1), i), F.substring(core, i + 1, n - i))))
+    apart = F.when(F.col("known").isNull() & (n > 7), pieces).otherwise(F.array().cast("array<string>"))
+    forms = asked.select("part", F.explode(F.array_distinct(F.concat(F.array(low, core), apart))).alias("form"))
+    found = _slices(forms, "part", index)
+    # a part whose strokes only it has cannot be misread
+    open_ = found.where(F.exists("words", lambda w: (w["word"] != F.col("part")) & (w["texts"] >= KNOWN_TEXTS)))
+    return open_.select("part", _find("part", "words").alias("f")).where("f.low IS NOT NULL").select("part", "f.low", "f.word")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _shapes(documents: pd.Series, texts: pd.Series) -> pd.Series:
     def one(document, text):
-        title = _title(document) if isinstance(document, str) else None
-        if title is None or not isinstance(text, str):
-            return []
-        return sorted({s for line in lines_of(text) if (s := line_shape(line, title)) is not None})
+        title = _title(document)
+        return sorted({line_shape(rest) for line in re.split(_LINE_BREAK, text) if (rest := without_title(line, title)) is not None})
 
     return pd.Series([one(d, t) for d, t in zip(documents, texts, strict=True)], dtype=object)
 
 
-def read_noise(df: DataFrame, document: str, page: str, columns: list[str]) -> DataFrame:
-    """``df`` with a column ``noise``: for each of ``columns`` its kinds of noise and its repaired text.
+def title_shapes(units: DataFrame) -> DataFrame:
+    """(unit, shapes): of the lines with the document's title the shapes that SHAPE_PAGES pages or more have."""
+    own = materialize(units.select("unit", "document", page_number(F.col("page")).alias("page"), F.explode(_shapes("document", "text")).alias("shape")), "shapes")
+    pages = own.select("shape", "document", "page").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("pages"))
+    known = pages.where(F.col("pages") >= SHAPE_PAGES).withColumn("known", F.lit(True)).select("shape", "known")
+    return skew_lookup(own.select("unit", "shape"), known, ["shape"], "inner").groupBy("unit").agg(F.collect_set("shape").alias("shapes"))
+
 
-    Vocabulary and line shapes come from all of ``df``, and the workers get all of
-    them that several texts hold.
+def edge_lines(units: DataFrame) -> DataFrame:
+    """(unit, edges): ``t`` and ``b`` where the first or last line of a text repeats at that edge of its document's pages.
+
+    Lines are compared in strokes without numbers; copies of a page count once.
+    """
+    lines = F.filter(F.split("text", _LINE_BREAK), lambda x: F.trim(x) != "")
+    edges = F.array(F.struct(F.lit("t").alias("edge"), F.get("l", F.lit(0)).alias("line")), F.struct(F.lit("b").alias("edge"), F.get("l", F.size("l") - 1).alias("line")))
+    rows = units.select("unit", "document", page_number(F.col("page")).alias("page"), lines.alias("l")).where(F.size("l") > 1).select("unit", "document", "page", F.explode(edges).alias("e"))
+    shape = F.regexp_replace(strokes_of(F.regexp_replace("e.line", r"(?U)\b\d+\b", "#")), r"(?U)[^\w#]|_", "")
+    rows = rows.select("unit", "document", "page", "e.edge", shape.alias("shape"))
+    pages = rows.select("document", "page").distinct().groupBy("document").agg(F.count(F.lit(1)).alias("of"))
+    long = rows.where(F.length(F.replace("shape", F.lit("#"), F.lit(""))) >= EDGE_LETTERS)
+    seen = long.select("document", "edge", "shape", "page").distinct().groupBy("document", "edge", "shape").agg(F.count(F.lit(1)).alias("pages"))
+    known = seen.where(F.col("pages") >= EDGE_PAGES).join(pages, "document").where(F.col("pages") >= EDGE_SHARE * F.col("of")).select("document", "edge", "shape")
+    hits = long.join(materialize(known, "edges"), ["document", "edge", "shape"], "left_semi")
+    return hits.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_set("edge")), "").alias("edges"))
+
+
+_STRIPPED = T.StructType([
+    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("halves", T.ArrayType(T.StringType())),
+    T.StructField("wholes", T.ArrayType(T.StringType())),
+])
+
+
+@F.pandas_udf(_STRIPPED)
+def _strip(documents: pd.Series, pages: pd.Series, texts: pd.Series, shapes: pd.Series, edges: pd.Series) -> pd.DataFrame:
+    """``documents`` is null where the text lacks the title."""
+    out = []
+    for document, page, text, own, edge in zip(documents, pages, texts, shapes, edges, strict=True):
+        known = set(own) if own is not None else set()
+        kinds, lines = Reader({}, known).strip(re.split(_LINE_BREAK, text), document, page, edge or "")
+        pairs = set(halves(lines))
+        out.append((sorted(kinds), lines, sorted({x for p in pairs for x in p}), sorted({a + b for a, b in pairs})))
+    return pd.DataFrame(out, columns=_STRIPPED.names)
+
+
+_MENDED = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("repaired", T.StringType())])
+
+
+@F.pandas_udf(_MENDED)
+def _mend(kinds: pd.Series, lines: pd.Series, words: pd.Series, fixes: pd.Series) -> pd.DataFrame:
+    out = []
+    for have, own, vocabulary_, fix in zip(kinds, lines, words, fixes, strict=True):
+        reader = Reader({w["word"]: w["texts"] for w in vocabulary_}, set(), {f["part"]: (f["low"], f["word"]) for f in fix})
+        out.append(reader.mend(list(own), set(have)))
+    return pd.DataFrame(out, columns=["kinds", "repaired"])
+
+
+def text_units(df: DataFrame, document: str, page: str, columns: list[str]) -> DataFrame:
+    """Each distinct (document, page, text) once in canonical spelling, with its digest ``unit`` and the number of fields ``n`` that hold it."""
+    rows = _fields(df, document, page, columns, []).groupBy("unit").agg(
+        F.any_value("document").alias("document"), F.any_value("page").alias("page"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")
+    )
+    soft = rows.withColumn("text", F.regexp_replace("text", "­(?=[ \\t]*[\\r\\n])", "-"))
+    return canonicalize(canonicalize(soft, "text", "text"), "document", "document")
+
+
+def _fields(df: DataFrame, document: str, page: str, columns: list[str], keep: list[str]) -> DataFrame:
+    """One row per non-empty field: ``keep``, field, document, page, text and the digest ``unit`` of the last three."""
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns))
+    rows = df.select(*keep, F.col(document).cast("string").alias("document"), F.col(page).cast("string").alias("page"), F.explode(fields).alias("f"))
+    rows = rows.select(*keep, "document", "page", "f.field", "f.text").where("text <> ''")
+    marked = F.concat_ws("\x1f", F.coalesce("document", F.lit("\x00")), F.coalesce("page", F.lit("\x00")), "text")
+    return rows.withColumn("unit", F.unhex(F.md5(marked)))
+
+
+def noisy_units(units: DataFrame) -> DataFrame:
+    """(unit, kinds, repaired) of the units that have noise. ``units`` as ``text_units`` gives them, written."""
+    ship(units.sparkSession)
+    text = F.col("text")
+    # tokens and vocabulary, over all units
+    tokens = materialize(units.select(F.explode(_tokens(text)).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("texts")), "tokens")
+    parts = _parts(tokens).groupBy("part").agg(F.sum("texts").alias("texts"))
+    words = materialize(vocabulary(parts), "vocabulary")
+    index = materialize(_index(words), "strokes")
+    # running lines, page numbers and divided words: only units with a trace of one
+    number = F.regexp_extract("page", r"^\s*(\d+)(?:\.0*)?\s*$", 1).try_cast("bigint")
+    many = text.rlike("[\r\n]")
+    page_line = (text.rlike(_JVM_PAGE) & ~text.rlike(_JVM_NUMBER)) | text.rlike(_JVM_ROMAN) | (text.rlike(_JVM_BARE) & (many | (F.trim(text).try_cast("bigint") == number)))
+    own_title = _letters(F.col("document"))
+    titled = F.coalesce((own_title != "") & _letters(text).contains(own_title), F.lit(False))
+    marked = units.select("unit", "document", "page", "text", titled.alias("titled"), F.coalesce(page_line, F.lit(False)).alias("paged"), text.rlike(_JVM_HYPHEN).alias("hyphened"))
+    shapes = title_shapes(marked.where("titled"))
+    edges = edge_lines(units.where(many))
+    suspects = marked.join(shapes, "unit", "left").join(edges, "unit", "left").where("titled OR paged OR hyphened OR edges IS NOT NULL")
+    stripped = materialize(suspects.select("unit", _strip(F.when(F.col("titled"), F.col("document")), "page", "text", "shapes", "edges").alias("s")).select("unit", "s.*"), "stripped")
+    # misread words, over distinct tokens; wholes of divided words may be misread too
+    wholes = stripped.select("unit", F.explode("wholes").alias("token"))
+    tokens = tokens.select("token").unionByName(wholes.select("token")).distinct()
+    fixes = materialize(corrections(_parts(tokens).select("part").distinct(), words, index), "fixes")
+    wrong = materialize(_parts(tokens).join(fixes, "part").select("token", "part", "low", "word"), "wrong")
+    held = units.select("unit", F.explode(_tokens(text)).alias("token")).unionByName(wholes)
+    # a few misread words travel to the texts; many meet the tokens in a shuffle
+    few = wrong.count() <= BROADCAST_ROWS
+    hits = held.join(F.broadcast(wrong) if few else wrong, "token").groupBy("unit").agg(F.collect_list(F.struct("part", "low", "word")).alias("fixes"))
+    forms = stripped.select("unit", F.explode(F.array_distinct(F.concat("halves", "wholes", F.transform("wholes", _core)))).alias("form"))
+    slices = _slices(forms, "unit", index)
+    both = units.select("unit", "text").join(hits, "unit", "left").join(stripped.select("unit", "kinds", "lines"), "unit", "left")
+    both = both.where("fixes IS NOT NULL OR kinds IS NOT NULL").join(slices, "unit", "left")
+    none = lambda kind: F.array().cast(kind)
+    mended = _mend(
+        F.coalesce("kinds", none("array<string>")), F.coalesce("lines", F.split("text", _LINE_BREAK)), F.coalesce("words", none(_WORDS)),
+        F.coalesce("fixes", none("array<struct<part: string, low: string, word: string>>")),
+    )
+    return both.select("unit", mended.alias("m")).select("unit", "m.kinds", "m.repaired").where(F.size("kinds") > 0)
+
+
+def read_noise(df: DataFrame, key: str, document: str, page: str, columns: list[str]) -> DataFrame:
+    """(key, field, kinds, repaired) for every field of ``columns`` that has noise: its kinds and the repaired text.
+
+    Vocabulary and line shapes come from all of ``df``. Null and empty texts have
+    none; a null document has no title, a null page allows only decorated page
+    numbers. Repeated rows give repeated results.
     """
-    spark = df.sparkSession
-    texts = df.select(F.explode(F.array(*columns)).alias("text")).where("text IS NOT NULL")
-    known = vocabulary(texts).where(F.col("texts") > 1).collect()
-    shapes = line_shapes(df, document, columns).where(F.col("texts") >= SHAPE_TEXTS).collect()
-    given = spark.sparkContext.broadcast(({r[0]: r[1] for r in known}, {r[0] for r in shapes}))
-    kind = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("repaired", T.StringType())]))
-
-    @F.pandas_udf(kind)
-    def noise(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        reader = Reader(*given.value)
-        for documents, pages, *fields in batches:
-            out = []
-            for doc, pg, *row in zip(documents, pages, *fields, strict=True):
-                done: dict[str | None, tuple] = {}
-                for t in row:
-                    if t not in done:
-                        done[t] = reader.read(t, doc, pg)
-                out.append([(c, *done[t]) for c, t in zip(columns, row, strict=True)])
-            yield pd.Series(out, dtype=object)
-
-    df = spread(df)
-    given_columns: list[Column] = [F.col(document).cast("string"), F.col(page).cast("string"), *map(F.col, columns)]
-    return df.withColumn("noise", noise(*given_columns))
+    units = materialize(text_units(df, document, page, columns), "units")
+    noisy = materialize(noisy_units(units), "noisy")
+    rows = _fields(df, document, page, columns, [key]).select(key, "field", "unit")
+    return skew_lookup(rows, noisy, ["unit"], "inner").select(key, "field", "kinds", "repaired")

@@ -138,14 +138,20 @@ def test_read(text, kinds, repaired):
     assert READER.read(text, "Fern_Yard_00010", "12.0") == (kinds, repaired)
 
 
+def noise_of(df, columns):
+    found = {}
+    for r in scan_noise.read_noise(df, "id", "document", "page", columns).collect():
+        found.setdefault(r["id"], {})[r["field"]] = (r["kinds"], r["repaired"])
+    return found
+
+
 def test_read_noise_learns_from_all_rows(spark):
     clean = [(i, "Fern_Yard_00010", "3", "the heated burner was scanned", None, "") for i in range(30)]
     rows = [*clean, (100, "Fern_Yard_00010", "3", "the heatcd burner", None, "x" * 60000), (101, None, None, "p. 4\nthe bur-\nner", "the", None)]
-    df = spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING, b STRING, c STRING")
-    got = {r["id"]: {n["field"]: (n["kinds"], n["repaired"]) for n in r["noise"]} for r in scan_noise.read_noise(df, "document", "page", ["a", "b", "c"]).collect()}
-    assert got[100]["a"] == (["misread"], "the heated burner") and got[0]["a"][0] == [] and got[100]["b"] == ([], None)
-    assert got[101]["a"] == (["hyphen", "page_no"], "the burner")
-    assert scan_noise.read_noise(df.limit(0), "document", "page", ["a"]).count() == 0
+    df = spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING, b STRING, c STRING").withColumn("text", F.lit("clash")).withColumn("unit", F.lit(1))
+    # fields without noise have no row
+    assert noise_of(df, ["a", "b", "c"]) == {100: {"a": (["misread"], "the heated burner")}, 101: {"a": (["hyphen", "page_no"], "the burner")}}
+    assert scan_noise.read_noise(df.limit(0), "id", "document", "page", ["a"]).count() == 0
 
 
 def test_rare_words_of_a_large_vocabulary_are_known(spark):
@@ -153,8 +159,70 @@ def test_rare_words_of_a_large_vocabulary_are_known(spark):
     many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:12]]
     text = " ".join(many)
     rows = [(1, "d", "1", text), (2, "d", "1", text), (3, "d", "1", "a zebra"), (4, "d", "1", "the zebra"), (7, "d", "1", "zebra too"), (5, "d", "1", "the zeb-\nra"), (6, "d", "1", text), (8, "d", "1", text)]
-    got = {r["id"]: r["noise"][0] for r in scan_noise.read_noise(spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING"), "document", "page", ["a"]).collect()}
-    assert len(many) > 200_000 and got[5]["kinds"] == ["hyphen"] and got[5]["repaired"] == "the zebra"
+    got = noise_of(spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING"), ["a"])
+    assert len(many) > 200_000 and got[5]["a"] == (["hyphen"], "the zebra")
+
+
+def test_running_lines_without_the_title(spark):
+    body = ["the burner of the annex was scanned", "the boiler of the works was entered", "the housing of the dock was weighed"]
+    pages = [(i, "Fern_Yard_00010", str(i), f"STRICTLY CONFIDENTIAL - Harrow Works\n{body[i % 3]} {i}\nand signed in row {i * 7}\nRelea{'s5'[i % 2]}ed by Quality Office") for i in range(60)]
+    rows = [*pages, (100, "Other", "1", "STRICTLY CONFIDENTIAL - Harrow Works\nstands here once"), (101, "Fern_Yard_00010", "70", "a line\nReleased by Quality Office\nin the middle")]
+    got = noise_of(spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING"), ["a"])
+    assert got == {i: {"a": (["running"], f"{body[i % 3]} {i} and signed in row {i * 7}")} for i in range(60)}
+
+
+def test_strokes_and_misreadings(spark):
+    for read, true in scan_noise.CONFUSIONS:
+        assert scan_noise.strokes(read) == scan_noise.strokes(true)
+        assert scan_noise.misreads(f"x{read}y{read}z", f"x{true}y{true}z") and not scan_noise.misreads(f"x{read}y", f"q{true}y")
+    assert not scan_noise.misreads("same", "same") and not scan_noise.misreads("cccp", "eeep") and scan_noise.misreads("0p0r0tc", "oporote")
+    words = ["Modern Burner", "rn|!@$0156", "", None, "ﬁW"]
+    got = spark.createDataFrame([(w,) for w in words], "w STRING").select(scan_noise.strokes_of(F.col("w"))).collect()
+    assert [r[0] for r in got] == [w if w is None else scan_noise.strokes(w) for w in words]
+
+
+def test_the_distributed_reader_equals_one_with_the_whole_vocabulary(spark):
+    rng = random.Random(8)
+    known = ["scanned", "burner", "whereas", "modern", "copy", "during", "approved", "items", "column", "winding", "the", "of", "row"]
+    docs = ["Fern_Yard_00010", "Elm Dock 2", None]
+
+    def line():
+        words = [rng.choice(known) for _ in range(rng.randint(2, 6))]
+        if rng.random() < 0.4:
+            i = rng.randrange(len(words))
+            read, true = rng.choice(scan_noise.CONFUSIONS)
+            words[i] = words[i].replace(true, read, 1)
+        return " ".join(words) + rng.choice(["", "", ".", "!", " RAR-73741"])
+
+    def text():
+        lines = [line() for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.4:
+            w = rng.choice(known[:10])
+            lines[-1:] = [lines[-1] + " " + w[:3] + "-", w[3:] + " " + line()]
+        if rng.random() < 0.3:
+            lines.insert(rng.choice([0, len(lines)]), rng.choice(["Fern Yard 00010", "fern yard 0001O", "Elm Dock 2   7", "- 7 -", "xii", "7", "8", ""]))
+        return rng.choice(["\n", "\r\n"]).join(lines)
+
+    rows = [(i, rng.choice(docs), rng.choice(["7", "7.0", None]), text(), rng.choice([None, "", text()])) for i in range(500)]
+    got = noise_of(spark.createDataFrame(rows, "id INT, document STRING, page STRING, a STRING, b STRING"), ["a", "b"])
+    tokens = Counter()
+    for t in (t for r in rows for t in r[3:] if t):
+        tokens.update({k for k in scan_noise._TOKEN.findall(t.lower())})
+    counts = Counter()
+    for token, n in tokens.items():
+        for part in token.replace("/", "-").split("-") if not scan_noise._IDENTIFIER.search(token) else []:
+            core = part.rstrip("!|$").lstrip("|$")
+            if core.isalpha() and len(core) > 1:
+                counts[core] += n
+    reader = scan_noise.Reader({w: n for w, n in counts.items() if n > 1}, set())
+    want = {}
+    for i, document, page, *texts in rows:
+        for field, t in zip("ab", texts, strict=True):
+            kinds, repaired = reader.read(t, document, page)
+            if kinds:
+                want.setdefault(i, {})[field] = (kinds, repaired)
+    assert sum(len(v) for v in want.values()) > 200
+    assert [(i, got.get(i), want.get(i)) for i in range(500) if got.get(i) != want.get(i)][:3] == []
 
 
 # leaks
