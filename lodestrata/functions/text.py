@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that carry technical meaning and are read wrongly at a cost.
-HIGH_RISK = "Ωω±∓≥≤Δ∆μµ°→↔≠≈≅×÷∞∑√∂∫∇λθφστα βγδεηκπχψξζ∈∉⊂⊃∩∪".replace(" ", "")
+HIGH_RISK = "Ωω±∓≥≤Δ∆μµ°→↔≠≈≅×÷∞∑√∂∫∇λθφσταβγδεηκπχψξζ∈∉⊂⊃∩∪"
 # Signs that stand for the same dash.
 DASHES = "–—−‒﹘﹣－"
 # Marks that separate the parts of ordinary values.

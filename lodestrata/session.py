@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,23 +24,42 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf: st
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.appName(app).config(map=settings)
-    return (builder.master(master) if master else builder).getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder of this
-    machine is made and set as the checkpoint folder.
+    A local master without the setting gets a temporary folder, which goes when
+    Python ends; on a cluster its absence is an error, for a folder of one machine
+    would lose rows there.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
         configured = context.getCheckpointDir()
     return configured.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as one of its own."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path; a file system that can't be asked is an error, not an absence."""
+    system, target = file_system(spark, path)
+    return system.exists(target)
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,7 +69,17 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._lodestrata_path = path
+    return held
+
+
+def discard(held: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for a frame that nothing reads any more (a round of an iteration that the next one replaced)."""
+    path = getattr(held, "_lodestrata_path", None)
+    if path:
+        system, target = file_system(held.sparkSession, path)
+        system.delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -69,7 +100,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lodestrata_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lodestrata-code-")) / "lodestrata.zip"
+    folder = tempfile.mkdtemp(prefix="lodestrata-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "lodestrata.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions import text
 from lodestrata.operators import geometry
+from lodestrata.session import ship
 
 CELL = "struct<row:int,column:int,text:string,confidence:double,status:string,bbox:array<double>>"
 TABLE = f"struct<status:string,source:string,rows:array<struct<row:int,cells:array<{CELL}>>>>"
@@ -120,23 +121,25 @@ def with_engine(images: DataFrame, engine: Callable[[bytes], list[tuple[str, flo
     """Blocks that an external text engine finds on page images (path, content): the boundary to such engines.
 
     ``engine`` takes the bytes of an image and gives text, confidence and polygon of
-    each block. A page that it can't read gives no blocks.
+    each block. A page that it fails on has one row without a block and with the
+    error, so it does not look empty; ``error`` is null elsewhere.
     """
+    ship(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    found = engine(content)
-                except Exception:
-                    found = []
-                rows.extend((path, i, t, round(float(c), 4), p) for i, (t, c, p) in enumerate(found))
-            yield pd.DataFrame(rows, columns=["path", "block_index", "text", "confidence", "polygon"])
+                    rows.extend([(path, i, t, round(float(c), 4), p, None) for i, (t, c, p) in enumerate(engine(content))])
+                except Exception as error:
+                    rows.append((path, None, None, None, None, f"{type(error).__name__}: {error}"))
+            frame = pd.DataFrame(rows, columns=["path", "block_index", "text", "confidence", "polygon", "error"])
+            yield frame.astype({"block_index": "Int32", "confidence": "float64"})
 
     schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("block_index", T.IntegerType()), T.StructField("text", T.StringType()),
-        T.StructField("confidence", T.DoubleType()), T.StructField("polygon", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("confidence", T.DoubleType()), T.StructField("polygon", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("error", T.StringType()),
     ])
     found = images.select("path", "content").mapInPandas(run, schema)
-    return found.withColumn("bbox", geometry.polygon_box(F.col("polygon"))).drop("polygon").withColumn("text", text.squash(F.col("text")))
+    return found.withColumn("bbox", geometry.polygon_box(F.col("polygon"))).drop("polygon").withColumn("text", F.when(F.col("text").isNotNull(), text.squash(F.col("text"))))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.operators import merge
-from lodestrata.sinks.writers import replace_table
+from lodestrata.session import discard, materialize
+from lodestrata.sinks.writers import held_rows, replace_table
 
 
 def windowed_counts(events: DataFrame, at: str, by: list[str], width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -25,22 +26,31 @@ def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late:
     return counts.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), by, "n")
 
 
-def upsert_stream(decisions: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep ``table`` at the last row of each key while decisions arrive.
+def upsert_stream(decisions: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str, buckets: int | None = None) -> StreamingQuery:
+    """Keep ``table`` at the last row of each key while decisions arrive; a batch that is delivered again changes nothing.
 
-    A batch is merged with the table and replaces it as a whole; a batch that is
-    delivered again changes nothing.
+    Without ``buckets`` a batch is merged with the table and replaces it as a whole.
+    With them the table is partitioned by a hash of the key (column ``bucket``), and
+    only the partitions that the batch touches are read and written again. A table
+    that is there but can't be read fails the stream and stays as it is.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        try:
-            held = batch.sparkSession.read.parquet(table)
-        except Exception:
-            held = batch.limit(0)
-        both = held.unionByName(batch)
-        replace_table(merge.latest_wins(both, [F.col(k) for k in keys], [F.col(o) for o in order]), table)
+    def last(rows: DataFrame) -> DataFrame:
+        return merge.latest_wins(rows, [F.col(k) for k in keys], [F.col(o) for o in order])
 
-    return decisions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def whole(batch: DataFrame, _: int) -> None:
+        replace_table(last(held_rows(batch.sparkSession, table, batch).unionByName(batch)), table)
+
+    def by_bucket(batch: DataFrame, _: int) -> None:
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        held = held_rows(batch.sparkSession, table, new).where(F.col("bucket").isin(touched))
+        # what is overwritten must not be read meanwhile
+        rows = materialize(last(held.unionByName(new)), "upsert")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        discard(rows)
+
+    return decisions.writeStream.foreachBatch(by_bucket if buckets else whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def for_each_batch(stream: DataFrame, action: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:

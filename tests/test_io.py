@@ -57,7 +57,8 @@ def test_engine_boundary(spark):
             raise ValueError
         return [(" a  b ", 0.98765, [[1.0, 2.0], [5.0, 1.0]])]
 
-    assert [tuple(r) for r in documents.with_engine(images, engine).collect()] == [("p1", 0, "a b", 0.9877, [1.0, 1.0, 5.0, 2.0])]
+    found = documents.with_engine(images, engine).select("path", "block_index", "text", "confidence", "bbox", "error").collect()
+    assert [tuple(r) for r in found] == [("p1", 0, "a b", 0.9877, [1.0, 1.0, 5.0, 2.0], None), ("p2", None, None, None, None, "ValueError: ")]
 
 
 def test_replace_and_report(spark, tmp_path):
@@ -101,3 +102,83 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(source)
         ledger.upsert_stream(stream, table, ["key"], ["at"], str(tmp_path / f"cp{run}")).awaitTermination()
         assert sorted(map(tuple, spark.read.parquet(table).collect())) == [("k", 2, "new"), ("m", 1, "x")]
+
+
+def damage(folder):
+    for file in folder.glob("*.parquet"):
+        file.write_bytes(b"damaged")
+
+
+def test_a_damaged_table_is_an_error_and_stays(spark, tmp_path):
+    schema = "key STRING, at INT, v STRING"
+    spark.createDataFrame([("n", 1, "late")], schema).write.parquet(str(tmp_path / "in"))
+    for name, run in (
+        ("upsert", lambda at: ledger.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), at, ["key"], ["at"], at + "-cp").awaitTermination()),
+        ("report", lambda at: writers.merge_report(spark.createDataFrame([("n", 1, "late")], schema), at, "key")),
+        ("update", lambda at: writers.update_table(spark, at, lambda held: held.where("at > 0"))),
+    ):
+        at = tmp_path / name
+        spark.range(1000).selectExpr("string(id) AS key", "1 AS at", "'x' AS v").coalesce(1).write.parquet(str(at))
+        damage(at)
+        before = {p.name: p.read_bytes() for p in at.iterdir()}
+        with pytest.raises(Exception, match="(?i)parquet|damaged|footer"):
+            run(str(at))
+        assert {p.name: p.read_bytes() for p in at.iterdir()} == before
+
+
+def test_upsert_by_bucket_leaves_other_buckets_alone(spark, tmp_path):
+    schema, table = "key STRING, at INT, v STRING", tmp_path / "table"
+    spark.createDataFrame([(f"k{i}", 1, "old") for i in range(40)], schema).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    ledger.upsert_stream(stream(), str(table), ["key"], ["at"], str(tmp_path / "cp"), buckets=8).awaitTermination()
+    before = {p: p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+    spark.createDataFrame([("k7", 2, "new"), ("k7", 0, "older")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    ledger.upsert_stream(stream(), str(table), ["key"], ["at"], str(tmp_path / "cp"), buckets=8).awaitTermination()
+    after = {p: p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+    assert len({p.parent for p in before}) > 4 and len({p.parent for p in before.keys() ^ after.keys()}) == 1
+    assert {(r["key"], r["v"]) for r in spark.read.parquet(str(table)).collect()} == {(f"k{i}", "new" if i == 7 else "old") for i in range(40)}
+
+
+def test_interrupted_replacement_is_recovered(spark, tmp_path):
+    at = tmp_path / "t"
+    writers.replace_table(spark.range(3), str(at))
+    at.rename(tmp_path / "t.old-1")
+    writers.merge_report(spark.createDataFrame([(9,)], "id BIGINT"), str(at), "id")
+    assert sorted(r[0] for r in spark.read.parquet(str(at)).collect()) == [0, 1, 2, 9]
+
+
+def test_update_under_a_lock(spark, tmp_path):
+    at = str(tmp_path / "t")
+    writers.update_table(spark, at, lambda held: spark.range(2) if held is None else held)
+    with pytest.raises(ValueError, match="simulated"):
+        writers.update_table(spark, at, lambda held: (_ for _ in ()).throw(ValueError("simulated")))
+    assert spark.read.parquet(at).count() == 2
+    with writers.locked(spark, at), pytest.raises(TimeoutError), writers.locked(spark, at, timeout=0.15, poll=0.02):
+        pass
+    writers.update_table(spark, at, lambda held: held.unionByName(spark.range(2, 5)))
+    assert spark.read.parquet(at).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_versions_and_paths(spark, tmp_path):
+    at = str(tmp_path / "t")
+    for n in (2, 3):
+        writers.publish_version(spark.range(n), at)
+        assert writers.read_version(spark, at).count() == n
+    state = spark.createDataFrame([("a/../../b", "0")], "path STRING, sha256 STRING")
+    spark.createDataFrame([("0", bytearray(b"x"))], "sha256 STRING, content BINARY").write.parquet(str(tmp_path / "store"))
+    with pytest.raises(Exception, match="invalid path"):
+        writers.read_verified(spark, state, str(tmp_path / "store")).collect()
+
+
+def test_scratch_folder(spark):
+    from types import SimpleNamespace
+
+    from lodestrata import session
+
+    held = session.materialize(spark.range(4))
+    assert held.count() == 4 and session.exists(spark, held._lodestrata_path)
+    session.discard(held)
+    assert not session.exists(spark, held._lodestrata_path)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        session.scratch_root(cluster)
