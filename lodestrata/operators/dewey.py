@@ -14,14 +14,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE_SCHEMA = "owner STRING, path STRING, dewey STRING, parent STRING, ordinal INT, name STRING, kind STRING, value STRING, attributes MAP<STRING,STRING>"
+from lodestrata.session import ship
+
+NODE_SCHEMA = "owner STRING, path STRING, dewey STRING, ordinal INT, name STRING, kind STRING, value STRING, attributes MAP<STRING,STRING>"
 #: Nodes in one Arrow batch that leaves the walker.
 BATCH_NODES = 20_000
 
@@ -63,20 +66,23 @@ def shred(df: DataFrame, owner: Column, column: str) -> dict[str, DataFrame]:
             label = F.concat_ws(".", "parent", F.col("ordinal").cast("string"))
             inner = rows.select("owner", F.col("dewey").alias("parent"), F.posexplode(F.map_entries(node) if mapped else node).alias("ordinal", "entry"))
             inner = inner.select(
-                "owner", label.alias("dewey"), "parent", "ordinal",
+                "owner", label.alias("dewey"), "ordinal",
                 (F.col("entry.key").cast("string") if mapped else F.lit(None).cast("string")).alias("name"),
                 (F.col("entry.value") if mapped else F.col("entry")).alias("node"),
             )
             path = f"{at}{'{}' if mapped else '[]'}"
-            tables[path] = inner
+            tables[path] = inner.select("owner", "dewey", parent_label(F.col("dewey")).alias("parent"), "ordinal", "name", "node")
             descend(inner.select("owner", "dewey", "node"), F.col("node"), kind.valueType if mapped else kind.elementType, path)
 
     descend(root, F.col("node"), df.schema[column].dataType, column)
     return tables
 
 
-def shred_json(df: DataFrame, owner: Column, text: Column) -> DataFrame:
-    """Nodes of JSON text: every array element and every container, with its scalar attributes.
+def shred_json(df: DataFrame, owner: Column, text: Column, paths: str | None = None, attributes: list[str] | None = None) -> DataFrame:
+    """Nodes of JSON text: every array element and every container, with its scalar attributes; one walk over each text.
+
+    ``paths`` (a pattern for the schema path) and ``attributes`` say which nodes and
+    attributes leave the walk, by default all.
 
     ``path`` is the schema path: ``[]`` for an element, ``.name`` for a member,
     digits at the end of a name read ``#`` (``column_7`` is ``column_#``). A lone
@@ -86,12 +92,16 @@ def shred_json(df: DataFrame, owner: Column, text: Column) -> DataFrame:
     text. Null, empty and unreadable text give no nodes.
     """
     source = df.select(owner.cast("string").alias("owner"), text.cast("string").alias("text")).where(F.col("text").isNotNull())
-    return source.mapInArrow(_walk_batches, NODE_SCHEMA)
+    ship(df.sparkSession)
+    nodes = source.mapInArrow(partial(_walk_batches, paths=paths, attributes=attributes), NODE_SCHEMA)
+    return nodes.withColumn("parent", parent_label(F.col("dewey")))
 
 
-def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["owner", "path", "dewey", "parent", "ordinal", "name", "kind", "value", "attributes"]
-    kinds = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string())]
+def _walk_batches(batches: Iterator[pa.RecordBatch], paths: str | None, attributes: list[str] | None) -> Iterator[pa.RecordBatch]:
+    names = ["owner", "path", "dewey", "ordinal", "name", "kind", "value", "attributes"]
+    kinds = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string())]
+    pattern, wanted = re.compile(paths or ""), None if attributes is None else set(attributes)
+    leaves = cache(lambda path: bool(pattern.search(path)))
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
@@ -101,7 +111,7 @@ def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _walk(owner, text, out)
+            _walk(owner, text, out, leaves, wanted)
             if len(out) >= BATCH_NODES:
                 yield flush()
     if out:
@@ -130,7 +140,7 @@ def _scalar(value) -> str | None:
     return json.dumps(value)
 
 
-def _walk(owner: str | None, text: str, out: list[tuple]) -> None:
+def _walk(owner: str | None, text: str, out: list[tuple], leaves: Callable[[str], bool], wanted: set[str] | None) -> None:
     try:
         top = _unwrap(json.loads(text))
     except (ValueError, RecursionError):
@@ -139,24 +149,27 @@ def _walk(owner: str | None, text: str, out: list[tuple]) -> None:
         top = [top]
     if not isinstance(top, list):
         return
-    stack = [(v, "[]", str(i), None, i, None) for i, v in enumerate(top)]
+    stack = [(v, "[]", str(i), i, None) for i, v in enumerate(top)]
     stack.reverse()
     while stack:
-        value, path, dewey, parent, ordinal, name = stack.pop()
+        value, path, dewey, ordinal, name = stack.pop()
         value = _unwrap(value)
+        leaving = leaves(path)
         if isinstance(value, dict):
             scalars, inner = [], []
             for i, (k, v) in enumerate(value.items()):
                 v = _unwrap(v)
                 # members of a keyed container (column_1, column_2, ...) are rows, not attributes
                 if isinstance(v, dict | list) or _DIGITS.search(k):
-                    inner.append((v, f"{path}.{_DIGITS.sub('#', k)}", f"{dewey}.{i}", dewey, i, k))
-                else:
+                    inner.append((v, f"{path}.{_DIGITS.sub('#', k)}", f"{dewey}.{i}", i, k))
+                elif leaving and (wanted is None or k in wanted):
                     scalars.append((k, _scalar(v)))
-            out.append((owner, path, dewey, parent, ordinal, name, "object", None, scalars))
+            if leaving:
+                out.append((owner, path, dewey, ordinal, name, "object", None, scalars))
             stack.extend(reversed(inner))
         elif isinstance(value, list):
-            out.append((owner, path, dewey, parent, ordinal, name, "array", None, None))
-            stack.extend((v, f"{path}[]", f"{dewey}.{i}", dewey, i, None) for i, v in reversed(list(enumerate(value))))
-        else:
-            out.append((owner, path, dewey, parent, ordinal, name, "null" if value is None else "scalar", _scalar(value), None))
+            if leaving:
+                out.append((owner, path, dewey, ordinal, name, "array", None, None))
+            stack.extend((v, f"{path}[]", f"{dewey}.{i}", i, None) for i, v in reversed(list(enumerate(value))))
+        elif leaving:
+            out.append((owner, path, dewey, ordinal, name, "null" if value is None else "scalar", _scalar(value), None))

@@ -147,8 +147,8 @@ def _below(edge: Edge, frontier: DataFrame) -> DataFrame:
         edge.parent_key.cast("string").alias("target_key"),
         F.date_format(edge.time, "yyyy-MM").alias("ref_month"),
     )
-    gone = frontier.where(F.col("table") == edge.parent).select(F.col("key").alias("target_key"))
-    return rows.join(gone, "target_key", "left_semi").select(rows.columns)
+    gone = frontier.where(F.col("table") == edge.parent).select(F.col("key").alias("target_key")).distinct()
+    return skew_lookup(rows, gone, ["target_key"], "left_semi").select(rows.columns)
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -26,7 +26,10 @@ def _orphan_graph(spark: SparkSession, folder: str):
         orphans.Reference("entity_links", "record_id", links, F.col("link_id"), F.col("record_id"), F.col("linked_at"), "records"),
         orphans.Reference("entity_retrieval_index", "record_id", nested, F.col("entity_id"), F.col("record_id"), F.col("built_at"), "records"),
     ]
+    # an element of the index is built from a link of its entity to its record, the cross-document index from the index
+    built = nested.join(links.select("entity_id", "record_id", "link_id").distinct(), ["entity_id", "record_id"])
     edges = [
+        orphans.Edge("entity_retrieval_index", "link_id", built, F.col("entity_id"), F.col("link_id"), F.col("built_at"), "entity_links"),
         orphans.Edge("cross_document_query_index", "entity_id", cross, F.col("entity_id"), F.col("entity_id"), F.col("built_at"), "entity_retrieval_index"),
     ]
     return refs, targets, edges
@@ -43,6 +46,12 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_cascade(*_orphan_graph(spark, folder)))
 
 
+def p1_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans by table and depth: direct ones at 0, what hangs below them from 1 on."""
+    found = orphans.orphan_cascade(*_orphan_graph(spark, folder))
+    return found.groupBy("ref_table", "ref_field", "depth", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ref_key").alias("n_rows"))
+
+
 def _number(column) -> F.Column:
     return F.regexp_extract(column, r"(\d+)$", 1).try_cast("int")
 
@@ -51,17 +60,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Flat children of records, retrieval index and cross-document index."""
     records = dewey.shred(table(spark, folder, "records"), F.col("record_id"), "fields")["fields{}"]
     index = dewey.shred(table(spark, folder, "entity_retrieval_index"), F.col("entity_id"), "records")
-    cross = dewey.shred_json(table(spark, folder, "cross_document_query_index"), F.col("entity_id"), F.col("occurrences"))
+    cross = dewey.shred_json(table(spark, folder, "cross_document_query_index"), F.col("entity_id"), F.col("occurrences"), rf"^\[\]$|{FIELD_PATH}", ["column_index", "field_key"])
     element, position = F.col("node").isNotNull(), F.split_part("dewey", F.lit("."), F.lit(1)).cast("int")
     zero, here = F.lit(0), F.col("ordinal")
     parts = [
         records.where(element).select(F.lit("records").alias("owner_table"), F.col("owner").alias("owner_key"), zero.alias("item_pos"), _number("name").alias("column_index")),
         index["records[]"].where(element).select(F.lit("entity_retrieval_index"), "owner", here, zero),
         index["records[].fields[]"].where(element).select(F.lit("entity_retrieval_index"), "owner", position, F.col("node.column_index")),
-        cross.where((F.col("path") == "[]") & (F.col("kind") != "null")).select(F.lit("cross_document_query_index"), "owner", here, zero),
-        cross.where(F.col("path").rlike(FIELD_PATH) & (F.col("kind") != "null")).select(
+        cross.where(F.col("kind") != "null").select(
             F.lit("cross_document_query_index"), "owner", position,
-            F.coalesce(_number("name"), F.col("attributes")["column_index"].try_cast("int"), _number(F.col("attributes")["field_key"])),
+            F.when(F.col("path") == "[]", zero).otherwise(F.coalesce(_number("name"), F.col("attributes")["column_index"].try_cast("int"), _number(F.col("attributes")["field_key"]))),
         ),
     ]
     out = parts[0]
@@ -76,7 +84,7 @@ def p6_field_table(spark: SparkSession, folder: str) -> DataFrame:
     return fields.where(F.col("node").isNotNull()).select("owner", "dewey", "parent", "ordinal", "node.column_index", "node.header", "node.value").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_field_table": p6_field_table}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_cascade": p1_cascade, "p6_found": p6_found, "p6_field_table": p6_field_table}
 
 _P1 = """
 WITH target AS (
@@ -99,17 +107,30 @@ WITH target AS (
 )
 """
 
+_CASCADE = """, bad AS (SELECT ref_table, ref_field, ref_key, target_key, ref_month, reason FROM direct WHERE reason IS NOT NULL),
+below_link AS (
+  SELECT DISTINCT n.entity_id AS ref_key, CAST(l.link_id AS VARCHAR) AS target_key, strftime(n.built_at, '%Y-%m') AS ref_month
+  FROM (SELECT entity_id, built_at, r.record_id AS record_id FROM (SELECT entity_id, built_at, unnest(records) AS r FROM entity_retrieval_index)) n
+  JOIN entity_links l ON l.entity_id = n.entity_id AND l.record_id = n.record_id
+  WHERE CAST(l.link_id AS VARCHAR) IN (SELECT ref_key FROM bad WHERE ref_table = 'entity_links')
+    AND n.entity_id NOT IN (SELECT ref_key FROM bad WHERE ref_table = 'entity_retrieval_index' AND ref_key IS NOT NULL)
+), below_index AS (SELECT DISTINCT entity_id AS ref_key, strftime(built_at, '%Y-%m') AS ref_month FROM cross_document_query_index WHERE entity_id IS NOT NULL),
+every AS (
+  SELECT ref_table, ref_field, ref_key, ref_month, reason, 'direct' AS kind, 0 AS depth FROM bad
+  UNION ALL SELECT 'entity_retrieval_index', 'link_id', ref_key, ref_month, 'inherited', 'inherited', 1 FROM below_link
+  UNION ALL SELECT 'cross_document_query_index', 'entity_id', ref_key, ref_month, 'inherited', 'inherited', 1 FROM below_index
+            WHERE ref_key IN (SELECT ref_key FROM bad WHERE ref_table = 'entity_retrieval_index')
+  UNION ALL SELECT 'cross_document_query_index', 'entity_id', ref_key, ref_month, 'inherited', 'inherited', 2 FROM below_index
+            WHERE ref_key IN (SELECT ref_key FROM below_link) AND ref_key NOT IN (SELECT ref_key FROM bad WHERE ref_table = 'entity_retrieval_index' AND ref_key IS NOT NULL)
+)
+"""
+
 SQL = {
+    "p1_cascade": _P1 + _CASCADE + "SELECT ref_table, ref_field, depth, kind, count(*) AS n, count(DISTINCT ref_key) AS n_rows FROM every GROUP BY ALL",
     "p1_found": _P1 + "SELECT ref_table, ref_field, ref_key, target_key, ref_month, reason FROM direct WHERE reason IS NOT NULL",
     "p1_report": _P1
-    + """, every AS (
-  SELECT ref_table, ref_field, ref_key, ref_month, reason, 'direct' AS kind FROM direct WHERE reason IS NOT NULL
-  UNION ALL
-  SELECT DISTINCT 'cross_document_query_index', 'entity_id', entity_id, strftime(built_at, '%Y-%m'), 'inherited', 'inherited'
-  FROM cross_document_query_index
-  WHERE entity_id IN (SELECT ref_key FROM direct WHERE ref_table = 'entity_retrieval_index' AND reason IS NOT NULL)
-)
-SELECT ref_table, ref_field, ref_month, count(*) FILTER (reason = 'missing') AS n_missing, count(*) FILTER (reason = 'deleted') AS n_deleted,
+    + _CASCADE
+    + """SELECT ref_table, ref_field, ref_month, count(*) FILTER (reason = 'missing') AS n_missing, count(*) FILTER (reason = 'deleted') AS n_deleted,
        count(*) FILTER (reason = 'late') AS n_late, count(*) FILTER (kind = 'direct') AS n_direct,
        count(*) FILTER (kind = 'inherited') AS n_inherited, count(DISTINCT ref_key) AS n_rows
 FROM every GROUP BY ref_table, ref_field, ref_month""",
