@@ -119,8 +119,8 @@ def canonical_text(text: str | None) -> str | None:
 
 
 def unstable(text: Column) -> Column:
-    """Whether the quick check leaves open that the text may change; decided in the JVM."""
-    return text.rlike(QUICK_CHECK)
+    """Whether the quick check leaves open that the text may change; decided in the JVM, for ASCII texts by their size."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(QUICK_CHECK)
 
 
 @F.pandas_udf(T.StringType())

@@ -342,12 +342,12 @@ _JVM_ROMAN = r"(?m)^[ \t]*+[ivxlcdm]+[ \t]*+\r?$"
 _JVM_BARE = r"(?m)^[ \t]*+\d{1,6}[ \t]*+\r?$"
 _JVM_NUMBER = r"^\s*[\d.,;:]+\s*$"
 _JVM_HYPHEN = r"(?U)[\w!@$|][-¬=] *[\r\n]"
-_JVM_TOKEN = r"(?U)[\w!@$|]+(?:[-/][\w!@$|]+)*"
+_JVM_TOKEN = r"[a-z0-9_!@$|\p{L}\p{N}]+(?:[-/][a-z0-9_!@$|\p{L}\p{N}]+)*"
 _JVM_CODE = r"^(?:[a-z]{1,4}\d{2,}|\d+[a-z]{1,3})$"
 
 
 def _letters(text: Column) -> Column:
-    return strokes_of(F.regexp_replace(text, r"(?U)[^\w!@|$]|_", ""))
+    return strokes_of(F.regexp_replace(text, r"[^A-Za-z0-9!@|$\p{L}\p{N}]+", ""))
 
 
 def _tokens(text: Column) -> Column:
@@ -383,13 +383,12 @@ def _slices(forms: DataFrame, key: str, index: DataFrame) -> DataFrame:
     return found.groupBy(key).agg(F.flatten(F.collect_list("words")).alias("words"))
 
 
-_WORDS = "ARRAY<STRUCT<word: STRING, texts: BIGINT>>"
 _FIX = T.StructType([T.StructField("low", T.StringType()), T.StructField("word", T.StringType())])
 
 
 @F.pandas_udf(_FIX)
 def _find(parts: pd.Series, words: pd.Series) -> pd.DataFrame:
-    found = [Reader({w["word"]: w["texts"] for w in own}, set()).find(p) or (None, None) for p, own in zip(parts, words, strict=True)]
+    found = [Reader({w: int(n) for w, n in _rows(own)}, set()).find(p) or (None, None) for p, own in zip(parts, words, strict=True)]
     return pd.DataFrame(found, columns=["low", "word"])
 
 
@@ -409,7 +408,7 @@ def corrections(parts: DataFrame, words: DataFrame, index: DataFrame) -> DataFra
     found = _slices(forms, "part", index)
     # a part whose strokes only it has cannot be misread
     open_ = found.where(F.exists("words", lambda w: (w["word"] != F.col("part")) & (w["texts"] >= KNOWN_TEXTS)))
-    return open_.select("part", _find("part", "words").alias("f")).where("f.low IS NOT NULL").select("part", "f.low", "f.word")
+    return open_.select("part", _find("part", _joined("words", "word", "texts")).alias("f")).where("f.low IS NOT NULL").select("part", "f.low", "f.word")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -448,7 +447,7 @@ def edge_lines(units: DataFrame) -> DataFrame:
 
 
 _STRIPPED = T.StructType([
-    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("halves", T.ArrayType(T.StringType())),
+    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("body", T.StringType()), T.StructField("halves", T.ArrayType(T.StringType())),
     T.StructField("wholes", T.ArrayType(T.StringType())),
 ])
 
@@ -461,29 +460,51 @@ def _strip(documents: pd.Series, pages: pd.Series, texts: pd.Series, shapes: pd.
         known = set(own) if own is not None else set()
         kinds, lines = Reader({}, known).strip(re.split(_LINE_BREAK, text), document, page, edge or "")
         pairs = set(halves(lines))
-        out.append((sorted(kinds), lines, sorted({x for p in pairs for x in p}), sorted({a + b for a, b in pairs})))
+        out.append((sorted(kinds), "\n".join(lines), sorted({x for p in pairs for x in p}), sorted({a + b for a, b in pairs})))
     return pd.DataFrame(out, columns=_STRIPPED.names)
 
 
-_MENDED = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("repaired", T.StringType())])
+_MENDED = T.StructType([T.StructField("kinds", T.StringType()), T.StructField("repaired", T.StringType())])
+
+
+def _joined(column: str, *fields: str) -> Column:
+    """An array of structs as text, a line for each with its fields between tabs: words hold neither, and nested values cost the workers more."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("\t", *(x[f].cast("string") for f in fields))), "\n")
+
+
+def _rows(text: str) -> list[list[str]]:
+    return [line.split("\t") for line in text.split("\n")] if text else []
 
 
 @F.pandas_udf(_MENDED)
-def _mend(kinds: pd.Series, lines: pd.Series, words: pd.Series, fixes: pd.Series) -> pd.DataFrame:
+def _mend(kinds: pd.Series, bodies: pd.Series, words: pd.Series, fixes: pd.Series) -> pd.DataFrame:
     out = []
-    for have, own, vocabulary_, fix in zip(kinds, lines, words, fixes, strict=True):
-        reader = Reader({w["word"]: w["texts"] for w in vocabulary_}, set(), {f["part"]: (f["low"], f["word"]) for f in fix})
-        out.append(reader.mend(list(own), set(have)))
+    for have, body, own, fix in zip(kinds, bodies, words, fixes, strict=True):
+        reader = Reader({w: int(n) for w, n in _rows(own)}, set(), {part: (low, word) for part, low, word in _rows(fix)})
+        found, repaired = reader.mend(re.split(_LINE_BREAK, body), set(have.split()))
+        out.append((" ".join(found), repaired))
     return pd.DataFrame(out, columns=["kinds", "repaired"])
 
 
 def text_units(df: DataFrame, document: str, page: str, columns: list[str]) -> DataFrame:
-    """Each distinct (document, page, text) once in canonical spelling, with its digest ``unit`` and the number of fields ``n`` that hold it."""
+    """Each distinct (document, page, text) once in canonical spelling, with its digest ``unit``, the number of fields ``n`` that hold it, and marks.
+
+    The marks are traces of noise, seen by patterns in the JVM: several lines, the
+    title's strokes, a page number's line, a hyphen at a line end.
+    """
     rows = _fields(df, document, page, columns, []).groupBy("unit").agg(
         F.any_value("document").alias("document"), F.any_value("page").alias("page"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")
     )
-    soft = rows.withColumn("text", F.regexp_replace("text", "­(?=[ \\t]*[\\r\\n])", "-"))
-    return canonicalize(canonicalize(soft, "text", "text"), "document", "document")
+    soft = F.when(F.octet_length("text") != F.length("text"), F.regexp_replace("text", "­(?=[ \\t]*[\\r\\n])", "-")).otherwise(F.col("text"))
+    units = canonicalize(canonicalize(rows.withColumn("text", soft), "text", "text"), "document", "document")
+    text = F.col("text")
+    many = text.rlike("[\r\n]")
+    number = F.regexp_extract("page", r"^\s*(\d+)(?:\.0*)?\s*$", 1).try_cast("bigint")
+    page_line = (text.rlike(_JVM_PAGE) & ~text.rlike(_JVM_NUMBER)) | text.rlike(_JVM_ROMAN) | (text.rlike(_JVM_BARE) & (many | (F.trim(text).try_cast("bigint") == number)))
+    title = _letters(F.col("document"))
+    titled = (title != "") & _letters(text).contains(title)
+    marks = {"many": many, "titled": titled, "paged": page_line, "hyphened": many & text.rlike(_JVM_HYPHEN)}
+    return units.withColumns({name: F.coalesce(mark, F.lit(False)) for name, mark in marks.items()})
 
 
 def _fields(df: DataFrame, document: str, page: str, columns: list[str], keep: list[str]) -> DataFrame:
@@ -505,15 +526,9 @@ def noisy_units(units: DataFrame) -> DataFrame:
     words = materialize(vocabulary(parts), "vocabulary")
     index = materialize(_index(words), "strokes")
     # running lines, page numbers and divided words: only units with a trace of one
-    number = F.regexp_extract("page", r"^\s*(\d+)(?:\.0*)?\s*$", 1).try_cast("bigint")
-    many = text.rlike("[\r\n]")
-    page_line = (text.rlike(_JVM_PAGE) & ~text.rlike(_JVM_NUMBER)) | text.rlike(_JVM_ROMAN) | (text.rlike(_JVM_BARE) & (many | (F.trim(text).try_cast("bigint") == number)))
-    own_title = _letters(F.col("document"))
-    titled = F.coalesce((own_title != "") & _letters(text).contains(own_title), F.lit(False))
-    marked = units.select("unit", "document", "page", "text", titled.alias("titled"), F.coalesce(page_line, F.lit(False)).alias("paged"), text.rlike(_JVM_HYPHEN).alias("hyphened"))
-    shapes = title_shapes(marked.where("titled"))
-    edges = edge_lines(units.where(many))
-    suspects = marked.join(shapes, "unit", "left").join(edges, "unit", "left").where("titled OR paged OR hyphened OR edges IS NOT NULL")
+    shapes = title_shapes(units.where("titled"))
+    edges = edge_lines(units.where("many"))
+    suspects = units.join(shapes, "unit", "left").join(edges, "unit", "left").where("titled OR paged OR hyphened OR edges IS NOT NULL")
     stripped = materialize(suspects.select("unit", _strip(F.when(F.col("titled"), F.col("document")), "page", "text", "shapes", "edges").alias("s")).select("unit", "s.*"), "stripped")
     # misread words, over distinct tokens; wholes of divided words may be misread too
     wholes = stripped.select("unit", F.explode("wholes").alias("token"))
@@ -526,14 +541,14 @@ def noisy_units(units: DataFrame) -> DataFrame:
     hits = held.join(F.broadcast(wrong) if few else wrong, "token").groupBy("unit").agg(F.collect_list(F.struct("part", "low", "word")).alias("fixes"))
     forms = stripped.select("unit", F.explode(F.array_distinct(F.concat("halves", "wholes", F.transform("wholes", _core)))).alias("form"))
     slices = _slices(forms, "unit", index)
-    both = units.select("unit", "text").join(hits, "unit", "left").join(stripped.select("unit", "kinds", "lines"), "unit", "left")
+    both = units.select("unit", "text").join(hits, "unit", "left").join(stripped.select("unit", "kinds", "body"), "unit", "left")
     both = both.where("fixes IS NOT NULL OR kinds IS NOT NULL").join(slices, "unit", "left")
-    none = lambda kind: F.array().cast(kind)
     mended = _mend(
-        F.coalesce("kinds", none("array<string>")), F.coalesce("lines", F.split("text", _LINE_BREAK)), F.coalesce("words", none(_WORDS)),
-        F.coalesce("fixes", none("array<struct<part: string, low: string, word: string>>")),
+        F.coalesce(F.array_join("kinds", " "), F.lit("")), F.coalesce("body", "text"), F.coalesce(_joined("words", "word", "texts"), F.lit("")),
+        F.coalesce(_joined("fixes", "part", "low", "word"), F.lit("")),
     )
-    return both.select("unit", mended.alias("m")).select("unit", "m.kinds", "m.repaired").where(F.size("kinds") > 0)
+    done = both.select("unit", mended.alias("m")).select("unit", "m.kinds", "m.repaired").where("kinds <> ''")
+    return done.withColumn("kinds", F.split("kinds", " "))
 
 
 def read_noise(df: DataFrame, key: str, document: str, page: str, columns: list[str]) -> DataFrame:
