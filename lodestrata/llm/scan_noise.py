@@ -58,6 +58,7 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _SPACING = re.compile(r"[^\w!@|$]|_")
 _CODE = re.compile(r"[a-z]{1,4}\d{2,}$|\d+[a-z]{1,3}$")
 _EDGE = "!|$"
+_HYPHENS = ("-", "¬", "=")
 _LINE_END = re.compile(r"([\w!@$|]+)[-¬=] *$")
 _LINE_START = re.compile(r"^ *([\w!@$|]+)")
 _PAGE_LINE = r"^[\W_]*+(?:pp|pg|page|seite|página|pág|blatt|p|s)?[\W_]*+\d{1,6}(?:\s*+(?:/|of|von|de)\s*+\d{1,6})?[\W_]*+$"
@@ -270,7 +271,8 @@ class Reader:
                     paragraphs.append(current)
                 current = ""
                 continue
-            end, start = _LINE_END.search(current), _LINE_START.search(line)
+            end = _divided_end(current)
+            start = _LINE_START.search(line) if end else None
             if end and start and self._divided(end.group(1), start.group(1)):
                 kinds.add(HYPHEN)
                 current = current[: end.end(1)] + line.lstrip()
@@ -320,12 +322,17 @@ def _page_line(line: str, page: int | None) -> bool:
     return bool(found) and not re.match(r"^\s*[\d.,;:]+\s*$", line)
 
 
+def _divided_end(line: str) -> re.Match | None:
+    """The piece before a hyphen at the end of a line."""
+    return _LINE_END.search(line) if line.rstrip(" ")[-1:] in _HYPHENS else None
+
+
 def halves(lines: list[str]) -> list[tuple[str, str]]:
     """The halves (lower case) that may be one word divided between two lines of a paragraph, whatever the vocabulary knows."""
     out: list[tuple[str, str]] = []
     lefts: list[str] = []
     for line in lines:
-        start, end = _LINE_START.search(line), _LINE_END.search(line)
+        start, end = _LINE_START.search(line), _divided_end(line)
         pairs = [(a, start.group(1).lower()) for a in lefts] if start else []
         out.extend(pairs)
         lefts = []
@@ -379,7 +386,7 @@ def _index(words: DataFrame) -> DataFrame:
 def _slices(forms: DataFrame, key: str, index: DataFrame) -> DataFrame:
     """(key, words): of the vocabulary the words with the strokes of any form of each key; ``forms`` has key and form."""
     asked = forms.select(key, strokes_of(F.col("form")).alias("strokes")).distinct()
-    found = skew_lookup(asked, index, ["strokes"], "inner")
+    found = asked.join(index, "strokes")
     return found.groupBy(key).agg(F.flatten(F.collect_list("words")).alias("words"))
 
 
