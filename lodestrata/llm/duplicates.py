@@ -35,7 +35,8 @@ def encode(df: DataFrame, key: str, fields: dict[str, Column], canonical: dict[s
     """(key, codes): each record as the sorted tuple of the integers of its canonical field values.
 
     ``fields`` gives the raw values as text, ``canonical`` the rule for each field
-    as a column over ``raw``. Null and empty values are values like any other.
+    as a column over ``raw``. Null and empty values are values like any other. Rows
+    with one key make one record.
     """
     names = list(fields)
     rows = df.select(
@@ -43,23 +44,23 @@ def encode(df: DataFrame, key: str, fields: dict[str, Column], canonical: dict[s
         F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.coalesce(fields[n], F.lit("")).alias("raw")) for i, n in enumerate(names)))).alias("_v"),
     ).select("_key", "_v.*")
     rule = F.coalesce(*(F.when(F.col("field") == i, canonical[n]) for i, n in enumerate(names)))
-    # texts: one shuffle of distinct raw values, counted as they are combined on the map side
-    values = rows.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
+    # texts: one shuffle of raw values, made distinct on the map side first
+    values = rows.select("field", "raw").distinct()
     values = materialize(values.select("field", F.unhex(F.md5("raw")).alias("raw_digest"), F.unhex(F.md5(rule.cast("binary"))).alias("digest")), "values")
     codes = materialize(values.select("field", "digest").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
     dictionary = values.join(codes, ["field", "digest"]).select("field", "raw_digest", "code")
     coded = skew_lookup(rows.select("_key", "field", F.unhex(F.md5("raw")).alias("raw_digest")), dictionary, ["field", "raw_digest"], "inner")
-    return coded.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return coded.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
 
 def duplicate_groups(df: DataFrame, key: str, fields: dict[str, Column], canonical: dict[str, Column]) -> DataFrame:
     """(key, keep, copies): the smallest key of each record's group and the number of records in it.
 
     Groups of any size are counted by partial sums and looked up without bringing
-    a large group together. Repeated keys count once. An empty table gives an
-    empty result.
+    a large group together. Rows that share a key are one record with the values of
+    all of them. An empty table gives an empty result.
     """
-    coded = materialize(encode(df.dropDuplicates([key]), key, fields, canonical), "tuples")
+    coded = materialize(encode(df, key, fields, canonical), "tuples")
     groups = coded.groupBy("codes").agg(F.min(key).alias("keep"), F.count(F.lit(1)).alias("copies"))
     many = groups.where(F.col("copies") > 1)
     return skew_lookup(coded, many, ["codes"], "left").select(

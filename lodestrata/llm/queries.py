@@ -30,27 +30,39 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder).where(F.col("keep") == F.col("decision_id")).select(F.col("keep").alias("keep_id"), "copies")
 
 
-def _grouped_entries(spark: SparkSession, folder: str) -> DataFrame:
-    groups = materialize(_groups(spark, folder).where(F.col("copies") > 1).select("decision_id", F.col("keep").alias("group_id")), "groups")
-    return ledger.entries(spark, folder).join(groups, "decision_id")
+def _grouped(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    groups = _groups(spark, folder).where(F.col("copies") > 1).select("decision_id", F.col("keep").alias("group_id"))
+    return entries.join(groups, "decision_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """For each group of copies the entries that verified_text and human_decision survive from."""
-    fields = {c: ledger.blank(F.col(c)) for c in ("verified_text", "human_decision")}
+    """For each group of copies the entries that verified_text and human_decision survive from.
+
+    Only whether a field is blank meets the groups, not its text.
+    """
+    fields = ["verified_text", "human_decision"]
     oldest = F.coalesce(-F.col("at"), F.lit(2**63 - 1))
-    chosen = survivors.survivors(_grouped_entries(spark, folder), ["group_id"], "decision_id", fields, [F.col("recovered"), oldest])
+    marks = ledger.entries(spark, folder).select("decision_id", "recovered", oldest.alias("age"), *(ledger.blank(F.col(c)).alias(c) for c in fields))
+    chosen = survivors.survivors(_grouped(spark, folder, marks), ["group_id"], "decision_id", {c: F.col(c) for c in fields}, [F.col("recovered"), F.col("age")], values=False)
     return chosen.where(F.col("n") > 1).select("group_id", F.col("verified_text_from").alias("text_from"), F.col("human_decision_from").alias("decision_from"))
 
 
+def _claims(spark: SparkSession, folder: str) -> DataFrame:
+    """What the entries of groups of copies say about verified_text. A source is a kind of decision, apart for entries recovered from the log."""
+    source = F.concat_ws("/", F.coalesce("human_decision", "decision", F.lit("unknown")), F.when(F.col("recovered"), "recovered"))
+    entries = ledger.entries(spark, folder).where(~ledger.blank(F.col("verified_text"))).select("decision_id", source.alias("source"), "verified_text")
+    return _grouped(spark, folder, entries)
+
+
 def p2_truths(spark: SparkSession, folder: str) -> DataFrame:
-    """Every verified text of a group of copies with the probability that it is true.
+    """Every verified text of a group of copies with the probability that it is true."""
+    return survivors.truths(_claims(spark, folder), "group_id", "source", "verified_text")
 
-    A source is a kind of decision, apart for entries recovered from the log.
-    """
-    entries = _grouped_entries(spark, folder).where(~ledger.blank(F.col("verified_text")))
-    source = F.concat_ws("/", F.coalesce("human_decision", "decision", F.lit("unknown")), F.when(F.col("recovered"), "recovered"))
-    return survivors.truths(entries.withColumn("source", source), "group_id", "source", "verified_text")
+
+def p2_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Sensitivity and specificity of every source of verified texts."""
+    quality = survivors.estimate(_claims(spark, folder), "group_id", "source", "verified_text")[1]
+    return quality.select("source", F.round("sensitivity", 4).alias("sensitivity"), F.round("specificity", 4).alias("specificity"))
 
 
 _SCANNED = ["original_text", "source_text", "verified_text"]
@@ -161,6 +173,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_truths": p2_truths,
+    "p2_sources": p2_sources,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,

@@ -118,6 +118,70 @@ def test_truths_find_bad_and_many_valued_sources(spark):
     assert max(Counter(r["g"] for r in got if r["is_true"]).values()) == 2
 
 
+def em(claims, prior=0.5):
+    """The same model by loops, until nothing moves."""
+    said = {c for c in claims if None not in c}
+    facts, present = defaultdict(set), defaultdict(set)
+    for g, s, v in said:
+        facts[g, v].add(s)
+        present[g].add(s)
+    values = defaultdict(list)
+    for g, v in facts:
+        values[g].append(v)
+    p = {(g, v): (len(ss) + prior) / (len(present[g]) + 1) for (g, v), ss in facts.items()}
+    a, b, c, d = survivors.PSEUDO_COUNTS
+    while True:
+        hit, alarm, true, false = (Counter() for _ in range(4))
+        for (g, v), q in p.items():
+            for s in present[g]:
+                true[s] += q
+                false[s] += 1 - q
+                if s in facts[g, v]:
+                    hit[s] += q
+                    alarm[s] += 1 - q
+        sens = {s: (hit[s] + a) / (true[s] + a + b) for s in true}
+        spec = {s: 1 - (alarm[s] + c) / (false[s] + c + d) for s in true}
+        new = {}
+        for g, v in p:
+            odds = math.log(prior / (1 - prior))
+            for s in present[g]:
+                odds += math.log(sens[s] / (1 - spec[s])) if s in facts[g, v] else math.log((1 - sens[s]) / spec[s])
+            new[g, v] = 1 / (1 + math.exp(-odds))
+        moved = max(abs(new[k] - p[k]) for k in p)
+        p = new
+        if moved <= 1e-6:
+            return p, sens, spec
+
+
+def test_estimate_equals_loops_and_finds_planted_quality(spark):
+    rng = random.Random(12)
+    planted = {"expert": (0.95, 0.97), "clerk": (0.7, 0.9), "machine": (0.8, 0.6), "old log": (0.4, 0.8)}
+    claims = []
+    for g in range(400):
+        true, false = [f"t{i}" for i in range(rng.choice([1, 1, 2]))], ["f0", "f1"]
+        for s, (sens, spec) in planted.items():
+            claims += [(g, s, v) for v in true + false if rng.random() < (sens if v[0] == "t" else 1 - spec)]
+    df = spark.createDataFrame(claims + claims[:50] + [(None, "clerk", "x"), (1, "clerk", None)], "g INT, s STRING, v STRING")
+    facts, quality = survivors.estimate(df, "g", "s", "v", tolerance=1e-4)
+    p, sens, spec = em(claims)
+    got = {(r["g"], r["v"]): r["probability"] for r in facts.collect()}
+    assert got.keys() == p.keys() and max(abs(got[k] - p[k]) for k in p) < 2e-3
+    found = {r["s"]: (r["sensitivity"], r["specificity"]) for r in quality.collect()}
+    assert all(abs(found[s][0] - sens[s]) < 2e-3 and abs(found[s][1] - spec[s]) < 2e-3 for s in planted)
+    # and as planted: what a source claims of the true values, and denies of the others, in the groups it speaks about
+    held, values = defaultdict(set), defaultdict(set)
+    for g, s, v in claims:
+        held[s].add((g, v))
+        values[g].add(v)
+    for s in planted:
+        seen = [((g, v) in held[s], v[0] == "t") for g in {g for g, _ in held[s]} for v in values[g]]
+        assert abs(found[s][0] - np.mean([c for c, t in seen if t])) < 0.1 and abs(found[s][1] - np.mean([not c for c, t in seen if not t])) < 0.15
+    judged = [(k[1][0] == "t") == (v >= 0.5) for k, v in got.items()]
+    assert np.mean(judged) > 0.9
+    empty = survivors.estimate(df.limit(0), "g", "s", "v")
+    assert [x.count() for x in empty] == [0, 0]
+
+
 # scanned pages
 
 READER = scan_noise.Reader({w: n for w, n in [("scanned", 900), ("burner", 500), ("whereas", 400), ("the", 5000), ("modern", 300), ("copy", 300), ("scan", 300), ("during", 900), ("was", 900), ("bumer", 3), ("approved", 400), ("items", 80)]}, {"rcv #"})
