@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,20 +399,61 @@ _OVERLAP = """(greatest(0, least(a.bbox[3], b.bbox[3]) - greatest(a.bbox[1], b.b
 _CLASSES = r"regexp_replace(regexp_replace(regexp_replace({0}, '\p{{L}}', 'L', 'g'), '\p{{N}}', 'N', 'g'), '[\s\p{{Z}}]', 'W', 'g')"
 _J = lambda *parts: "to_json([" + ", ".join(f"coalesce({p}, '')" for p in parts) + "])"
 _CONTEXT = "CASE WHEN object_type = 'TABLE_CELL' THEN concat_ws('/', table_index, column_index) ELSE '' END"
-_PAIR = f"""pair AS (SELECT *, {_CLASSES.format("original")} AS ca, {_CLASSES.format("source")} AS cb, {_CONTEXT} AS context,
-    CASE WHEN length(original) = length(source) THEN list_filter(range(1, length(original) + 1), lambda i: substr(original, i, 1) <> substr(source, i, 1)) ELSE [] END AS pos FROM {{0}}),
+_POSITIONS = "CASE WHEN length({0}) = length({1}) THEN list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1)) ELSE [] END"
+_AROUND = lambda start, n: q.squash(_CLASSES.format(q.squash(f"substr(original, {start}, {n})")))
+_PAIR = f"""pair AS (SELECT *, {_CLASSES.format("original")} AS ca, {_CLASSES.format("source")} AS cb, {_CONTEXT} AS context, {_POSITIONS.format("original", "source")} AS pos FROM {{0}}),
+changed AS (SELECT *, array_to_string(list_transform(pos, lambda i: substr(ca, i, 1) || '>' || substr(cb, i, 1)), ' ') AS edits FROM pair),
+place AS (SELECT *, unnest(pos) AS i FROM pair),
 keyed AS (
-  SELECT *, 'exact' AS family, {_J("object_type", "original", "source")} AS key FROM pair WHERE original <> '' OR source <> ''
-  UNION ALL SELECT *, 'generalized', {_J("object_type", "context", "ca", "cb")} FROM pair WHERE original <> '' AND source <> ''
-  UNION ALL SELECT *, 'structural', {_J("object_type", "context", "ca")} FROM pair WHERE original <> '' AND source <> ''
-  UNION ALL SELECT *, 'cross', {_J("object_type", "ca", "cb")} FROM pair WHERE original <> '' AND source <> ''
-  UNION ALL SELECT *, 'character_edit', {_J("object_type", "substr(original, pos[1], 1)", "substr(source, pos[1], 1)")} FROM pair WHERE len(pos) = 1)"""
+  SELECT decision_id, original, source, settled, action, document, pos, 'exact' AS family, {_J("object_type", "original", "source")} AS key FROM changed WHERE original <> '' OR source <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'generalized', {_J("object_type", "context", "ca", "cb", "edits")} FROM changed WHERE original <> '' AND source <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'structural', {_J("object_type", "context", "ca", "cb")} FROM changed WHERE original <> '' AND source <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'context', {_J("object_type", "context", "ca")} FROM changed WHERE original <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'cross_generalized', {_J("object_type", "ca", "cb", "edits")} FROM changed WHERE original <> '' AND source <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'cross_structural', {_J("object_type", "ca", "cb")} FROM changed WHERE original <> '' AND source <> ''
+  UNION ALL SELECT decision_id, original, source, settled, action, document, pos, 'local', {_J("object_type", "substr(original, i, 1)", "substr(source, i, 1)", _AROUND("greatest(1, i - 2)", "least(2, i - 1)"), _AROUND("i + 1", "2"),
+    "CASE WHEN i = 1 THEN 'START' WHEN i = length(original) THEN 'END' ELSE 'MIDDLE' END")} FROM place)"""
+_EDITED = f"""edit AS (SELECT document, object_type, settled, wrong, {_POSITIONS.format("wrong", "settled")} AS spot FROM (SELECT *, CASE WHEN action = 'original' THEN source ELSE original END AS wrong FROM seen)),
+example AS (
+  SELECT family, CAST(key AS VARCHAR) AS key, CASE WHEN family = 'exact' THEN settled ELSE action END AS v, document FROM keyed
+  UNION ALL SELECT 'character_edit', CAST({_J("object_type", "substr(wrong, spot[1], 1)", "substr(settled, spot[1], 1)")} AS VARCHAR), substr(settled, spot[1], 1), document FROM edit WHERE len(spot) = 1)"""
+_LEAST = "CASE family " + " ".join(f"WHEN '{f}' THEN examples >= {n} AND documents >= {m}" for f, (n, m) in learn.FAMILIES.items()) + " END"
 _SEEN = f"""
-WITH seen AS (SELECT DISTINCT ON (document, page, object_type, table_index, column_index, original_text, source_text, human_decision) *
-  FROM (SELECT * REPLACE ({_KIND} AS object_type, {_PAGE} AS page), {q.squash("original_text")} AS original, {q.squash("source_text")} AS source, {_SETTLED} AS settled,
-        CASE upper(trim(human_decision)) WHEN 'USER_CONFIRMED_ORIGINAL' THEN 'original' WHEN 'USER_CONFIRMED_SOURCE' THEN 'source' END AS action FROM manual_review_decisions WHERE {_HUMAN})),
+WITH typed AS (SELECT * REPLACE ({_KIND} AS object_type, {_PAGE} AS page), {q.squash("original_text")} AS original, {q.squash("source_text")} AS source FROM manual_review_decisions),
+told AS (SELECT *, {_SETTLED} AS settled, CASE upper(trim(human_decision)) WHEN 'USER_CONFIRMED_ORIGINAL' THEN 'original' WHEN 'USER_CONFIRMED_SOURCE' THEN 'source' END AS action, {_HUMAN} AS is_human FROM typed),
+seen AS (SELECT DISTINCT ON (document, page, table_index, row_index, column_index, bbox, original, source) * FROM told WHERE is_human AND settled <> ''
+         ORDER BY document, page, table_index, row_index, column_index, bbox, original, source, decision_id),
 {_PAIR.replace("{0}", "seen")},
+{_EDITED},
+rule AS (SELECT family, key, examples, documents, CASE WHEN n = 1 THEN v END AS value, CASE WHEN n > 1 THEN 'conflict' WHEN {_LEAST} THEN 'promoted' ELSE 'insufficient' END AS verdict
+         FROM (SELECT family, key, count(v) AS examples, count(DISTINCT nullif(trim(document), '')) AS documents, count(DISTINCT v) AS n, min(v) AS v FROM example GROUP BY family, key) WHERE examples > 0)
+"""
+_ASKED = (
+    _SEEN
+    + ", asked AS (SELECT * FROM told WHERE NOT is_human AND original <> '' AND source <> ''), "
+    + re.sub(r"\b(pair|changed|place|keyed)\b", r"open_\1", _PAIR.replace("{0}", "(SELECT * FROM asked WHERE original <> source)"))
+    + f""", letter AS (SELECT decision_id, a, b, unnest(list_distinct(string_split(b, ''))) AS c FROM (SELECT decision_id, {q.squash(q.repair_mojibake("original"))} AS a, {q.squash(q.repair_mojibake("source"))} AS b FROM asked) WHERE length(a) = length(b)),
+once AS (SELECT decision_id, a, c, strpos(b, c) AS i FROM letter WHERE c <> '' AND length(b) - length(replace(b, c, '')) = length(c) AND substr(a, strpos(b, c), 1) = c),
+hit AS (
+  SELECT k.decision_id, k.family, r.examples, r.key, CASE WHEN k.family = 'exact' THEN r.value WHEN r.value = 'original' THEN k.original ELSE k.source END AS verified_text
+  FROM open_keyed k JOIN rule r ON r.family = k.family AND r.key = CAST(k.key AS VARCHAR) WHERE r.verdict = 'promoted' AND (k.family <> 'local' OR len(k.pos) = 1)
+  UNION ALL
+  SELECT o.decision_id, 'character_edit', r.examples, r.key, substr(a, 1, i - 1) || (CAST(r.key AS JSON) ->> 2) || substr(a, i + 1)
+  FROM once o JOIN rule r ON r.family = 'character_edit' AND r.verdict = 'promoted' AND (CAST(r.key AS JSON) ->> 1) = o.c),
+learned AS (SELECT DISTINCT ON (decision_id) decision_id, family, verified_text FROM hit
+  ORDER BY decision_id, list_position([{", ".join(f"'{f}'" for f in learn.FAMILIES)}], family), examples DESC, encode(key))
 """
+)
+
+_TIERS = f""", h AS (SELECT * FROM d WHERE is_human AND settled <> ''),
+      e AS (SELECT document, page, original, source, min(settled) AS v FROM h GROUP BY ALL HAVING count(DISTINCT settled) = 1),
+      p AS (SELECT original, source, min(settled) AS v FROM h GROUP BY ALL HAVING count(DISTINCT settled) = 1),
+      g AS (SELECT document, page, original, min(settled) AS v FROM h WHERE object_type = 'PARAGRAPH' GROUP BY ALL HAVING count(*) = 1),
+      t AS (SELECT original, original AS v FROM h GROUP BY original HAVING bool_and(settled = original)),
+      near AS (SELECT a.decision_id, b.settled, b.decision_id AS known, {_OVERLAP} AS o FROM d a JOIN h b ON a.document = b.document AND a.page = b.page AND a.original = b.original WHERE NOT a.is_human AND a.bbox IS NOT NULL AND b.bbox IS NOT NULL),
+      pl AS (SELECT decision_id, arg_max(settled, (o, -known)) AS v FROM near WHERE o >= 0.80 GROUP BY decision_id),
+      tier AS (SELECT d.decision_id, e.v AS exact, pl.v AS place, g.v AS legacy, p.v AS pair, t.v AS text FROM d LEFT JOIN e USING (document, page, original, source) LEFT JOIN pl ON pl.decision_id = d.decision_id
+        LEFT JOIN g USING (document, page, original) LEFT JOIN p USING (original, source) LEFT JOIN t USING (original) WHERE NOT is_human)"""
 
 SQL = {
     "j5_table_diff": _DIFF + " SELECT row_key, header, left_value, right_value, status, value_relation, repeated_key FROM verdict",
@@ -441,24 +484,17 @@ SQL = {
     "agg10_consensus": f"""WITH read AS (SELECT decision_id, list_filter([{q.squash("original_text")}, {q.squash("source_text")}, {q.squash("verified_text")}], lambda t: t <> '') AS r FROM manual_review_decisions)
       SELECT decision_id, CASE WHEN len(r) = 0 THEN '' WHEN len(r) < 3 THEN r[1] WHEN r[2] = r[3] AND r[1] <> r[2] THEN r[2] ELSE r[1] END AS consensus FROM read""",
     "op_p5_structural_cells": f"SELECT document, count(*) AS n FROM manual_review_decisions WHERE {q.squash('original_text')} = '' AND bbox IS NULL GROUP BY document",
-    "agg7_rules": _SEEN
-    + """grouped AS (SELECT family, key, count(*) AS examples, count(DISTINCT document) AS documents, count(DISTINCT v) AS n, min(v) AS v
-        FROM (SELECT *, CASE WHEN family = 'exact' THEN settled ELSE action END AS v FROM keyed) WHERE v IS NOT NULL GROUP BY family, key)
-      SELECT family, CAST(key AS VARCHAR) AS key, examples, documents, CASE WHEN n = 1 THEN v END AS value,
-        CASE WHEN n > 1 THEN 'conflict' WHEN examples >= CASE WHEN family = 'cross' THEN 3 ELSE 2 END AND documents >= CASE WHEN family IN ('cross', 'character_edit') THEN 2 ELSE 1 END THEN 'promoted' ELSE 'insufficient' END AS verdict
-      FROM grouped""",
+    "agg7_rules": _SEEN + "SELECT * FROM rule",
+    "j7_rule_lookup": _ASKED + "SELECT * FROM learned",
     "agg9_outcomes": _NORMAL
     + f" SELECT decision, CASE WHEN is_human THEN 'human' WHEN {_AUTOMATIC} THEN 'automatic' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT ({_PLACE})) AS n_places FROM d GROUP BY 1, 2",
-    "j11_evidence": _NORMAL
-    + f""", h AS (SELECT * FROM d WHERE is_human AND settled <> ''),
-      e AS (SELECT document, page, original, source, min(settled) AS v FROM h GROUP BY ALL HAVING count(DISTINCT settled) = 1),
-      p AS (SELECT original, source, min(settled) AS v FROM h GROUP BY ALL HAVING count(DISTINCT settled) = 1),
-      g AS (SELECT document, page, original, min(settled) AS v FROM h WHERE object_type = 'PARAGRAPH' GROUP BY ALL HAVING count(*) = 1),
-      t AS (SELECT original, original AS v FROM h GROUP BY original HAVING bool_and(settled = original)),
-      near AS (SELECT a.decision_id, b.settled, b.decision_id AS known, {_OVERLAP} AS o FROM d a JOIN h b ON a.document = b.document AND a.page = b.page AND a.original = b.original WHERE NOT a.is_human AND a.bbox IS NOT NULL AND b.bbox IS NOT NULL),
-      pl AS (SELECT decision_id, arg_max(settled, (o, -known)) AS v FROM near WHERE o >= 0.80 GROUP BY decision_id)
-      SELECT d.decision_id, e.v AS exact, pl.v AS place, g.v AS legacy, p.v AS pair, t.v AS text FROM d LEFT JOIN e USING (document, page, original, source) LEFT JOIN pl ON pl.decision_id = d.decision_id
-        LEFT JOIN g USING (document, page, original) LEFT JOIN p USING (original, source) LEFT JOIN t USING (original) WHERE NOT is_human""",
+    "j11_evidence": _NORMAL + _TIERS + " SELECT decision_id, exact, place, legacy, pair, text FROM tier",
+    # rules are learned from the normalised decisions here: one document in two spellings is one
+    "j16_answers": _ASKED.replace("WITH typed AS", _NORMAL + _TIERS + ", typed AS", 1).replace("AS source FROM manual_review_decisions),\ntold", "AS source FROM (SELECT * EXCLUDE (original, source, settled, is_human) FROM d)),\ntold")
+    + """ SELECT t.decision_id, CASE WHEN contains(d.previous_status, 'HIGH_RISK') THEN NULL WHEN exact IS NOT NULL THEN 'exact' WHEN place IS NOT NULL THEN 'place' WHEN legacy IS NOT NULL THEN 'legacy'
+        WHEN t.pair IS NOT NULL THEN 'pair' WHEN text IS NOT NULL THEN 'text' WHEN l.verified_text IS NOT NULL THEN 'rule' END AS tier,
+      CASE WHEN contains(d.previous_status, 'HIGH_RISK') THEN NULL ELSE coalesce(exact, place, legacy, t.pair, text, l.verified_text) END AS answer
+      FROM tier t JOIN d USING (decision_id) LEFT JOIN learned l USING (decision_id)""",
     "w7_current": _NORMAL + f" SELECT DISTINCT ON ({_PLACE}) decision_id, document, page, decision FROM d ORDER BY {_PLACE}, loaded_at DESC NULLS LAST, decision_id DESC",
     "w8_authoritative": _NORMAL
     + f""", w AS (SELECT *, CAST(CASE WHEN upper(trim(coalesce(human_decision, decision))) IN ('USER_ENTERED_CORRECTION', 'USER_CORRECTION') THEN 5 WHEN upper(trim(coalesce(human_decision, decision))) = 'USER_CONFIRMED_SOURCE' THEN 4

@@ -19,6 +19,14 @@ def label(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower(coalesce({x}, '')), '°', ' degree '), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Join_C}}]+', ' ', 'g'))".replace(r"\p{Join_C}", "")
 
 
+def repair_mojibake(x: str) -> str:
+    t = x
+    for garbled, symbol in text.mojibake():
+        t = f"replace({t}, '{garbled}', '{symbol}')"
+    t = f"replace(replace({t}, '°℃', '°C'), '℃', '°C')"
+    return f"coalesce(CASE WHEN regexp_matches({x}, '[ÂÃÎÏâ℃]') THEN {t} ELSE {x} END, '')"
+
+
 def is_number(x: str) -> str:
     cleaned = f"trim(replace(translate({squash(x)}, '−–', '--'), ',', ''))"
     return rf"regexp_matches({cleaned}, '^{_PLAIN}(\s*[^0-9\s]{{1,8}})?$')"

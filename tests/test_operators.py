@@ -181,7 +181,10 @@ def test_rules_need_agreement_and_support(spark):
     got = {(r["family"], r["key"]): (r["verdict"], r["value"], r["examples"]) for r in rules.collect()}
     assert got["exact", '["TABLE_CELL","S0V","SOV"]'] == ("promoted", "SOV", 2)
     assert got["exact", '["TABLE_CELL","O","0"]'][0] == "conflict"
-    assert got["exact", '["TABLE_CELL","q","r"]'] == ("insufficient", "z", 1)
+    assert got["exact", '["TABLE_CELL","q","r"]'] == ("promoted", "z", 1)  # one settled text is enough for the very same pair
+    assert got["structural", '["TABLE_CELL","1/1","LNL","LLL"]'] == ("promoted", "source", 2) and got["cross_structural", '["TABLE_CELL","LNL","LLL"]'][0] == "insufficient"
+    assert got["local", '["TABLE_CELL","0","O","L","L","MIDDLE"]'] == ("insufficient", "source", 2)
+    assert ("structural", '["TABLE_CELL","1/1","L","L"]') not in got
     assert ("exact", '["TABLE_CELL","n","m"]') not in got
     assert got["character_edit", '["TABLE_CELL","0","O"]'][0] == "promoted"
     open_ = spark.createDataFrame([decision(10, "S0V", "SOV", None), decision(11, "R0W", "ROW", None), decision(12, "same", "same", None), decision(13, "O", "0", None)], DECISION)
