@@ -1,9 +1,9 @@
 """One spelling for texts that look the same.
 
 A text is stable when every character passes the quick check: no full-width or
-half-width form, no character that NFC changes or might change, nothing
-invisible, no space but the common one, no sign or letter that stands in for
-another of the same look. Only the unstable segments of a text are rewritten,
+half-width form, no character whose NFC quick-check property is No or Maybe or
+whose combining class is not zero, nothing invisible, no space but the common one,
+no sign or letter that stands in for another of the same look. Only the unstable segments of a text are rewritten,
 each with the boundary context its decision needs (the base letter before a
 combining mark, the whole word around a look-alike letter); the canonical
 segments are spliced into the unchanged rest.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that show nothing.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff"
+# Characters that show nothing by themselves.
+INVISIBLE = (
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0"
+    "\U000e0000-\U000e007f\U000e0100-\U000e01ef"
+)
 # Spaces other than U+0020. Tabs and line breaks are not among them.
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 # Signs that look like the ASCII hyphen.
@@ -45,21 +48,87 @@ BACK = {
 #: So many letters of its own script make a word one of that script: `kΩ` and `Δp` are no Greek words.
 WORD_OF_SCRIPT = 2
 
-_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff"
-_WIDE = "\uff01-\uffee"
-# What NFC or NFKC rewrites singly: ohm, kelvin and angstrom signs, ligatures, Greek question mark, ano teleia, varia.
-_SINGLES = "\u2126\u212a\u212b\ufb00-\ufb06\u037e\u0387\u1fef"
+#: Blocks without a character that composition changes: ideographs, Hangul syllables, Tangut and private use.
+STABLE_BLOCKS = [(0x3400, 0xA66E), (0xAC00, 0xF8FF), (0x17000, 0x1BC9C), (0x20000, 0x2F7FF)]
+
+
+def unstable_points(points: Iterable[int]) -> list[int]:
+    """Of ``points`` those that fail the quick check of NFC: it is not Yes, or the combining class is not zero.
+
+    The answer is No where a character is rewritten by itself and Maybe where it
+    may be the second of a pair that is composed.
+    """
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    second = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}  # vowels and finals of syllables
+    for c in points:
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.is_normalized("NFC", chr(c)):
+            second.add(chr(int(parts[1], 16)))
+    return [c for c in points if chr(c) in second or unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c))]
+
+
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(x, y) for x, y in out]
+
+
+_UNSTABLE_RANGES = _ranges(unstable_points(c for c in range(0x300, 0x30000) if not any(x <= c <= y for x, y in STABLE_BLOCKS)))
+_UNSTABLE = "".join(chr(x) if x == y else f"{chr(x)}-{chr(y)}" for x, y in _UNSTABLE_RANGES)
+# full- and half-width forms and the Latin ligatures are rewritten by their compatibility form
+_WIDE = "\uff01-\uff9f\uffa1-\uffee\ufb00-\ufb06"
 _FOREIGN = "".join(LOOK_ALIKES)
 
 #: For the scan: a text without any of these characters is stable and never leaves the JVM.
-QUICK_CHECK = f"[{INVISIBLE}{SPACES}{HYPHENS}{_WIDE}{_MARKS}{_SINGLES}{_FOREIGN}]|[\\p{{IsCyrillic}}\\p{{IsGreek}}]"
+QUICK_CHECK = (
+    f"(?=[^\\x00-\\x7f])[{INVISIBLE}{SPACES}{HYPHENS}{_WIDE}{_FOREIGN}\\p{{IsCyrillic}}\\p{{IsGreek}}"
+    + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in _UNSTABLE_RANGES)
+    + "]"
+)
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _SPACE = re.compile(f"[{SPACES}]")
 _HYPHEN = re.compile(f"[{HYPHENS}]")
-_SEGMENT = re.compile(f"[{_WIDE}{_SINGLES}]|[^\\s{_MARKS}][{_MARKS}]+")
+_WIDTH = re.compile(f"[{_WIDE}]+")
+#: An unstable segment with the character before it, which is all that composition looks at.
+_SEGMENT = re.compile(f"[^{_UNSTABLE}]?[{_UNSTABLE}]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSTABLE_LETTER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_JOINERS, _EMOJI_STYLES, _FLAG, _FLAG_END = "\u200c\u200d", "\ufe0e\ufe0f", "\U0001f3f4", "\U000e007f"
+
+
+def _belongs(c: str, before: str, after: str) -> bool:
+    """Whether an invisible character is part of what stands around it, as the scripts and emoji that need it have it."""
+    if not before:
+        return False
+    if c in _JOINERS:
+        letters = unicodedata.bidirectional(before) in ("AL", "NSM") and after and unicodedata.bidirectional(after) == "AL"
+        emoji = c == _JOINERS[1] and (unicodedata.category(before) in ("So", "Sk") or before == _EMOJI_STYLES[1]) and after and unicodedata.category(after) == "So"
+        return bool(letters or emoji) or unicodedata.combining(before) == 9
+    if c in _EMOJI_STYLES:
+        return unicodedata.category(before) in ("So", "Sm") or before == "\u2139" or (after == "\u20e3" and before in "0123456789#*")
+    if "\u180b" <= c <= "\u180f":
+        return unicodedata.name(before, "").startswith("MONGOLIAN LETTER")
+    if "\ufe00" <= c <= "\ufe0d" or c >= "\U000e0100":
+        return unicodedata.category(before) == "Sm" or unicodedata.name(before, "").startswith("CJK ")
+    if c in "\u115f\u1160":
+        return "\u1100" <= (after if c == "\u115f" else before) <= "\u11ff"
+    return False
+
+
+def _visible(match: re.Match) -> str:
+    run, text = match.group(), match.string
+    before, after = text[match.start() - 1 : match.start()] if match.start() else "", text[match.end() : match.end() + 1]
+    if before == _FLAG and run[-1] == _FLAG_END and all(c >= "\U000e0020" for c in run):
+        return run
+    kept = ""
+    for i, c in enumerate(run):
+        kept += c if _belongs(c, (kept or before)[-1:], run[i + 1 : i + 2] or after) else ""
+    return kept
 
 
 @lru_cache(maxsize=1 << 14)
@@ -93,28 +162,26 @@ def _word(word: str, context: set[str]) -> str:
     return "".join(LOOK_ALIKES.get(c, c) for c in word)
 
 
-def _compose(match: re.Match) -> str:
-    text = match.group()
-    if len(text) > 1:
-        return unicodedata.normalize("NFC", text)
-    return unicodedata.normalize("NFKC", text)
+def _composed(text: str) -> str:
+    return _SEGMENT.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
 
 
 def canonical_text(text: str | None) -> str | None:
     """The text with its unstable segments rewritten; null stays null, a stable text is returned as it is.
 
     Letter case, repeated spaces, tabs, line breaks and genuine words, letters and
-    symbols of other scripts are kept. A combining mark that no composed letter
+    symbols of other scripts are kept, joiners and styles that belong to them too. A combining mark that no composed letter
     exists for stays where it is.
     """
     if text is None or text.isascii():
         return text
-    out = _INVISIBLE.sub("", text)
-    out = _SEGMENT.sub(_compose, out)
+    out = _INVISIBLE.sub(_visible, text)
+    out = _composed(_WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m.group()), out))
     out = _HYPHEN.sub("-", _SPACE.sub(" ", out))
     if _UNSTABLE_LETTER.search(out):
         context = {s for w in _WORD.findall(out) for s, n in _own(w).items() if n >= WORD_OF_SCRIPT}
         out = _WORD.sub(lambda m: _word(m.group(), context) if _UNSTABLE_LETTER.search(m.group()) else m.group(), out)
+        out = _composed(out)
     return out
 
 

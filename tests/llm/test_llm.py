@@ -34,7 +34,40 @@ def test_canonical_text(written, plain):
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=40))
 def test_canonical_is_stable_and_composed(s):
     once = canonical.canonical_text(s)
-    assert canonical.canonical_text(once) == once or unicodedata.normalize("NFC", once) != once
+    assert canonical.canonical_text(once) == once and unicodedata.is_normalized("NFC", once)
+
+
+def test_every_pair_with_a_composed_letter_is_composed():
+    pairs = 0
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.is_normalized("NFC", c):
+            pairs += 1
+            apart = "".join(chr(int(p, 16)) for p in parts)
+            assert canonical.canonical_text(f"x {apart} y") == unicodedata.normalize("NFC", f"x {apart} y"), parts
+    assert pairs > 900
+    for syllable in "한글값":
+        assert canonical.canonical_text(unicodedata.normalize("NFD", syllable)) == syllable
+    assert canonical.canonical_text("か\u3099") == "が" and canonical.canonical_text("ا\u0655") == "إ" and canonical.canonical_text("ｶﾞ") == "ガ"
+
+
+def test_the_quick_check_class_holds_all_that_composition_changes():
+    outside = [c for x, y in canonical.STABLE_BLOCKS for c in range(x, y + 1)] + [*range(0x300), *range(0x30000, 0x110000)]
+    assert canonical.unstable_points(outside) == []
+    singles = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c < "\ue000" and not unicodedata.is_normalized("NFC", c)]
+    assert len(singles) > 1000 and all(unicodedata.is_normalized("NFC", canonical.canonical_text(c)) for c in singles)
+
+
+@pytest.mark.parametrize(
+    ("written", "plain"),
+    [
+        ("می\u200cخواهم", "می\u200cخواهم"), ("क्\u200dष", "क्\u200dष"), ("👩\u200d🔧", "👩\u200d🔧"), ("❤\ufe0f\u200d🔥", "❤\ufe0f\u200d🔥"), ("1\ufe0f\u20e3", "1\ufe0f\u20e3"),
+        ("🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"), ("葛\U000e0100", "葛\U000e0100"),
+        ("a\u200db", "ab"), ("mi\u200cxer", "mixer"), ("a\ufe0fb", "ab"), ("a\u3164b\U000e0041", "ab"), ("\u200dx\u200c", "x"), ("e\u200b\u0301", "é"),
+    ],
+)
+def test_invisible_characters_stay_where_they_belong(written, plain):
+    assert canonical.canonical_text(written) == plain and canonical.canonical_text(plain) == plain
 
 
 def test_quick_check_never_hides_a_change(spark):
