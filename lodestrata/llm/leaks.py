@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.canonical import canonical_text
-from lodestrata.session import spread
+from lodestrata.session import materialize, ship, spread
 
 #: Words of a seed.
 GRAM = 4
@@ -248,22 +249,23 @@ def _regions(seeds: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two id sequences: score and matched words; and the longest run of equal words.
 
-    Id 0 of ``b`` matches nothing. One row at a time; the gaps inside a row are a
-    running maximum. Score and matches share a number, the score in its high part.
+    Id 0 of ``b`` matches nothing. One row at a time, so memory is a few rows of
+    ``b`` however long ``a`` is; the gaps inside a row are a running maximum. Score
+    and matches share a number, the score in its high part.
     """
     n = len(b)
     if not len(a) or not n:
         return 0, 0, 0
     unit = 1 << 20
     slope = np.arange(1, n + 1, dtype=np.int64) * (-GAP * unit)
-    codes, rows = np.unique(a, return_inverse=True)
-    equal = codes[:, None] == b[None, :]
-    gain = np.where(equal, MATCH * unit + 1, MISMATCH * unit)
     above, row, up = np.zeros(n + 1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     runs = np.zeros(n + 1, np.int64)
     tops, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for code in rows:
-        np.add(above[:-1], gain[code], out=row)
+    equal = np.zeros(n, bool)
+    for code in a:
+        np.equal(b, code, out=equal)
+        np.add(above[:-1], MISMATCH * unit, out=row)
+        row[equal] += (MATCH - MISMATCH) * unit + 1
         np.add(above[1:], GAP * unit, out=up)
         np.maximum(row, up, out=row)
         np.maximum(row, 0, out=row)
@@ -272,7 +274,7 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         row -= slope
         above[1:] = row
         np.maximum(tops, row, out=tops)
-        runs[1:] = (runs[:-1] + 1) * equal[code]
+        runs[1:] = (runs[:-1] + 1) * equal
         np.maximum(longest, runs[1:], out=longest)
     best = int(tops.max())
     return best // unit, best % unit, int(longest.max())
@@ -320,9 +322,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     without items the result is empty.
     """
     spark = documents.sparkSession
+    ship(spark)
     texts = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
     parts: list[DataFrame] = []
+    # of several blocks one is on the workers at a time: each but the last is found and written before the next
+    last: tuple[DataFrame, Broadcast] | None = None
     for block in item_blocks(items, item_key, item_text):
+        if last:
+            parts.append(materialize(last[0], "leaks"))
+            last[1].unpersist()
         given = spark.sparkContext.broadcast(block)
 
         def count(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
@@ -332,6 +340,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
 
         counted = texts.mapInArrow(count, "gram BIGINT, n BIGINT").groupBy("gram").agg(F.sum("n").alias("n"))
         block.choose({r[0]: r[1] for r in counted.toLocalIterator()})  # at most as many rows as the block has n-grams
+        given.unpersist()
         seeded = spark.sparkContext.broadcast(block)
 
         def leaks(batches: Iterator[pa.RecordBatch], given=seeded) -> Iterator[pa.RecordBatch]:
@@ -342,9 +351,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "matched", "longest_run"])
 
-        parts.append(texts.mapInArrow(leaks, LEAK_SCHEMA))
-    if not parts:
+        last = texts.mapInArrow(leaks, LEAK_SCHEMA), seeded
+    if not last:
         return spark.createDataFrame([], LEAK_SCHEMA)
+    parts.append(last[0])
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -10,6 +10,7 @@ are put where they leave the least room. The driver sees the histogram of length
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -17,11 +18,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.session import materialize, spread
+from lodestrata.session import materialize, ship, spread
 
 #: Folder of the public tokenizers and the vocabulary that lengths are measured in.
 TOKENIZERS = "/opt/tokenizers"
@@ -49,10 +51,12 @@ def _encoding(path: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """(key, tokens): the whole text's length in tokens; 0 for null and empty texts."""
+    """(key, tokens): the whole text's length in tokens; 0 for null and empty texts. The vocabulary file ``path`` goes to the workers."""
+    ship(df.sparkSession)
+    df.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(os.path.basename(path))).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=[key, "tokens"])

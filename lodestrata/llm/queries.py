@@ -145,9 +145,8 @@ LEAST_CHARS = 400
 
 def _described(spark: SparkSession, folder: str) -> DataFrame:
     english = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "n_chars", "text")
-    described = reading_level.features(english.select("doc_id", "text"), "doc_id", "text")
-    long_enough = english.where(F.col("n_chars") >= LEAST_CHARS).select("doc_id")
-    return materialize(described, "features").join(long_enough, "doc_id", "left_semi")
+    described = reading_level.features(english, "doc_id", "text", ["n_chars"])
+    return materialize(described, "features").where(F.col("n_chars") >= LEAST_CHARS)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

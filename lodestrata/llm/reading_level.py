@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import spread
+from lodestrata.session import ship, spread
 
 #: A list of familiar words for each of these shares of the documents. The lowest share p bounds the
 #: lists: a document has so many different words d on average, so no more than d / p words reach it.
@@ -78,18 +78,20 @@ def describe(text: str, lists: dict[str, int]) -> list[float]:
     return [*outside.tolist(), len(levels) / len(lengths)]
 
 
-def features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, features): ``describe`` of each row, with lists from all rows. A null text reads as empty."""
-    spark = df.sparkSession
+def features(df: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """(key, features, ``keep``): ``describe`` of each row, with lists from all rows. A null text reads as empty."""
+    spark, keep = df.sparkSession, keep or []
+    ship(spark)
     lists = spark.sparkContext.broadcast(familiarity(df, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [describe(t, lists.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[key, "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], names=[key, "features", *keep])
 
-    rows = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")))
-    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, features ARRAY<DOUBLE>")
+    kind = lambda c: f"{c} {df.schema[c].dataType.simpleString()}"
+    rows = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), *keep))
+    return rows.mapInArrow(run, ", ".join([kind(key), "features ARRAY<DOUBLE>", *map(kind, keep)]))
 
 
 class Bands:

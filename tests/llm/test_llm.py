@@ -457,3 +457,42 @@ def test_payload_lines_are_read(spark, tmp_path):
     spark.createDataFrame([], f"decision_id BIGINT, {kinds}, recovered_from_historical_log BOOLEAN").write.parquet(str(tmp_path / "manual_review_decisions.parquet"))
     rows = {r["decision_id"]: r for r in ledger.entries(spark, str(tmp_path)).collect()}
     assert (rows[1]["page"], rows[1]["recovered"]) == ("3.0", True) and rows[2]["recovered"] is False and rows[2]["at"] is None
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 6, 8, 10])
+def test_recall_of_edited_copies(spark, every):
+    """One word in ``every`` replaced: what the alignment of all pairs scores is found, all of it."""
+    rng = random.Random(every)
+    items = [(i, " ".join(words(48, rng))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        copy = [f"other{rng.randint(0, 10**6)}" if k % every == i % every else w for k, w in enumerate(text.split())]
+        docs.append((i, " ".join(words(30, rng) + copy + words(30, rng))))
+    frames = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, item_text STRING")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(*frames, edited=True).collect()}
+    block = leaks.Items(items)
+    score = lambda d, i: leaks.smith_waterman(block.ids[i], np.array([block.vocabulary.get(w, 0) for w in leaks.words_of(docs[d][1])], np.int64))[0]
+    want = {(d, i) for d in range(60) for i in range(60) if score(d, i) >= leaks.LEAST_SCORE}
+    assert got == want and (every == 3 or {(i, i) for i in range(60)} <= want)
+
+
+def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(words(30, rng))) for i in range(12)]
+    docs = [(d, " ".join(words(10, rng) + items[d % 12][1].split()[5:25])) for d in range(40)]
+    frames = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, item_text STRING")
+    whole = sorted(map(tuple, leaks.find_leaks(*frames).collect()))
+    blocks = leaks.item_blocks
+    monkeypatch.setattr(leaks, "item_blocks", lambda *a: blocks(*a, block_words=100))
+    assert len(list(leaks.item_blocks(frames[1], "item_id", "item_text"))) > 3
+    assert sorted(map(tuple, leaks.find_leaks(*frames).collect())) == whole and len(whole) == 40
+
+
+def test_alignment_needs_no_table_of_both_texts():
+    import tracemalloc
+
+    a, b = np.arange(1, 2001), np.arange(1, 20001) % 5000
+    tracemalloc.start()
+    assert leaks.smith_waterman(a, b)[2] == 2000
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
