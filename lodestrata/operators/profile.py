@@ -136,6 +136,16 @@ def with_roles(profiles: DataFrame) -> DataFrame:
     return scored.withColumn("primary_role", primary)
 
 
+#: A value is strong evidence of what its record is from this score of its column on.
+STRONG_SCORE = 0.80
+
+
+def record_identifiers(fields: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(record_id, header, value): the values that identify a record, by the label of their header; of two under one header the last column counts."""
+    strong = identifier_fields(fields, profiles, STRONG_SCORE).select("record_id", text.label(F.col("header")).alias("header"), text.fold(F.col("value")).alias("value"), "column_index")
+    return strong.where("header <> ''").groupBy("record_id", "header").agg(F.max_by("value", F.struct("column_index", "value")).alias("value"))
+
+
 def identifier_fields(fields: DataFrame, profiles: DataFrame, least: float = 0.60) -> DataFrame:
     """The fields of records that lie in columns with enough of the identifier role."""
     roles = profiles.where(F.col("identifier_score") >= least).select("table_id", "column_index", F.col("identifier_score").alias("score"))

@@ -32,8 +32,8 @@ def lookup(queries: DataFrame, entities: DataFrame, fields: DataFrame) -> DataFr
 def value_matches(queries: DataFrame, fields: DataFrame, mode: str = "exact") -> DataFrame:
     """Every field whose value a query names, whole (``exact``) or as part of it (``contains``, by whole words).
 
-    ``contains`` joins on words too: the query's first word must be a word of the
-    value, the rest is compared afterwards.
+    ``contains`` joins on words too: the word of the query that the fewest values
+    hold must be a word of the value, the rest is compared afterwards.
     """
     asked = queries.select("query").distinct().withColumn("key", text.fold(text.query_value(F.col("query")))).where("key <> ''")
     keyed = fields.withColumn("value_key", text.fold(F.col("value"))).where("value_key <> ''")
@@ -41,8 +41,11 @@ def value_matches(queries: DataFrame, fields: DataFrame, mode: str = "exact") ->
         return asked.join(keyed.withColumnRenamed("value_key", "key"), "key").drop("key")
     if mode != "contains":
         raise ValueError(f"unknown mode {mode!r}")
-    asked = asked.withColumn("word", F.split_part("key", F.lit(" "), F.lit(1)))
     worded = keyed.withColumn("word", F.explode(F.array_distinct(F.split("value_key", " "))))
+    held = worded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = asked.withColumn("word", F.explode(F.array_distinct(F.split("key", " ")))).join(held, "word", "left")
+    # a word that no value holds leaves the query without a match
+    asked = words.groupBy("query", "key").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return asked.join(worded, "word").where(padded("value_key").contains(padded("key"))).drop("word", "key", "value_key")
 
@@ -89,22 +92,24 @@ def answer_questions(questions: DataFrame, entities: DataFrame, evidence: DataFr
     best = best.groupBy("question").agg(F.max(F.struct("overlap", "n", "field")).alias("b")).select("question", F.col("b.n").alias("n_fields"), "b.field")
     state = materialize(named.join(best, "question", "left").withColumn("month", text.month_of(F.col("question"))), "state")
     wanted = state.where("n_fields = 1").select("question", "entity_id", "field", "month")
-    rows = evidence.withColumn("field", text.fold(F.col("header")))
-    facts = wanted.join(rows, ["entity_id", "field"])
     dated = evidence.withColumn("m", _month_in(F.col("value"))).groupBy("entity_id", "occurrence").agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.col("column_index"))).alias("by_field"))
-    facts = facts.join(dated, ["entity_id", "occurrence"], "left").withColumn("occurrence_month", F.coalesce("by_field", text.month_of(F.translate("document_id", "_-", "  "))))
-    facts = facts.where("month IS NULL OR month = occurrence_month")
-    rolled = facts.groupBy("question").agg(
-        F.count(F.lit(1)).alias("n_evidence"), F.countDistinct(text.fold(F.col("value"))).alias("n_values"), F.min("value").alias("answer"),
-        F.max(F.coalesce(F.col("verification_status") == "NUMERIC_DISAGREEMENT", F.lit(False))).alias("disagrees"),
-    )
+    # evidence is summed by entity, field and month first: questions meet the sums, however much an entity has
+    rows = evidence.withColumns({"field": text.fold(F.col("header")), "key": text.fold(F.col("value"))}).join(dated, ["entity_id", "occurrence"], "left")
+    rows = rows.withColumn("occurrence_month", F.coalesce("by_field", text.month_of(F.translate("document_id", "_-", "  "))))
+    disagrees = F.max(F.coalesce(F.col("verification_status") == "NUMERIC_DISAGREEMENT", F.lit(False)))
+    sums = rows.groupBy("entity_id", "field", "occurrence_month").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("greatest"), F.min("value").alias("value"), disagrees.alias("disagrees")
+    )
+    facts = wanted.join(sums, ["entity_id", "field"]).where("month IS NULL OR month = occurrence_month")
+    several = F.min("least") != F.max("greatest")
+    rolled = facts.groupBy("question").agg(F.sum("n").alias("n_evidence"), several.alias("several"), F.min("value").alias("answer"), F.max("disagrees").alias("disagrees"))
     generic = F.arrays_overlap(F.regexp_extract_all(text.fold(F.col("question")), F.lit("[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, GENERIC)))
     status = (
         F.when(F.col("entity_id").isNull(), "NO_ENTITY_OR_AMBIGUOUS_ENTITY")
         .when(F.col("n_fields").isNull() & ~generic, "FIELD_NOT_FOUND")
         .when(F.col("n_fields").isNull() | (F.col("n_fields") > 1), "FIELD_AMBIGUOUS")
         .when(F.col("n_evidence").isNull(), F.when(F.col("month").isNotNull(), "NO_MATCHING_DATA").otherwise("NO_EVIDENCE"))
-        .when(F.col("n_values") > 1, "AMBIGUOUS_MULTIPLE_VALUES")
+        .when(F.col("several"), "AMBIGUOUS_MULTIPLE_VALUES")
         .when(F.col("disagrees"), "UNVERIFIED_SOURCE_DISAGREEMENT")
         .when(F.col("n_evidence") == 1, "ANSWERED")
         .otherwise("CONSISTENT_MULTIPLE_EVIDENCE")
@@ -133,8 +138,12 @@ def conflicts(evidence: DataFrame) -> DataFrame:
     return rows.groupBy("entity_id", "header").agg(F.countDistinct("value").alias("n_values"), F.count(F.lit(1)).alias("n_fields")).where("n_values > 1")
 
 
-def catalog(entities: DataFrame, fields: DataFrame, most: int = 250) -> DataFrame:
-    """(kind, name): the first names of entities, headers and documents, at most ``most`` of each (this limit is its purpose)."""
-    first = lambda rows: rows.where("name <> ''").distinct().orderBy("name").limit(most)
-    named = lambda kind, c, df: first(df.select(F.lit(kind).alias("kind"), text.squash(F.col(c)).alias("name")))
+# Names of each kind in a catalog.
+CATALOG = {"entity": 250, "header": 250, "document": 100}
+
+
+def catalog(entities: DataFrame, fields: DataFrame) -> DataFrame:
+    """(kind, name): the first names of entities, headers and documents, at most CATALOG of each (this limit is its purpose)."""
+    first = lambda rows, most: rows.where("name <> ''").distinct().orderBy("name").limit(most)
+    named = lambda kind, c, df: first(df.select(F.lit(kind).alias("kind"), text.squash(F.col(c)).alias("name")), CATALOG[kind])
     return named("entity", "display_value", entities).unionByName(named("header", "header", fields)).unionByName(named("document", "document_id", fields))

@@ -8,10 +8,13 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions import statuses, text
 from lodestrata.operators import geometry, learn, merge
+from lodestrata.operators.skew import numbered
 
 LOCATION = ["document", "page", "object_type", "table_index", "row_index", "column_index", "paragraph_block"]
 #: Least overlap of boxes that show the same place, and of a paragraph that repeats a cell.
 SAME_PLACE, SAME_OBJECT = 0.80, 0.90
+# Fixed value: what an item that is open now weighs against decisions of the past.
+CURRENT_WEIGHT = 100
 
 
 def normalised(decisions: DataFrame) -> DataFrame:
@@ -98,8 +101,69 @@ def queue(unresolved: DataFrame, historical: DataFrame, skipped: DataFrame, keys
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"_{k}"))
         condition = same if condition is None else condition & same
-    rest = once.join(gone, condition, "left_anti")
-    return rest.withColumn("position", F.row_number().over(Window.partitionBy("document").orderBy(*order)))
+    return numbered(once.join(gone, condition, "left_anti"), "document", order, "position")
+
+
+def preferred(items: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """Of items that agree in ``keys`` one: a table cell before a paragraph, then the first entry."""
+    return merge.latest_wins(items, [F.col(k) for k in keys], [F.col("object_type") == "TABLE_CELL", -F.col(key)])
+
+
+def effective(decisions: DataFrame, current: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """The decision that counts for each group of ``keys``: an item that is open now before all, then by authority, the first entry on a tie."""
+    weight = authority(F.coalesce("human_decision", "decision"), F.col("verified_text"))
+    both = decisions.withColumns({"weight": weight, "is_current": F.lit(False)}).unionByName(current.withColumns({"weight": F.lit(CURRENT_WEIGHT), "is_current": F.lit(True)}))
+    return merge.latest_wins(both, [F.col(k) for k in keys], [F.col("weight"), -F.col(key)])
+
+
+def find_targets(items: DataFrame, cells: DataFrame, key: str, cell: str) -> DataFrame:
+    """(key, tier, cell): the cell that each item is about.
+
+    ``coordinates+evidence`` and ``coordinates``: the cell in the item's place (the
+    first one, where several were delivered; one that holds the item's texts before
+    others); ``evidence``: the only cell of the document that holds them; else
+    ``none``. Places are document, page, table_index, row_index and column_index,
+    all of them set and not 0; cells have original and source too. An empty text
+    agrees with any.
+    """
+    place = ["document", "page", "table_index", "row_index", "column_index"]
+    agrees = lambda a, b: (F.col(a) == "") | (F.col(a) == F.col(b))
+    both = agrees("original", "_o") & agrees("source", "_s")
+    given = items.select(key, *place, "original", "source")
+    set_ = F.lit(True)
+    for c in place[2:]:
+        set_ = set_ & (F.coalesce(F.col(c), F.lit(0)) != 0)
+    here = given.where(set_).join(cells.select(*place, F.col(cell).alias("cell"), F.col("original").alias("_o"), F.col("source").alias("_s")), place)
+    at = here.groupBy(key).agg(F.min(F.struct((~both).alias("differs"), "cell")).alias("at"))
+    # elsewhere: one cell with both texts, or with the one that the item has
+    texts = lambda *names: cells.groupBy("document", *names).agg(F.count(F.lit(1)).alias("n"), F.min(cell).alias("only")).where("n = 1").drop("n")
+    rest = given.join(at, key, "left_anti")
+    whole = rest.where("original <> '' AND source <> ''").join(texts("original", "source"), ["document", "original", "source"]).select(key, "only")
+    first = rest.where("original <> '' AND source = ''").join(texts("original"), ["document", "original"]).select(key, "only")
+    second = rest.where("original = '' AND source <> ''").join(texts("source"), ["document", "source"]).select(key, "only")
+    empty = rest.where("original = '' AND source = ''").join(texts(), "document").select(key, "only")
+    only = whole.unionByName(first).unionByName(second).unionByName(empty)
+    tier = F.when(F.col("at").isNotNull(), F.when(F.col("at.differs"), "coordinates").otherwise("coordinates+evidence")).when(F.col("only").isNotNull(), "evidence").otherwise("none")
+    return items.select(key).join(at, key, "left").join(only, key, "left").select(key, tier.alias("tier"), F.coalesce("at.cell", "only").alias("cell"))
+
+
+def apply_actions(decisions: DataFrame, actions: DataFrame, key: str) -> DataFrame:
+    """``decisions`` with what people did to them; rows without an action stay as they are.
+
+    ``actions``: ``key``, action (a human decision, or SKIP), text and at; the last
+    one of a key counts. A confirmation settles on the reading it names, an entered
+    text on itself; a blank entered text and SKIP change nothing. ``previous_status``
+    keeps the decision that was there.
+    """
+    last = actions.groupBy(key).agg(F.max_by(F.struct(statuses.status(F.col("action")).alias("action"), "text"), F.struct("at", "action", "text")).alias("a"))
+    joined = decisions.join(last, key, "left")
+    told = text.squash(statuses.chosen_text(F.col("a.action"), F.col("original_text"), F.col("source_text"), F.col("a.text")))
+    done = F.coalesce(statuses.is_human(F.col("a.action")) & (told != ""), F.lit(False))
+    new = lambda value, name: F.when(done, value).otherwise(F.col(name))
+    return joined.withColumns({
+        "previous_status": new(F.coalesce("human_decision", "decision"), "previous_status"), "verified_text": new(told, "verified_text"),
+        "human_decision": new(F.col("a.action"), "human_decision"), "decision": new(F.col("a.action"), "decision"),
+    }).select(decisions.columns)
 
 
 def without_repeated_paragraphs(paragraphs: DataFrame, cells: DataFrame, key: str, least: float = SAME_OBJECT) -> DataFrame:

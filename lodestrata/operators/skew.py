@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestrata.session import materialize
 
 #: A key is hot from so many rows on, and from one part in HOT_KEYS of the rows on; so there are at most HOT_KEYS.
 HOT_ROWS, HOT_KEYS = 100_000, 1_000
@@ -40,6 +43,21 @@ def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return kept.unionByName(left.where(~hot).join(right, keys, how))
 
 
+def numbered(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row among those of its ``by`` in ``name``, from 1 on; ``order`` is total inside ``by``.
+
+    Places come from one range-partitioned sort: the place inside a partition plus
+    the rows of the same ``by`` in the partitions before. So the rows of one key may
+    fill many tasks.
+    """
+    rows = df.withColumn("_by", F.coalesce(F.col(by).cast("string"), F.lit("\x00"))).repartitionByRange("_by", *order).sortWithinPartitions("_by", *order)
+    placed = materialize(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = placed.groupBy("_by", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.join(parts.withColumn("_before", before).drop("_n"), ["_by", "_part"])
+    return joined.withColumn(name, (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int")).select(*df.columns, name)
+
+
 def _hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 

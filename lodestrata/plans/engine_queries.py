@@ -21,11 +21,9 @@ def st1_windows(spark: SparkSession, folder: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     counts = ledger.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], late="60 days")
     counts = counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    name = f"windows_{uuid.uuid4().hex}"
-    sink = counts.writeStream.format("memory").queryName(name).outputMode("complete")
-    run = sink.option("checkpointLocation", f"{scratch_root(spark)}/stream-{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    path = f"{scratch_root(spark)}/windows-{uuid.uuid4().hex}"
+    ledger.latest_updates(counts, path, f"{path}-checkpoint").awaitTermination()
+    return ledger.read_updates(spark, path, ["window_start", "event_type"])
 
 
 def st2_sessions(spark: SparkSession, folder: str) -> DataFrame:

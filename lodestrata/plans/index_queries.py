@@ -148,6 +148,12 @@ def h10_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("record_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_candidates")).select("record_id", "b.column_index", "b.value", "n_candidates")
 
 
+def j22_record_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """The strong identifiers of each record by header."""
+    fields = fields_of(spark, folder)
+    return profile.record_identifiers(fields, profile.column_profiles(fields, ["table_id", "column_index"], "value"))
+
+
 def agg1_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     """AGG1: frequencies of every value."""
     return entities.frequencies(fields_of(spark, folder))
@@ -324,6 +330,14 @@ SQL = {
     + _PROFILE
     + f""" SELECT DISTINCT ON (record_id) record_id, column_index, value, count(*) OVER (PARTITION BY record_id) AS n_candidates FROM field JOIN role USING (table_id, column_index)
       WHERE identifier_score >= 0.60 AND {q.squash("value")} <> '' ORDER BY record_id, identifier_score DESC, column_index""",
+    "j22_record_identifiers": q.FIELDS
+    + _PROFILE
+    + f""" SELECT record_id, {q.label("header")} AS header, arg_max({q.fold("value")}, (column_index, {q.fold("value")})) AS value FROM field JOIN role USING (table_id, column_index)
+      WHERE identifier_score >= 0.80 AND {q.fold("value")} <> '' AND {q.label("header")} <> '' GROUP BY 1, 2""",
+    "f28_query_values": f"""WITH v AS (SELECT DISTINCT display_value FROM entities WHERE display_value IS NOT NULL),
+      w AS (SELECT display_value, regexp_extract_all({q.fold("'Show  everything about ' || display_value")}, '[a-z0-9]+') AS ws FROM v)
+      SELECT display_value, trim(display_value) AS asked, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i AND length(x) > 1
+        AND NOT list_contains([{", ".join(repr(x) for x in text.STOP_WORDS)}], x)), ' ') AS words FROM w""",
     "agg1_frequencies": q.FIELDS + _FREQUENCY + " SELECT * FROM frequency",
     "agg2_candidates": _CANDIDATES + " SELECT canonical_value, display_value, round(score, 3) AS score, occurrence_count, document_count, table_count, array_to_string(evidence, ',') AS evidence FROM candidate",
     "w1_numbered_candidates": _CANDIDATES

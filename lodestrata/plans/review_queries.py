@@ -57,7 +57,7 @@ def j6_table_matches(spark: SparkSession, folder: str) -> DataFrame:
 def s1_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     """S1, SNK5: the current records merged with the previous index; documents without current records are historical."""
     rows = table(spark, folder, "records").select("record_id", "document_id", "page", "table_id", "source_status").distinct()
-    current = rows.where("source_status = 'CURRENT' AND page <= 30")
+    current = rows.where("source_status = 'CURRENT'")
     merged = merge.merge_index(rows, current)
     return merged.groupBy("source_status", "document_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -185,6 +185,43 @@ def w12_queue(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("document", "decision_id", "position")
 
 
+def w9_preferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Of open items with one text on a page the one that is reviewed, a cell before a paragraph."""
+    items = review.normalised(table(spark, folder, "manual_review_decisions")).where("NOT is_human AND original <> ''").withColumn("key", text.fold(F.col("original")))
+    return review.preferred(items.select("document", "page", "key", "object_type", "decision_id"), ["document", "page", "key"], "decision_id").select("decision_id", "object_type")
+
+
+def s8_effective(spark: SparkSession, folder: str) -> DataFrame:
+    """The decision that counts for each place, items that are open now before decided ones."""
+    rows = review.normalised(table(spark, folder, "manual_review_decisions"))
+    current = rows.where(~F.col("is_human") & F.coalesce(~F.col("recovered_from_historical_log"), F.lit(True)))
+    return review.effective(rows.where("is_human"), current, review.LOCATION, "decision_id").select("decision_id", "weight", "is_current")
+
+
+def j10_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The cell of the value index that each decision about a cell is about."""
+    items = review.normalised(table(spark, folder, "manual_review_decisions")).where("object_type = 'TABLE_CELL'")
+    cells = value_cells(spark, folder).select(
+        text.label(F.col("document_id")).alias("document"), text.page_key(F.col("page")).alias("page"), "table_index", F.col("source_row_index").alias("row_index"), "column_index",
+        text.squash(F.col("value")).alias("original"), text.squash(F.col("value")).alias("source"), "occurrence_id",
+    )
+    return review.find_targets(items, cells, "decision_id", "occurrence_id").withColumnRenamed("cell", "occurrence_id")
+
+
+def k10_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions after the ledger's lines were done to them as actions, by document, page and texts."""
+    rows = review.normalised(table(spark, folder, "manual_review_decisions"))
+    payload = ", ".join(f"{c} STRING" for c in (*_LEDGER, "human_decision"))
+    lines = table(spark, folder, "ledger_lines").select("decision_id", "received_at", F.from_json("payload", payload).alias("p")).select("decision_id", "received_at", "p.*")
+    on = ["document", "page", "original", "source"]
+    said = lines.select(
+        text.label(F.col("document")).alias("document"), text.page_key(F.col("page")).alias("page"), text.squash(F.col("original_text")).alias("original"), text.squash(F.col("source_text")).alias("source"),
+        F.col("human_decision").alias("action"), F.col("verified_text").alias("text"), F.struct("received_at", "decision_id").alias("at"),
+    )
+    actions = said.join(rows.select("decision_id", *on), on).select("decision_id", "action", "text", "at")
+    return review.apply_actions(rows, actions, "decision_id").select("decision_id", "human_decision", "verified_text", "previous_status")
+
+
 def j18_distinct_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs that no cell in the same place repeats."""
     rows = review.normalised(table(spark, folder, "manual_review_decisions"))
@@ -455,6 +492,41 @@ _TIERS = f""", h AS (SELECT * FROM d WHERE is_human AND settled <> ''),
       tier AS (SELECT d.decision_id, e.v AS exact, pl.v AS place, g.v AS legacy, p.v AS pair, t.v AS text FROM d LEFT JOIN e USING (document, page, original, source) LEFT JOIN pl ON pl.decision_id = d.decision_id
         LEFT JOIN g USING (document, page, original) LEFT JOIN p USING (original, source) LEFT JOIN t USING (original) WHERE NOT is_human)"""
 
+_WEIGHT = f"""CAST(CASE WHEN upper(trim(coalesce(human_decision, decision))) IN ('USER_ENTERED_CORRECTION', 'USER_CORRECTION') THEN 5 WHEN upper(trim(coalesce(human_decision, decision))) = 'USER_CONFIRMED_SOURCE' THEN 4
+        WHEN upper(trim(coalesce(human_decision, decision))) = 'USER_CONFIRMED_ORIGINAL' THEN 3 WHEN {_AUTOMATIC.replace("decision", "coalesce(human_decision, decision)")} THEN 1 ELSE 0 END
+        + CASE WHEN {q.squash("verified_text")} <> '' THEN 1 ELSE 0 END AS INTEGER)"""
+_ON_PAGE = " AND ".join(f"c.{x} = i.{x}" for x in ("document", "page", "table_index", "row_index", "column_index"))
+_ASKED_QUESTIONS = f"""
+link AS (SELECT 'What is the ' || coalesce(header, 'value') || ' of ' || value || '?' AS a, 'Give the ' || coalesce(header, 'value') || ' of ' || value || ' in May, please' AS b FROM entity_links),
+question AS (SELECT DISTINCT question FROM (SELECT a AS question FROM link UNION ALL SELECT b FROM link) WHERE question IS NOT NULL),
+word AS (SELECT question, list_filter(list_transform(string_split({q.fold("question")}, ' '), lambda w: regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_.\\-]+', ''), '[^\\p{{L}}\\p{{N}}_\\-]+$', '')), lambda w: w <> '') AS ws FROM question),
+named AS (SELECT DISTINCT entity_id, key FROM (SELECT entity_id, {q.fold("canonical_value")} AS key FROM entities UNION ALL SELECT entity_id, {q.fold("display_value")} FROM entities) WHERE key <> ''),
+span AS (SELECT DISTINCT question, array_to_string(ws[i:j], ' ') AS key FROM (SELECT question, ws, i, unnest(range(i, len(ws) + 1)) AS j FROM (SELECT question, ws, unnest(range(1, len(ws) + 1)) AS i FROM word))),
+hit AS (SELECT question, length(s.key) AS n_chars, count(DISTINCT entity_id) AS n, min(entity_id) AS entity_id FROM span s JOIN named n ON n.key = s.key GROUP BY question, length(s.key)),
+resolved AS (SELECT question, arg_max(entity_id, n_chars) AS entity_id, arg_max(n, n_chars) AS n FROM hit GROUP BY question)"""
+_CONTENT = lambda x: f"list_filter(list_distinct(regexp_extract_all({q.fold(x)}, '[a-z0-9]+')), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(repr(w) for w in text.STOP_WORDS)}], w))"
+_MONTHS = "MAP {" + ", ".join(f"'{m}': {n}" for m, n in text.months().items()) + "}"
+_MONTH_OF = lambda x: f"list_distinct(list_filter(list_transform(regexp_extract_all({q.fold(x)}, '[a-z]+'), lambda w: {_MONTHS}[w]), lambda m: m IS NOT NULL))"
+_ANSWERS = f"""
+evidence AS (SELECT entity_id, record_id, document_id, header, column_index, value, {q.fold("header")} AS field, {q.fold("value")} AS key
+             FROM (SELECT DISTINCT entity_id, record_id FROM entity_links WHERE entity_id IS NOT NULL AND record_id IS NOT NULL) JOIN field USING (record_id)),
+asked AS (SELECT question, CASE WHEN r.n = 1 THEN r.entity_id END AS entity_id, {_MONTH_OF("question")} AS ms FROM question LEFT JOIN resolved r USING (question)),
+header AS (SELECT DISTINCT entity_id, field, unnest({_CONTENT("header")}) AS w FROM evidence WHERE field <> ''),
+overlap AS (SELECT question, field, count(*) AS n FROM (SELECT question, entity_id, unnest({_CONTENT("question")}) AS w FROM asked WHERE entity_id IS NOT NULL) JOIN header USING (entity_id, w) GROUP BY ALL),
+best AS (SELECT question, count(*) AS n_fields, min(field) AS field FROM overlap o WHERE n = (SELECT max(n) FROM overlap x WHERE x.question = o.question) GROUP BY question),
+dated AS (SELECT entity_id, record_id, arg_min(m, column_index) AS m FROM (SELECT *, TRY_CAST(regexp_extract(value, '\\b[0-9]{{4}}[-/]([0-9]{{1,2}})[-/][0-9]{{1,2}}\\b', 1) AS INTEGER) AS m FROM evidence) WHERE m BETWEEN 1 AND 12 GROUP BY ALL),
+fact AS (SELECT a.question, e.*, coalesce(d.m, CASE WHEN len({_MONTH_OF("translate(document_id, '_-', '  ')")}) = 1 THEN {_MONTH_OF("translate(document_id, '_-', '  ')")}[1] END) AS month
+         FROM asked a JOIN best b ON b.question = a.question AND b.n_fields = 1 JOIN evidence e ON e.entity_id = a.entity_id AND e.field = b.field LEFT JOIN dated d ON d.entity_id = e.entity_id AND d.record_id = e.record_id),
+rolled AS (SELECT f.question, count(*) AS n_evidence, count(DISTINCT key) AS n_values, min(value) AS answer FROM fact f JOIN asked a USING (question) WHERE len(ms) <> 1 OR month = ms[1] GROUP BY f.question),
+status AS (SELECT a.question, a.entity_id, b.n_fields, b.field, r.n_evidence, r.answer, CASE WHEN a.entity_id IS NULL THEN 'NO_ENTITY_OR_AMBIGUOUS_ENTITY'
+    WHEN n_fields IS NULL AND NOT list_has_any(regexp_extract_all({q.fold("a.question")}, '[a-z0-9]+'), [{", ".join(repr(w) for w in query.GENERIC)}]) THEN 'FIELD_NOT_FOUND'
+    WHEN n_fields IS NULL OR n_fields > 1 THEN 'FIELD_AMBIGUOUS' WHEN n_evidence IS NULL THEN CASE WHEN len(ms) = 1 THEN 'NO_MATCHING_DATA' ELSE 'NO_EVIDENCE' END
+    WHEN n_values > 1 THEN 'AMBIGUOUS_MULTIPLE_VALUES' WHEN n_evidence = 1 THEN 'ANSWERED' ELSE 'CONSISTENT_MULTIPLE_EVIDENCE' END AS status
+  FROM asked a LEFT JOIN best b USING (question) LEFT JOIN rolled r USING (question))
+SELECT question, status, CASE WHEN status IN ('ANSWERED', 'CONSISTENT_MULTIPLE_EVIDENCE') THEN answer END AS answer, entity_id, CASE WHEN n_fields = 1 THEN field END AS field, coalesce(n_evidence, 0) AS n_evidence FROM status"""
+_BOX = f"""b AS (SELECT decision_id, {q.label("document")} AS document, {_PAGE} AS page, coalesce(original_text, '') AS text, CASE WHEN len(bbox) = 4 AND NOT list_contains(list_transform(bbox, lambda v: v IS NULL), true)
+  THEN [least(bbox[1], bbox[3]), least(bbox[2], bbox[4]), greatest(bbox[1], bbox[3]), greatest(bbox[2], bbox[4])] END AS bbox FROM manual_review_decisions)"""
+
 SQL = {
     "j5_table_diff": _DIFF + " SELECT row_key, header, left_value, right_value, status, value_relation, repeated_key FROM verdict",
     "agg13_diff_summary": _DIFF + f" SELECT status, count(v.row_key) AS n FROM {_EVERY} LEFT JOIN verdict v USING (status) GROUP BY status",
@@ -466,7 +538,7 @@ SQL = {
     "s3_header_sets": _DIFF
     + """ SELECT coalesce(a.header, b.header) AS header, CASE WHEN a.header IS NULL THEN 'right' WHEN b.header IS NULL THEN 'left' ELSE 'both' END AS place
       FROM (SELECT DISTINCT header FROM l_flat) a FULL JOIN (SELECT DISTINCT header FROM r_flat) b ON a.header = b.header""",
-    "s1_index_merge": """WITH prev AS (SELECT DISTINCT record_id, document_id, page, table_id, source_status FROM records), cur AS (SELECT * FROM prev WHERE source_status = 'CURRENT' AND page <= 30)
+    "s1_index_merge": """WITH prev AS (SELECT DISTINCT record_id, document_id, page, table_id, source_status FROM records), cur AS (SELECT * FROM prev WHERE source_status = 'CURRENT')
       SELECT 'SOURCE_MISSING_HISTORICAL' AS source_status, document_id, count(*) AS n FROM prev WHERE document_id NOT IN (SELECT document_id FROM cur WHERE document_id IS NOT NULL) GROUP BY document_id
       UNION ALL SELECT 'CURRENT', document_id, count(*) FROM cur GROUP BY document_id""",
     "s2_state_diff": """WITH v AS (SELECT occurrence_id, loaded_at, sha256(coalesce(value, '') || chr(31) || coalesce(verification_status, '')) AS sha FROM value_index),
@@ -501,6 +573,46 @@ SQL = {
         WHEN upper(trim(coalesce(human_decision, decision))) = 'USER_CONFIRMED_ORIGINAL' THEN 3 WHEN {_AUTOMATIC.replace("decision", "coalesce(human_decision, decision)")} THEN 1 ELSE 0 END
         + CASE WHEN {q.squash("verified_text")} <> '' THEN 1 ELSE 0 END AS INTEGER) AS weight FROM d)
       SELECT DISTINCT ON ({_PLACE}) decision_id, weight FROM w ORDER BY {_PLACE}, weight DESC, decision_id""",
+    "w9_preferred": _NORMAL
+    + f""" SELECT DISTINCT ON (document, page, key) decision_id, object_type FROM (SELECT *, {q.fold("original")} AS key FROM d) WHERE NOT is_human AND original <> ''
+      ORDER BY document, page, key, object_type = 'TABLE_CELL' DESC, decision_id""",
+    "s8_effective": _NORMAL
+    + f""", w AS (SELECT *, CASE WHEN is_human THEN {_WEIGHT} ELSE 100 END AS weight, NOT is_human AS is_current FROM d WHERE is_human OR NOT coalesce(recovered_from_historical_log, false))
+      SELECT DISTINCT ON ({_PLACE}) decision_id, weight, is_current FROM w ORDER BY {_PLACE}, weight DESC, decision_id""",
+    "j10_targets": _NORMAL
+    + f""", cell AS (SELECT DISTINCT ON (occurrence_id) * FROM value_index ORDER BY occurrence_id, loaded_at DESC NULLS LAST, value DESC NULLS LAST),
+      c AS (SELECT {q.label("document_id")} AS document, CAST(page AS VARCHAR) AS page, table_index, source_row_index AS row_index, column_index, {q.squash("value")} AS t, occurrence_id FROM cell),
+      i AS (SELECT * FROM d WHERE object_type = 'TABLE_CELL'),
+      here AS (SELECT i.decision_id, arg_min(c.occurrence_id, (NOT ((i.original = '' OR i.original = t) AND (i.source = '' OR i.source = t)), c.occurrence_id)) AS cell,
+                 bool_or((i.original = '' OR i.original = t) AND (i.source = '' OR i.source = t)) AS same
+               FROM i JOIN c ON {_ON_PAGE} WHERE i.table_index <> 0 AND i.row_index <> 0 AND i.column_index <> 0 GROUP BY i.decision_id),
+      by_text AS (SELECT document, t, count(*) AS n, min(occurrence_id) AS cell FROM c GROUP BY ALL), by_document AS (SELECT document, count(*) AS n, min(occurrence_id) AS cell FROM c GROUP BY ALL)
+      SELECT i.decision_id, CASE WHEN h.same THEN 'coordinates+evidence' WHEN NOT h.same THEN 'coordinates' WHEN coalesce(x.cell, y.cell) IS NOT NULL THEN 'evidence' ELSE 'none' END AS tier, coalesce(h.cell, x.cell, y.cell) AS occurrence_id
+      FROM i LEFT JOIN here h USING (decision_id)
+        LEFT JOIN by_text x ON x.document = i.document AND x.n = 1 AND (i.original <> '' OR i.source <> '') AND (i.original = '' OR i.original = x.t) AND (i.source = '' OR i.source = x.t)
+        LEFT JOIN by_document y ON y.document = i.document AND y.n = 1 AND i.original = '' AND i.source = ''""",
+    "k10_actions": _NORMAL
+    + f""", line AS (SELECT decision_id AS line_id, received_at, CAST(payload AS JSON) AS p FROM ledger_lines),
+      said AS (SELECT line_id, received_at, {q.label("(p ->> 'document')")} AS document, {_PAGE.replace("page", "(p ->> 'page')")} AS page, {q.squash("(p ->> 'original_text')")} AS original, {q.squash("(p ->> 'source_text')")} AS source,
+               upper({q.squash("(p ->> 'human_decision')")}) AS action, p ->> 'verified_text' AS told FROM line),
+      act AS (SELECT DISTINCT ON (d.decision_id) d.decision_id, action, told FROM d JOIN said USING (document, page, original, source) ORDER BY d.decision_id, received_at DESC NULLS LAST, line_id DESC),
+      new AS (SELECT d.*, act.action, {q.squash("CASE act.action WHEN 'USER_CONFIRMED_ORIGINAL' THEN original_text WHEN 'USER_CONFIRMED_SOURCE' THEN source_text ELSE told END")} AS t FROM d LEFT JOIN act USING (decision_id)),
+      done AS (SELECT *, coalesce(action IN ({", ".join(f"'{h}'" for h in statuses.HUMAN)}), false) AND t <> '' AS ok FROM new)
+      SELECT decision_id, CASE WHEN ok THEN action ELSE human_decision END AS human_decision, CASE WHEN ok THEN t ELSE verified_text END AS verified_text,
+        CASE WHEN ok THEN coalesce(human_decision, decision) ELSE previous_status END AS previous_status FROM done""",
+    "j20_named_entities": "WITH " + _ASKED_QUESTIONS + " SELECT question, entity_id FROM resolved WHERE n = 1",
+    "k5_answers": q.FIELDS + ", " + _ASKED_QUESTIONS + ", " + _ANSWERS,
+    "agg16_catalog": q.FIELDS
+    + "".join(f""", {kind}_name AS (SELECT DISTINCT '{kind}' AS kind, {q.squash(c)} AS name FROM {rows} WHERE {q.squash(c)} <> '' ORDER BY encode({q.squash(c)}) LIMIT {query.CATALOG[kind]})"""
+              for kind, c, rows in (("entity", "display_value", "entities"), ("header", "header", "field"), ("document", "document_id", "field")))
+    + " SELECT * FROM entity_name UNION ALL SELECT * FROM header_name UNION ALL SELECT * FROM document_name",
+    "g3_overlaps": "WITH " + _BOX
+    + f""", once AS (SELECT document, page, bbox, min(decision_id) AS id FROM b WHERE bbox IS NOT NULL GROUP BY ALL)
+      SELECT a.document AS document, a.page AS page, count(*) AS n_pairs, count(DISTINCT a.id) AS n_boxes FROM once a JOIN once b ON a.document IS NOT DISTINCT FROM b.document AND a.page = b.page AND a.id < b.id AND {_OVERLAP} > 0.5 GROUP BY ALL""",
+    "k4_contained_values": q.FIELDS
+    + f""", asked AS (SELECT DISTINCT query, {q.fold("v")} AS key, string_split({q.fold("v")}, ' ')[1] AS w FROM (SELECT {q.fold("value")} AS query, {q.fold("value")} AS v FROM value_index WHERE {q.value_type("value")} = 'text') WHERE {q.fold("v")} <> ''),
+      word AS (SELECT record_id, column_index, {_FOLD_V} AS value_key, unnest(list_distinct(string_split({_FOLD_V}, ' '))) AS w FROM field)
+      SELECT query, count(*) AS n_fields, count(DISTINCT record_id) AS n_records FROM asked JOIN word USING (w) WHERE contains(' ' || value_key || ' ', ' ' || key || ' ') GROUP BY query""",
     "w12_queue": _NORMAL
     + f""", o AS (SELECT DISTINCT ON ({_PLACE}) * FROM d WHERE NOT is_human ORDER BY {_PLACE}, coalesce(recovered_from_historical_log, false) DESC, decision_id DESC),
       s AS (SELECT DISTINCT {_PLACE} FROM d WHERE is_human AND trim(coalesce(verified_text, '')) = '')

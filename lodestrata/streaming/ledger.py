@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,6 +53,22 @@ def upsert_stream(decisions: DataFrame, table: str, keys: list[str], order: list
     return decisions.writeStream.foreachBatch(by_bucket if buckets else whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of an aggregation that a batch changed to a table of updates; nothing comes to the driver. A batch that is delivered again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last update of each key of ``latest_updates``."""
+    updates = spark.read.parquet(path)
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
+
+
 def for_each_batch(stream: DataFrame, action: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Run a batch operator on everything that arrives."""
     return stream.writeStream.foreachBatch(lambda batch, _: action(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
