@@ -8,6 +8,7 @@ means of columns) take one page at a time.
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Distance of column centres that are one, of rows that are one, and of lines of one row.
-COLUMN_GAP, ROW_SHARE, LINE_TOLERANCE = 40.0, 0.6, 25.0
+from lodestrata.session import ship
+
+# Distance of column centres that are one, of rows and of an engine's lines that are one, and of a block from its column.
+COLUMN_GAP, ROW_TOLERANCE, LINE_TOLERANCE, ASSIGN_TOLERANCE = 40.0, 25.0, 25.0, 180.0
+# Blocks of a structured row, rows of a table, and the least score of a table's core.
+STRUCTURED, TABLE_ROWS, CORE_SCORE = 2, 3, 0.40
+# Gap of rows and likeness from which they are one group, near and far.
+GROUP_RULES = [(150.0, 0.40), (300.0, 0.65)]
 
 
 def normal_box(box: Column) -> Column:
@@ -91,27 +98,77 @@ def combine_cells(blocks: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _middle(values: list[float]) -> float:
+    """The upper median."""
+    return sorted(values)[len(values) // 2]
+
+
 def visual_rows(page: pd.DataFrame) -> list[int]:
-    """Row number of each block of a page (columns y1, y2): a block joins the row whose moving centre it is near.
+    """Row number of each block of a page (columns x1, y1, y2), from top to bottom.
 
-    Near means within a share of the row's median height; blocks come from top to
-    bottom, so a row's centre is that of the blocks it has so far.
+    Blocks come by their top and left edge. A block may join every row that it
+    overlaps by a fifth of the lower of both heights, or whose median centre is within
+    the tolerance; the nearest is taken unless a gap parts the block from all of its
+    blocks. Medians keep a tall block from drawing a row away.
     """
-    order = page.assign(c=(page["y1"] + page["y2"]) / 2, h=page["y2"] - page["y1"]).sort_values(["c", "x1"], kind="stable")
-    rows: list[dict] = []
-    number = {}
-    for i, c, h in zip(order.index, order["c"], order["h"], strict=True):
-        near = [r for r in range(max(0, len(rows) - 2), len(rows)) if abs(rows[r]["sum"] / rows[r]["n"] - c) <= ROW_SHARE * max(1.0, float(np.median(rows[r]["heights"])))]
-        if near:
-            r = min(near, key=lambda r: abs(rows[r]["sum"] / rows[r]["n"] - c))
-            rows[r]["sum"] += c
-            rows[r]["n"] += 1
-            rows[r]["heights"].append(h)
-        else:
-            rows.append({"sum": c, "n": 1, "heights": [h]})
-            r = len(rows) - 1
-        number[i] = r
-    return [number[i] for i in page.index]
+    boxes = page[["y1", "y2", "x1"]].astype(float)
+    heights = np.maximum(1.0, boxes["y2"] - boxes["y1"])
+    usual = _middle(heights.tolist()) if len(page) else 1.0
+    gap_limit = max(10.0, 0.75 * usual)
+    rows: list[list[tuple[float, float]]] = []
+    owner: dict = {}
+    for i, (top, bottom, _) in boxes.sort_values(["y1", "x1"], kind="stable").iterrows():
+        height, centre_y = max(1.0, bottom - top), (top + bottom) / 2
+        found = []
+        for r, row in enumerate(rows):
+            low, high = min(t for t, _ in row), max(b for _, b in row)
+            share = max(0.0, min(bottom, high) - max(top, low)) / max(1.0, min(height, high - low if high > low else height))
+            away = abs(centre_y - _middle([(t + b) / 2 for t, b in row]))
+            tolerance = max(8.0, ROW_TOLERANCE, 0.55 * max(usual, height, _middle([max(1.0, b - t) for t, b in row])))
+            if share >= 0.20 or away <= min(tolerance, max(ROW_TOLERANCE, 1.25 * usual)):
+                found.append((away, -share, r))
+        best = min(found)[2] if found else None
+        if best is not None and min(max(0.0, top - b, t - bottom) for t, b in rows[best]) > gap_limit:
+            best = None
+        if best is None:
+            rows.append([])
+            best = len(rows) - 1
+        rows[best].append((top, bottom))
+        owner[i] = best
+    order = sorted(range(len(rows)), key=lambda r: sum(t + b for t, b in rows[r]) / len(rows[r]))
+    number = {r: n for n, r in enumerate(order)}
+    return [number[owner[i]] for i in page.index]
+
+
+def line_rows(page: pd.DataFrame, tolerance: float = LINE_TOLERANCE) -> list[int]:
+    """Row number of each cell of an engine's table (columns x1, x2, y1, y2): a cell joins the first row whose mean centre is within the tolerance."""
+    centres = ((page["y1"] + page["y2"]) / 2).astype(float)
+    across = ((page["x1"] + page["x2"]) / 2).astype(float)
+    sums: list[list[float]] = []
+    owner: dict = {}
+    for i in pd.DataFrame({"y": centres, "x": across}).sort_values(["y", "x"], kind="stable").index:
+        r = next((r for r, (total, n) in enumerate(sums) if abs(centres[i] - total / n) <= tolerance), len(sums))
+        if r == len(sums):
+            sums.append([0.0, 0])
+        sums[r][0] += centres[i]
+        sums[r][1] += 1
+        owner[i] = r
+    number = {r: n for n, r in enumerate(sorted(range(len(sums)), key=lambda r: sums[r][0] / sums[r][1]))}
+    return [number[owner[i]] for i in page.index]
+
+
+def engine_rows(cells: DataFrame, table: list[str], key: str) -> DataFrame:
+    """(table…, key, row_number, column_number) of an engine's cells by their boxes; a cell without one has no place."""
+    ship(cells.sparkSession)
+    flat = cells.where("bbox IS NOT NULL").select(*table, key, *(F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
+
+    def place(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.reset_index(drop=True).assign(row_number=lambda f: [r + 1 for r in line_rows(f)], middle=lambda f: f["x1"] + f["x2"])
+        own = own.sort_values(["row_number", "middle", key], kind="stable")
+        return own.assign(column_number=own.groupby("row_number").cumcount() + 1)[[*table, key, "row_number", "column_number"]]
+
+    kinds = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in [*table, key])
+    return flat.groupBy(*table).applyInPandas(place, f"{kinds}, row_number INT, column_number INT")
 
 
 def column_centres(values: list[float], gap: float = COLUMN_GAP) -> list[float]:
@@ -136,6 +193,7 @@ def grid_of_blocks(blocks: DataFrame, page: list[str], key: str) -> DataFrame:
 
     A page is one task's unit: its blocks are bounded by what fits on a page.
     """
+    ship(blocks.sparkSession)
     flat = blocks.where("bbox IS NOT NULL").select(*page, key, *(F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
 
     def place(own: pd.DataFrame) -> pd.DataFrame:
@@ -158,11 +216,22 @@ def dense_grid(cells: DataFrame, table: list[str]) -> DataFrame:
     return slots.join(cells, [*table, "row_number", "column_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def likeness(a: list[float], b: list[float]) -> float:
+    """Likeness of two rows by the centres of their blocks: .45 for the number, .55 for the places relative to the row's width; 0 under two blocks."""
+    if min(len(a), len(b)) < STRUCTURED:
+        return 0.0
+    scaled = [[(x - min(v)) / max(1.0, max(v) - min(v)) for x in v] for v in (a, b)]
+    apart = [abs(x - y) for x, y in zip(*scaled, strict=False)]
+    return 0.45 * min(len(a), len(b)) / max(len(a), len(b)) + 0.55 * min(1.0, max(0.0, 1.0 - sum(apart) / len(apart)))
+
+
 def row_similarity(a: Column, b: Column) -> Column:
-    """Likeness of two rows' left edges: .45 for their number, .55 for the edges that agree within a column's gap."""
-    count = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
-    near = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= COLUMN_GAP), lambda v: v))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 0.45 * count + 0.55 * near / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
+    """``likeness`` as a column over arrays in the order of the row."""
+    scale = lambda v: F.transform(v, lambda x: (x - F.array_min(v)) / F.greatest(F.lit(1.0), F.array_max(v) - F.array_min(v)))
+    n = F.least(F.size(a), F.size(b))
+    apart = F.zip_with(F.slice(scale(a), F.lit(1), n), F.slice(scale(b), F.lit(1), n), lambda x, y: F.abs(x - y))
+    mean = F.aggregate(apart, F.lit(0.0), lambda t, x: t + x) / n
+    return F.when(n >= STRUCTURED, 0.45 * n / F.greatest(F.size(a), F.size(b)) + 0.55 * F.greatest(F.lit(0.0), 1 - mean)).otherwise(0.0)
 
 
 def row_groups(rows: DataFrame, by: list[str], order: str, starts: Column) -> DataFrame:
@@ -172,18 +241,127 @@ def row_groups(rows: DataFrame, by: list[str], order: str, starts: Column) -> Da
 
 
 def anchor_groups(rows: DataFrame, page: list[str]) -> DataFrame:
-    """Groups of two or more consecutive rows that lie close and are alike: 150 apart and .40 alike, or 300 and .65.
+    """Groups of two or more structured rows, one after the other, that lie close and are alike by GROUP_RULES.
 
-    ``rows``: page…, row_number, y (top) and edges (left edges of the row's blocks).
+    ``rows``: page…, row_number, y (centre) and edges (places of the row's blocks).
+    Rows of one block neither join nor part a group.
     """
     w = Window.partitionBy(*page).orderBy("row_number")
     gap, like = F.col("y") - F.lag("y").over(w), row_similarity(F.col("edges"), F.lag("edges").over(w))
-    joined = ((gap <= 150) & (like >= 0.40)) | ((gap <= 300) & (like >= 0.65))
-    marked = rows.withColumn("_start", ~F.coalesce(joined, F.lit(False)))
+    joined = F.lit(False)
+    for most, least in GROUP_RULES:
+        joined = joined | ((gap <= most) & (like >= least))
+    marked = rows.where(F.size("edges") >= STRUCTURED).withColumn("_start", ~F.coalesce(joined, F.lit(False)))
     grouped = row_groups(marked, page, "row_number", F.col("_start")).groupBy(*page, "group_number")
     return grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row")).where("n_rows >= 2")
 
 
+def core_score(rows: list[list[float]]) -> float:
+    """How much consecutive rows (centres of their blocks) are a table: .30 for structured rows, .40 for blocks near a column, .30 for rows alike."""
+    own = [r for r in rows if len(r) >= STRUCTURED]
+    if len(rows) < TABLE_ROWS or len(own) < STRUCTURED:
+        return 0.0
+    centres = column_centres([x for r in own for x in r])
+    if len(centres) < 2:
+        return 0.0
+    near = [min(abs(x - c) for c in centres) <= ASSIGN_TOLERANCE for r in rows for x in r]
+    alike = [likeness(a, b) for a, b in zip(own, own[1:], strict=False)]
+    return 0.30 * len(own) / len(rows) + 0.40 * sum(near) / len(near) + 0.30 * sum(alike) / len(alike)
+
+
+def sustained(rows: list[list[float]]) -> tuple[int, int]:
+    """First and last of the rows that keep to the columns: the best run by .70 of its mean occupancy and .30 of its share; all rows without such a run."""
+    centres = column_centres([x for r in rows if len(r) >= STRUCTURED for x in r])
+    whole = (0, len(rows) - 1)
+    if len(rows) < TABLE_ROWS or len(centres) < 2:
+        return whole
+
+    def occupancy(row: list[float]) -> float:
+        held = {c for x in row if abs(x - (c := min(centres, key=lambda v: abs(x - v)))) <= ASSIGN_TOLERANCE}
+        return len(held) / len(centres)
+
+    scores = [occupancy(r) for r in rows]
+    least = 0.35 if len(centres) >= 4 else 0.50
+    runs, start = [], 0
+    for kept, run in groupby(scores, key=lambda v: v >= least):
+        size = len(list(run))
+        if kept and size >= max(4, len(rows) // 5):
+            runs.append((start, start + size - 1))
+        start += size
+    if not runs:
+        return whole
+    first, last = max(runs, key=lambda r: 0.70 * float(np.mean(scores[r[0] : r[1] + 1])) + 0.30 * (r[1] - r[0] + 1) / len(rows))
+    first -= first > 0 and scores[first - 1] >= 0.20
+    last += last + 1 < len(rows) and scores[last + 1] >= 0.20
+    return first, last
+
+
+def table_cores(blocks: DataFrame, page: list[str], key: str) -> DataFrame:
+    """(page…, first_row, last_row, n_rows, score, bbox) of the table cores of every page: groups of rows that score CORE_SCORE, trimmed to the rows that keep to the columns.
+
+    Rows are those of ``visual_rows``, numbered from 1. A page is one task's unit.
+    """
+    ship(blocks.sparkSession)
+    flat = blocks.where("bbox IS NOT NULL").select(*page, key, *(F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
+
+    def find(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["y1", "x1", key]).reset_index(drop=True)
+        own = own.assign(row=visual_rows(own), x=(own["x1"] + own["x2"]) / 2, y=(own["y1"] + own["y2"]) / 2).sort_values(["row", "x1", key], kind="stable")
+        rows = [list(g["x"]) for _, g in own.groupby("row")]
+        middles = own.groupby("row")["y"].mean().tolist()
+        groups: list[list[int]] = []
+        for i in (i for i, r in enumerate(rows) if len(r) >= STRUCTURED):
+            last = groups[-1][-1] if groups else None
+            if last is not None and any(middles[i] - middles[last] <= most and likeness(rows[last], rows[i]) >= least for most, least in GROUP_RULES):
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        found = []
+        for group in groups:
+            core = rows[group[0] : group[-1] + 1]
+            score = core_score(core) if len(group) >= STRUCTURED else 0.0
+            if score >= CORE_SCORE:
+                a, b = sustained(core)
+                held = own[own["row"].between(group[0] + a, group[0] + b)]
+                box = [held["x1"].min(), held["y1"].min(), held["x2"].max(), held["y2"].max()]
+                found.append((*own.iloc[0][page], group[0] + a + 1, group[0] + b + 1, b - a + 1, round(score, 6), box))
+        return pd.DataFrame(found, columns=[*page, "first_row", "last_row", "n_rows", "score", "bbox"])
+
+    kinds = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in page)
+    return flat.groupBy(*page).applyInPandas(find, f"{kinds}, first_row INT, last_row INT, n_rows INT, score DOUBLE, bbox ARRAY<DOUBLE>")
+
+
+def grid_slot(value: Column, lines: Column) -> Column:
+    """The slot of a ruled grid that holds a coordinate, from 1 on: between one line and the next; null outside of the lines (sorted)."""
+    at = F.size(F.filter(lines, lambda v: v <= value))
+    return F.when((at > 0) & (at < F.size(lines)), at)
+
+
+def grid_cells(blocks: DataFrame, on: list[str]) -> DataFrame:
+    """Blocks with the row_number and column_number of the grid cell that holds their centre; ``verticals`` and ``horizontals`` are the ruled lines of their region."""
+    c = centre(F.col("bbox"))
+    return blocks.withColumns({"row_number": grid_slot(c["y"], F.col("horizontals")), "column_number": grid_slot(c["x"], F.col("verticals"))}).where("row_number IS NOT NULL AND column_number IS NOT NULL").select(
+        *on, "row_number", "column_number", *(x for x in blocks.columns if x not in (*on, "verticals", "horizontals"))
+    )
+
+
+def scale_box(box: Column, width: Column, height: Column) -> Column:
+    """A box in whole pixels inside its image; one with all corners in 0 … 1 is relative."""
+    relative = F.forall(box, lambda v: (v >= 0) & (v <= 1))
+    size = lambda i: width if i % 2 == 0 else height
+    held = [F.greatest(F.lit(0.0), F.least(size(i), F.when(relative, box[i] * size(i)).otherwise(box[i]))) for i in range(4)]
+    sides = [F.least(held[0], held[2]), F.least(held[1], held[3]), F.greatest(held[0], held[2]), F.greatest(held[1], held[3])]
+    return F.when(F.size(box) == 4, F.array(*(F.bround(v).cast("int") for v in sides)))
+
+
+def is_suspicious(box: Column, text_: Column, width: Column, height: Column) -> Column:
+    """Whether a paragraph's box can't be its place: without area, or a short text in a strip over much of the page's height."""
+    w, h = F.greatest(F.lit(0.0), box[2] - box[0]), F.greatest(F.lit(0.0), box[3] - box[1])
+    flat = (w <= 0) | (h <= 0) | (width <= 0) | (height <= 0)
+    strip = (h >= 0.40 * height) & (h / F.greatest(w, F.lit(1.0)) >= 12.0) & (F.length(text_) <= 160)
+    return F.coalesce(box.isNotNull() & (flat | strip), F.lit(False))
+
+
 def longest_run(rows: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:
     """(by…, longest): the longest run of consecutive rows whose flag holds; 0 where it never does."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lodestrata.operators import geometry
 
 #: Confidence below this, and above 0, is low; boxes that cover this share of an empty cell are evidence for text.
 LOW, BOX_SHARE = 0.80, 0.20
+#: A block whose width lies in an empty slot by this share is evidence for text.
+SLOT_SHARE = 0.35
 
 
 def validation_totals(cells: DataFrame) -> DataFrame:
@@ -45,3 +49,18 @@ def empty_cells_with_evidence(cells: DataFrame, blocks: DataFrame, on: list[str]
     seen = blocks.where((text.squash(F.col("text")) != "") & F.col("bbox").isNotNull()).select(*on, F.col("bbox").alias("_box")).distinct()
     hit = empty.join(seen, on).where(geometry.overlap_of_first(F.col("_box"), F.col("bbox")) >= BOX_SHARE)
     return empty.join(hit.select(key).distinct(), key, "left_semi")
+
+
+def empty_slots_with_evidence(cells: DataFrame, blocks: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Empty cells without a box in whose slot a block of text on their page lies: ``slot`` is a box, open sides null.
+
+    A block lies there when its centre does and SLOT_SHARE of its width.
+    """
+    empty = cells.where((text.squash(F.col("text")) == "") & F.col("bbox").isNull() & F.col("slot").isNotNull())
+    seen = blocks.where((text.squash(F.col("text")) != "") & F.col("bbox").isNotNull()).select(*on, F.col("bbox").alias("_box")).distinct()
+    side = lambda i: F.coalesce(F.col("slot")[i], F.lit(-math.inf if i < 2 else math.inf))
+    c = geometry.centre(F.col("_box"))
+    inside = (c["x"] >= side(0)) & (c["x"] <= side(2)) & (c["y"] >= side(1)) & (c["y"] <= side(3))
+    width = F.col("_box")[2] - F.col("_box")[0]
+    shared = F.greatest(F.lit(0.0), F.least(F.col("_box")[2], side(2)) - F.greatest(F.col("_box")[0], side(0))) / F.greatest(F.lit(1.0), width)
+    return empty.join(empty.join(seen, on).where(inside & (shared >= SLOT_SHARE)).select(key).distinct(), key, "left_semi")

@@ -63,6 +63,12 @@ def consensus(variants: Column) -> Column:
     return F.coalesce(F.array_max(counted)["t"], F.lit(""))
 
 
+def mean_confidence(confidences: Column) -> Column:
+    """The mean of the confidences that are not negative; 0 without any."""
+    known = F.filter(confidences, lambda c: c >= 0)
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda t, c: t + c) / F.size(known)).otherwise(0.0)
+
+
 def escalated(pairs: DataFrame, original: str, fast: str) -> DataFrame:
     """The rows whose first, fast reading does not agree: only these get the slower readings."""
     return pairs.where(text.comparison_form(F.col(original)) != text.comparison_form(F.col(fast)))

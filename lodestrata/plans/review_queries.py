@@ -345,10 +345,58 @@ def g8_row_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of consecutive rows that are close and alike."""
     blocks = _blocks(spark, folder)
     placed = g6_grid(spark, folder).join(blocks.select("decision_id", "bbox"), "decision_id")
-    rows = placed.groupBy("document", "page", "row_number").agg(F.min(F.col("bbox")[1]).alias("y"), F.sort_array(F.collect_list(F.col("bbox")[0])).alias("edges"))
+    c = geometry.centre(F.col("bbox"))
+    rows = placed.groupBy("document", "page", "row_number").agg(F.avg(c["y"]).alias("y"), F.transform(F.sort_array(F.collect_list(F.struct(F.col("bbox")[0].alias("left"), c["x"].alias("x")))), lambda v: v["x"]).alias("edges"))
     return geometry.anchor_groups(rows, ["document", "page"])
 
 
+def g10_table_cores(spark: SparkSession, folder: str) -> DataFrame:
+    """Cores of tables on every page, with their score."""
+    return geometry.table_cores(_blocks(spark, folder), ["document", "page"], "decision_id").select("document", "page", "first_row", "last_row", "n_rows", "score")
+
+
+def g15_engine_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of each table of decisions placed by their boxes alone."""
+    rows = table(spark, folder, "manual_review_decisions").where("table_index IS NOT NULL")
+    rows = rows.select("decision_id", text.label(F.col("document")).alias("document"), text.page_key(F.col("page")).alias("page"), "table_index", geometry.normal_box(F.col("bbox")).alias("bbox"))
+    return geometry.engine_rows(rows, ["document", "page", "table_index"], "decision_id")
+
+
+#: Distance of the made lines that g21_grid_cells rules a page with.
+GRID = 100
+
+
+def g21_grid_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks by the cell of a ruled grid that holds their centre, counted per cell."""
+    blocks = _blocks(spark, folder).where("bbox IS NOT NULL")
+    lines = lambda i: F.transform(F.sequence(F.lit(0), (F.floor(F.max(F.col("bbox")[i]) / GRID) + 1).cast("int")), lambda v: v * GRID)
+    ruled = blocks.groupBy("document", "page").agg(lines(2).alias("verticals"), lines(3).alias("horizontals"))
+    placed = geometry.grid_cells(blocks.join(ruled, ["document", "page"]), ["document", "page"])
+    return placed.groupBy("document", "page", "row_number", "column_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g24_page_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes in pixels of a page of 1,000 by 1,400, and whether they can be their text's place."""
+    width, height = F.lit(1000.0), F.lit(1400.0)
+    box = geometry.scale_box(F.col("bbox"), width, height)
+    rows = _blocks(spark, folder).where("bbox IS NOT NULL").withColumn("pixels", box)
+    suspicious = geometry.is_suspicious(F.col("pixels"), text.squash(F.col("text")), width, height)
+    return rows.select("decision_id", *(F.col("pixels")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))), suspicious.alias("suspicious"))
+
+
+def agg10_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG10: mean confidence of the deliveries of each occurrence."""
+    held = table(spark, folder, "value_index").groupBy("occurrence_id").agg(F.sort_array(F.collect_list("source_ocr_confidence")).alias("c"))
+    return held.select("occurrence_id", F.round(verify.mean_confidence(F.col("c")), 6).alias("confidence"))
+
+
+def p5_index_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """P5 on the retrieval index: fields without a value in records without a place, per table."""
+    rows = table(spark, folder, "entity_retrieval_index").select("entity_id", F.explode("records").alias("r")).where("r IS NOT NULL")
+    fields = rows.select("r.table_id", F.col("r.provenance.bbox").alias("bbox"), F.explode("r.fields").alias("f")).where("f IS NOT NULL")
+    return fields.where(verify.structural_empty(F.col("f.value"), F.col("bbox"))).groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def w11_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The longest run of verified cells in each table."""
     cells = value_cells(spark, folder).withColumn("ok", F.coalesce(F.col("verification_status").startswith("SOURCE_VERIFIED"), F.lit(False)))
@@ -388,7 +436,7 @@ def snk4_complete_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {name: f for name, f in globals().copy().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
 # p1_, p3_, p5_ and p7_ are the names of problems: operators P1–P7 take another prefix
-for _old, _new in (("p1_engine_agreement", "op_p1_engine_agreement"), ("p3_rules", "op_p3_rules"), ("p5_structural_cells", "op_p5_structural_cells"), ("p7_lost_cells", "op_p7_lost_cells")):
+for _old, _new in (("p1_engine_agreement", "op_p1_engine_agreement"), ("p3_rules", "op_p3_rules"), ("p5_structural_cells", "op_p5_structural_cells"), ("p5_index_cells", "op_p5_index_cells"), ("p7_lost_cells", "op_p7_lost_cells")):
     QUERIES[_new] = QUERIES.pop(_old)
 
 _FOLD_V = q.fold("value")
@@ -609,6 +657,17 @@ SQL = {
     "g3_overlaps": "WITH " + _BOX
     + f""", once AS (SELECT document, page, bbox, min(decision_id) AS id FROM b WHERE bbox IS NOT NULL GROUP BY ALL)
       SELECT a.document AS document, a.page AS page, count(*) AS n_pairs, count(DISTINCT a.id) AS n_boxes FROM once a JOIN once b ON a.document IS NOT DISTINCT FROM b.document AND a.page = b.page AND a.id < b.id AND {_OVERLAP} > 0.5 GROUP BY ALL""",
+    "g21_grid_cells": "WITH " + _BOX
+    + """ SELECT document, page, CAST(floor((bbox[2] + bbox[4]) / 2 / 100) AS INTEGER) + 1 AS row_number, CAST(floor((bbox[1] + bbox[3]) / 2 / 100) AS INTEGER) + 1 AS column_number, count(*) AS n
+      FROM b WHERE bbox IS NOT NULL AND document IS NOT NULL GROUP BY ALL""",
+    "g24_page_boxes": "WITH " + _BOX
+    + f""", r AS (SELECT decision_id, text, len(list_filter(bbox, lambda v: v >= 0 AND v <= 1)) = 4 AS rel, bbox FROM b WHERE bbox IS NOT NULL),
+      p AS (SELECT decision_id, text, list_transform(bbox, lambda v, i: CAST(round_even(greatest(0.0, least(CASE WHEN i % 2 = 1 THEN 1000.0 ELSE 1400.0 END, CASE WHEN rel THEN v * CASE WHEN i % 2 = 1 THEN 1000.0 ELSE 1400.0 END ELSE v END)), 0) AS INTEGER)) AS x FROM r),
+      s AS (SELECT decision_id, text, x[1] AS x1, x[2] AS y1, x[3] AS x2, x[4] AS y2 FROM p)
+      SELECT decision_id, x1, y1, x2, y2, x2 - x1 <= 0 OR y2 - y1 <= 0 OR (y2 - y1 >= 560 AND (y2 - y1) / greatest(x2 - x1, 1) >= 12 AND length({q.squash("text")}) <= 160) AS suspicious FROM s""",
+    "agg10_confidence": """SELECT occurrence_id, round(coalesce(avg(source_ocr_confidence) FILTER (source_ocr_confidence >= 0), 0.0), 6) AS confidence FROM value_index GROUP BY 1""",
+    "op_p5_index_cells": f"""WITH r AS (SELECT unnest(records) AS r FROM entity_retrieval_index), f AS (SELECT r.table_id AS table_id, r.provenance.bbox AS bbox, unnest(r.fields) AS f FROM r WHERE r IS NOT NULL)
+      SELECT table_id, count(*) AS n FROM f WHERE f IS NOT NULL AND {q.squash("f.value")} = '' AND bbox IS NULL GROUP BY 1""",
     "k4_contained_values": q.FIELDS
     + f""", asked AS (SELECT DISTINCT query, {q.fold("v")} AS key, string_split({q.fold("v")}, ' ')[1] AS w FROM (SELECT {q.fold("value")} AS query, {q.fold("value")} AS v FROM value_index WHERE {q.value_type("value")} = 'text') WHERE {q.fold("v")} <> ''),
       word AS (SELECT record_id, column_index, {_FOLD_V} AS value_key, unnest(list_distinct(string_split({_FOLD_V}, ' '))) AS w FROM field)

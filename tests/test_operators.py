@@ -304,6 +304,63 @@ def test_runs_groups_and_ranks(spark):
     assert [(r["first_row"], r["last_row"]) for r in geometry.anchor_groups(rows, ["page"]).collect()] == [(1, 2)]
 
 
+def test_rows_of_blocks_of_unequal_height():
+    import pandas as pd
+
+    tall = pd.DataFrame([(0, 0, 30, 60), (40, 5, 80, 25), (40, 34, 80, 54), (0, 300, 30, 320), (40, 290, 80, 330), (0, 332, 30, 350)], columns=["x1", "y1", "x2", "y2"])
+    # the block between two lines overlaps both; a gap of more than the usual height parts rows
+    assert geometry.visual_rows(tall) == [0, 0, 0, 1, 1, 2]
+    lines = pd.DataFrame([(0, 0, 10, 10), (20, 20, 30, 30), (0, 50, 10, 60), (20, 400, 30, 410)], columns=["x1", "y1", "x2", "y2"])
+    assert geometry.line_rows(lines) == [0, 0, 1, 2]
+    assert geometry.visual_rows(lines.iloc[:0]) == []
+
+
+def test_table_cores_leave_prose_out(spark):
+    table = [(r * 10 + c, [c * 200.0, 500 + r * 40.0, c * 200 + 80.0, 520 + r * 40.0]) for r in range(5) for c in range(4)]
+    prose = [(100 + r, [0.0, 40.0 * r, 700.0, 40.0 * r + 20.0]) for r in range(6)]
+    rows = [("d", 1, i, b, "x") for i, b in table + prose] + [("d", 2, 900, [0.0, 0.0, 9.0, 9.0], "alone"), ("d", 3, 901, None, "no box")]
+    blocks = spark.createDataFrame(rows, "document STRING, page INT, id INT, bbox ARRAY<DOUBLE>, text STRING")
+    found = geometry.table_cores(blocks, ["document", "page"], "id").collect()
+    assert [(r["page"], r["first_row"], r["last_row"], r["bbox"]) for r in found] == [(1, 7, 11, [0.0, 500.0, 680.0, 680.0])] and found[0]["score"] == pytest.approx(1.0)
+    assert geometry.table_cores(blocks.limit(0), ["document", "page"], "id").count() == 0
+    assert geometry.core_score([[0.0, 100.0]] * 2) == 0.0
+    # a lone row beside the run holds half of the columns and comes along, one more does not
+    assert geometry.sustained([[0.0, 500.0]] * 6 + [[900.0]] * 2) == (0, 5) and geometry.sustained([[0.0]] * 3) == (0, 2)
+
+
+def test_likeness_is_one_rule_on_both_sides(spark):
+    rng = random.Random(6)
+    pairs = [([rng.uniform(0, 900) for _ in range(rng.randint(0, 5))], [rng.uniform(0, 900) for _ in range(rng.randint(0, 5))]) for _ in range(60)]
+    got = spark.createDataFrame(pairs, "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>").select(geometry.row_similarity(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == pytest.approx([geometry.likeness(*p) for p in pairs])
+    assert geometry.likeness([0.0, 100.0], [500.0, 900.0]) == 1.0
+
+
+def test_grid_slots_scaled_and_suspicious_boxes(spark):
+    df = spark.createDataFrame([([0.0, 10.0, 20.0],)], "lines ARRAY<DOUBLE>")
+    assert [df.select(geometry.grid_slot(F.lit(v), F.col("lines"))).head()[0] for v in (-1.0, 0.0, 9.9, 10.0, 20.0)] == [None, 1, 1, 2, None]
+    boxes = spark.createDataFrame([([0.1, 0.5, 0.2, 1.0],), ([500.0, -5.0, 100.0, 9000.0],), (None,)], "b ARRAY<DOUBLE>")
+    assert [r[0] for r in boxes.select(geometry.scale_box(F.col("b"), F.lit(1000.0), F.lit(1400.0))).collect()] == [[100, 700, 200, 1400], [100, 0, 500, 1400], None]
+    strips = spark.createDataFrame([([0.0, 0.0, 10.0, 900.0], "a"), ([0.0, 0.0, 10.0, 900.0], "a" * 200), ([0.0, 0.0, 0.0, 9.0], "a"), ([0.0, 0.0, 90.0, 20.0], "a"), (None, "a")], "b ARRAY<DOUBLE>, t STRING")
+    assert [r[0] for r in strips.select(geometry.is_suspicious(F.col("b"), F.col("t"), F.lit(1000.0), F.lit(1400.0))).collect()] == [True, False, True, False, False]
+
+
+def test_engine_rows(spark):
+    rows = [("t", i, b) for i, b in enumerate([[0.0, 0.0, 10.0, 10.0], [50.0, 8.0, 60.0, 18.0], [0.0, 60.0, 10.0, 70.0], None])]
+    got = geometry.engine_rows(spark.createDataFrame(rows, "t STRING, id INT, bbox ARRAY<DOUBLE>"), ["t"], "id").collect()
+    assert {r["id"]: (r["row_number"], r["column_number"]) for r in got} == {0: (1, 1), 1: (1, 2), 2: (2, 1)}
+
+
+def test_empty_slots_and_confidence(spark):
+    cells = spark.createDataFrame([(1, 1, "", None, [0.0, 0.0, 100.0, 50.0]), (2, 1, " ", None, [None, 0.0, 10.0, 50.0]), (3, 1, "x", None, [0.0, 0.0, 100.0, 50.0]), (4, 2, None, None, [0.0, 0.0, 100.0, 50.0]), (5, 1, "", None, [60.0, 0.0, 62.0, 50.0])], "id INT, page INT, text STRING, bbox ARRAY<DOUBLE>, slot ARRAY<DOUBLE>")
+    blocks = spark.createDataFrame([(1, "seen", [30.0, 10.0, 90.0, 30.0]), (1, " ", [0.0, 0.0, 9.0, 9.0])], "page INT, text STRING, bbox ARRAY<DOUBLE>")
+    assert {r["id"] for r in quality.empty_slots_with_evidence(cells, blocks, ["page"], "id").collect()} == {1}
+    lost = spark.createDataFrame([(7, 1, "", [40.0, 10.0, 60.0, 30.0]), (8, 1, "", [200.0, 10.0, 260.0, 30.0])], "id INT, page INT, text STRING, bbox ARRAY<DOUBLE>")
+    assert {r["id"] for r in quality.empty_cells_with_evidence(lost, blocks, ["page"], "id").collect()} == {7}
+    held = spark.createDataFrame([([0.5, -1.0, 1.0],), ([],), ([-1.0],)], "c ARRAY<DOUBLE>").select(verify.mean_confidence(F.col("c"))).collect()
+    assert [r[0] for r in held] == [0.75, 0.0, 0.0]
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("d", "x", None, 0.5), ("d", "", "SOURCE_EMPTY", 0.0), ("e", "y", "NUMERIC_DISAGREEMENT", None)], "document_id STRING, value STRING, verification_status STRING, source_ocr_confidence DOUBLE")
     rows = {r["document_id"] or "ALL": r for r in quality.validation_totals(df).collect()}
