@@ -163,6 +163,8 @@ def _word(word: str, context: set[str]) -> str:
 
 
 def _composed(text: str) -> str:
+    if unicodedata.is_normalized("NFC", text):  # the quick check of the whole text
+        return text
     return _SEGMENT.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
 
 
