@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text
+from lodestrata.operators.skew import skew_lookup
 from lodestrata.session import materialize
 
 #: A candidate is kept from this score on.
@@ -56,7 +57,8 @@ def scored_occurrences(fields: DataFrame, profiles: DataFrame) -> DataFrame:
     # looks are taken once per distinct value, and before the joins, so no expression repeats them
     v = F.col("value")
     looks = keyed.select("key", "value").distinct().withColumns({"looks_code": text.code_like(v), "looks_temporal": text.temporal_like(v), "looks_numeric": text.numeric_like(v)})
-    joined = keyed.join(roles, ["table_id", "column_index"], "left").join(frequencies(fields), "key").join(looks, ["key", "value"])
+    joined = keyed.join(roles, ["table_id", "column_index"], "left")
+    joined = skew_lookup(skew_lookup(joined, frequencies(fields), ["key"], "inner"), looks, ["key", "value"], "inner")
     score, evidence = candidate_evidence()
     return joined.withColumns({"score": score, "evidence": evidence}).where(F.col("score") >= LEAST_SCORE).drop("looks_code", "looks_temporal", "looks_numeric")
 
@@ -99,7 +101,9 @@ def link_entities(found: DataFrame, fields: DataFrame) -> DataFrame:
     """
     keys = found.select("canonical_value", "display_value", text.entity_id(F.col("canonical_value")).alias("entity_id"))
     keyed = fields.withColumn("canonical_value", text.fold(F.col("value")))
-    return keyed.join(keys, "canonical_value").dropDuplicates(["entity_id", "record_id", "column_index"])
+    linked = skew_lookup(keyed, keys, ["canonical_value"], "inner")
+    # of repeated fields the first by their whole row, whatever order they arrive in
+    return first_seen(linked, ["entity_id", "record_id", "column_index"], [c for c in linked.columns if c not in ("entity_id", "record_id", "column_index")])
 
 
 def entity_rollup(links: DataFrame) -> DataFrame:

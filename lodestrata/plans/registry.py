@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import core_problems, engine_queries, index_queries, review_queries
+from lodestrata.plans import core_problems, engine_queries, index_queries, review_queries, upkeep_queries
 
-MODULES = [core_problems, index_queries, review_queries, engine_queries]
+MODULES = [core_problems, index_queries, review_queries, engine_queries, upkeep_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

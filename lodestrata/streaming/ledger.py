@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,8 +65,3 @@ def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     updates = spark.read.parquet(path)
     rest = [c for c in updates.columns if c not in (*keys, "batch")]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
-
-
-def for_each_batch(stream: DataFrame, action: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Run a batch operator on everything that arrives."""
-    return stream.writeStream.foreachBatch(lambda batch, _: action(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
