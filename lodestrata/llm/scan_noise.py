@@ -18,7 +18,7 @@ without a trace of noise never leave the JVM.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,10 +81,10 @@ def strokes(text: str) -> str:
     return text.lower().translate(_STROKES)
 
 
-def strokes_of(text: Column) -> Column:
-    """``strokes`` as a column."""
+def strokes_of(text: Column, drop: str = "") -> Column:
+    """``strokes`` as a column, without the characters of ``drop``."""
     one = [k for k, v in STROKES.items() if len(v) == 1]
-    out = F.translate(F.lower(text), "".join(one), "".join(STROKES[k] for k in one))
+    out = F.translate(F.lower(text), "".join(one) + drop, "".join(STROKES[k] for k in one))
     for k, v in STROKES.items():
         if len(v) > 1:
             out = F.replace(out, F.lit(k), F.lit(v))
@@ -355,9 +355,8 @@ _JVM_CODE = r"^(?:[a-z]{1,4}\d{2,}|\d+[a-z]{1,3})$"
 
 def _letters(text: Column) -> Column:
     """Letters, digits and signs in strokes; an ASCII text loses the rest by ``translate``, which costs less than a pattern."""
-    plain = F.translate(text, " \n\r\t._-,;:'\"()[]{}<>/\\\\#%&*+=?^`~", "")
-    bare = F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_replace(text, r"[^A-Za-z0-9!@|$\p{L}\p{N}]+", ""))
-    return strokes_of(bare)
+    rest = strokes_of(F.regexp_replace(text, r"[^A-Za-z0-9!@|$\p{L}\p{N}]+", ""))
+    return F.when(F.octet_length(text) == F.length(text), strokes_of(text, " \n\r\t._-,;:'\"()[]{}<>/\\\\#%&*+=?^`~")).otherwise(rest)
 
 
 def _tokens(text: Column) -> Column:
@@ -502,8 +501,12 @@ def text_units(df: DataFrame, document: str, page: str, columns: list[str]) -> D
     The marks are traces of noise, seen by patterns in the JVM: several lines, the
     title's strokes, a page number's line, a hyphen at a line end.
     """
-    rows = _fields(df, document, page, columns, []).groupBy("unit").agg(
-        F.any_value("document").alias("document"), F.any_value("page").alias("page"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")
+    # a row's equal texts are one before anything is hashed or moved
+    texts = F.array_distinct(F.array(*columns))
+    rows = df.select(F.col(document).cast("string").alias("document"), F.col(page).cast("string").alias("page"), F.array(*columns).alias("all"), F.explode(texts).alias("text")).where("text <> ''")
+    fields = reduce(lambda n, i: n + F.when(F.col("all")[i] == F.col("text"), 1).otherwise(0), range(len(columns)), F.lit(0))
+    rows = rows.select("document", "page", "text", _digest().alias("unit"), fields.alias("n")).groupBy("unit").agg(
+        F.any_value("document").alias("document"), F.any_value("page").alias("page"), F.any_value("text").alias("text"), F.sum("n").alias("n")
     )
     soft = F.when(F.octet_length("text") != F.length("text"), F.regexp_replace("text", "­(?=[ \\t]*[\\r\\n])", "-")).otherwise(F.col("text"))
     units = canonicalize(canonicalize(rows.withColumn("text", soft), "text", "text"), "document", "document")
@@ -522,8 +525,11 @@ def _fields(df: DataFrame, document: str, page: str, columns: list[str], keep: l
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns))
     rows = df.select(*keep, F.col(document).cast("string").alias("document"), F.col(page).cast("string").alias("page"), F.explode(fields).alias("f"))
     rows = rows.select(*keep, "document", "page", "f.field", "f.text").where("text <> ''")
-    marked = F.concat_ws("\x1f", F.coalesce("document", F.lit("\x00")), F.coalesce("page", F.lit("\x00")), "text")
-    return rows.withColumn("unit", F.unhex(F.md5(marked)))
+    return rows.withColumn("unit", _digest())
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce("document", F.lit("\x00")), F.coalesce("page", F.lit("\x00")), "text")))
 
 
 def noisy_units(units: DataFrame) -> DataFrame:
