@@ -190,7 +190,7 @@ def test_estimate_equals_loops_and_finds_planted_quality(spark):
     rng = random.Random(12)
     planted = {"expert": (0.95, 0.97), "clerk": (0.7, 0.9), "machine": (0.8, 0.6), "old log": (0.4, 0.8)}
     claims = []
-    for g in range(400):
+    for g in range(200):
         true, false = [f"t{i}" for i in range(rng.choice([1, 1, 2]))], ["f0", "f1"]
         for s, (sens, spec) in planted.items():
             claims += [(g, s, v) for v in true + false if rng.random() < (sens if v[0] == "t" else 1 - spec)]
