@@ -372,3 +372,73 @@ def test_similarity_of_tables_is_the_stated_mix(spark):
     left, right = spark.createDataFrame([("d", "l", h) for h in "abc"], schema), spark.createDataFrame([("d", "r", h) for h in "abd"], schema)
     score = diff.table_similarity(left, right, ["document_id"]).head()["score"]
     assert score == pytest.approx(0.75 * 0.5 + 0.25 * SequenceMatcher(None, "a | b | c", "a | b | d").ratio())
+
+
+def test_places_in_a_queue(spark):
+    from lodestrata.operators.skew import numbered
+
+    rng = random.Random(4)
+    rows = [("hot", i) for i in rng.sample(range(10_000), 3000)] + [(f"d{i % 9}", i) for i in range(200)] + [(None, 5), (None, 2)]
+    rng.shuffle(rows)
+    got = numbered(spark.createDataFrame(rows, "d STRING, id INT").withColumn("extra", F.lit(1)), "d", ["id"], "place").collect()
+    want = {}
+    for d in {d for d, _ in rows}:
+        for n, i in enumerate(sorted(i for x, i in rows if x == d), 1):
+            want[d, i] = n
+    assert {(r["d"], r["id"]): r["place"] for r in got} == want and len(got) == len(rows)
+
+
+def test_targets_by_place_then_by_text(spark):
+    place = "document STRING, page STRING, table_index INT, row_index INT, column_index INT, original STRING, source STRING"
+    cells = [("d", "1", 1, 1, 1, "a", "a", 10), ("d", "1", 1, 1, 1, "b", "b", 11), ("d", "1", 1, 1, 2, "twice", "twice", 12), ("d", "2", 1, 1, 2, "twice", "twice", 13), ("d", "2", 1, 3, 3, "once", "once", 14), ("e", "1", 1, 1, 1, "alone", "alone", 15), (None, None, None, None, None, "", "", 16)]
+    items = [
+        (1, "d", "1", 1, 1, 1, "b", "", ("coordinates+evidence", 11)), (2, "d", "1", 1, 1, 1, "z", "", ("coordinates", 10)), (3, "d", "9", 1, 1, 1, "once", "", ("evidence", 14)),
+        (4, "d", "9", 1, 1, 1, "twice", "", ("none", None)), (5, "d", "1", 0, 1, 1, "", "once", ("evidence", 14)), (6, "d", "1", None, None, None, "once", "other", ("none", None)),
+        (7, "e", "9", None, None, None, "", "", ("evidence", 15)), (8, None, None, None, None, None, "", "", ("none", None)),
+    ]
+    df = spark.createDataFrame([r[:8] for r in items], f"id INT, {place}")
+    got = review.find_targets(df, spark.createDataFrame(cells, f"{place}, cell_id INT"), "id", "cell_id").collect()
+    assert {r["id"]: (r["tier"], r["cell"]) for r in got} == {r[0]: r[8] for r in items}
+    assert review.find_targets(df, spark.createDataFrame([], f"{place}, cell_id INT"), "id", "cell_id").where("tier <> 'none'").count() == 0
+
+
+def test_actions_of_people(spark):
+    rows = [decision(i, "orig", "src", None) for i in range(1, 7)]
+    actions = [(1, "USER_CONFIRMED_ORIGINAL", None, 1), (2, "user_confirmed_source ", "x", 1), (3, "USER_ENTERED_CORRECTION", " new  text", 1), (4, "USER_ENTERED_CORRECTION", " ", 1), (5, "SKIP", None, 1), (5, "USER_CONFIRMED_ORIGINAL", None, 0), (None, "USER_CONFIRMED_ORIGINAL", None, 1), (99, "USER_CONFIRMED_ORIGINAL", None, 1)]
+    got = review.apply_actions(spark.createDataFrame(rows, DECISION), spark.createDataFrame(actions, "decision_id BIGINT, action STRING, text STRING, at INT"), "decision_id").collect()
+    kept = (None, None, "EXACT_CASE_REUSED", None)
+    assert {r["decision_id"]: (r["human_decision"], r["verified_text"], r["decision"], r["previous_status"]) for r in got} == {
+        1: ("USER_CONFIRMED_ORIGINAL", "orig", "USER_CONFIRMED_ORIGINAL", "EXACT_CASE_REUSED"), 2: ("USER_CONFIRMED_SOURCE", "src", "USER_CONFIRMED_SOURCE", "EXACT_CASE_REUSED"),
+        3: ("USER_ENTERED_CORRECTION", "new text", "USER_ENTERED_CORRECTION", "EXACT_CASE_REUSED"), 4: kept, 5: kept, 6: kept,
+    }
+
+
+def test_local_rules_and_edits_keep_to_their_guards(spark):
+    wrong = [decision(i, f"{a}0{b}", f"{a}O{b}", "USER_CONFIRMED_SOURCE", d) for i, (a, b, d) in enumerate([("AB", "CD", "d"), ("XY", "ZW", "e"), ("KL", "MN", "d")])]
+    rules = learn.learn_rules(spark.createDataFrame(wrong, DECISION))
+    assert {(r["family"], r["verdict"]) for r in rules.where("family IN ('local', 'character_edit')").collect()} == {("local", "promoted"), ("character_edit", "promoted")}
+    open_ = [
+        decision(10, "QQ0QQ", "QQOQQ", None), decision(11, "longer text 0 0", "longer text 0 0", None), decision(12, "a 0 b", "a 0 b", None), decision(13, "a x b", "a 0 b", None),
+        decision(14, "a O b", "a 0 b", None), decision(15, "QQ0Q0", "QQOQO", None), decision(16, "a 0", "a 0 b", None), decision(17, None, "0", None), decision(18, "", "", None),
+    ]
+    got = {r["decision_id"]: (r["family"], r["verified_text"]) for r in learn.apply_rules(spark.createDataFrame(open_, DECISION), "decision_id", rules).collect()}
+    # two places, another character, an original that is right already, other lengths and blanks: no edit
+    assert got.pop(10)[1] == "QQOQQ" and got.pop(12) == ("character_edit", "a O b") and got == {}
+
+
+def test_helpers_of_pages(spark):
+    import pandas as pd
+
+    from lodestrata.functions import text
+    from lodestrata.sources import documents
+
+    merged = geometry.merge_regions(pd.DataFrame([(0, 0, 100, 50), (10, 90, 110, 150), (0, 400, 100, 450), (300, 0, 400, 50)], columns=["x1", "y1", "x2", "y2"]))
+    assert sorted(map(tuple, merged.to_numpy().tolist())) == [(0, 0, 110, 150), (0, 400, 100, 450), (300, 0, 400, 50)]
+    df = spark.createDataFrame([("See Figure 3 of it",), ("figurative",), (None,), ("x" * 30,)], "t STRING")
+    assert [tuple(r) for r in df.select(text.is_figure_caption(F.col("t")), text.compact(F.col("t"), 10)).collect()] == [(True, "See Figur…"), (False, "figurative"), (False, None), (False, "x" * 9 + "…")]
+    pairs = spark.createDataFrame([("5 . 0", "5.0"), ("a", "b")], "a STRING, b STRING")
+    assert [r["a"] for r in verify.escalated(pairs, "a", "b").collect()] == ["a"]
+    blocks = [("d", 1, r * 3 + c, [c * 100.0, r * 60.0, c * 100 + 60.0, r * 60 + 20.0], "t") for r in range(2) for c in range(3)] + [("d", 2, 90, [0.0, 0.0, 9.0, 9.0], "t")]
+    got = documents.geometry_tables(spark.createDataFrame(blocks, "document STRING, page INT, block_id INT, bbox ARRAY<DOUBLE>, text STRING"), ["document", "page"]).collect()
+    assert {(r["page"], r["row_number"], r["column_number"]) for r in got} == {(1, r, c) for r in (1, 2) for c in (1, 2, 3)}
+    assert documents.recovered(spark, [("d", "1", "o", "s", "v", "x")]).head()["verified_text"] == "v"
