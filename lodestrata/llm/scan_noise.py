@@ -158,6 +158,7 @@ class Reader:
         self._by_strokes: dict[str, list[str]] = {}
         for word in vocabulary:
             self._by_strokes.setdefault(strokes(word), []).append(word)
+        self._sizes = {len(w) for w, n in vocabulary.items() if n >= KNOWN_TEXTS}
         self._corrected: dict[str, str | None] = {}
 
     def known(self, word: str) -> bool:
@@ -210,7 +211,8 @@ class Reader:
     def _apart(self, token: str) -> str | None:
         """Two words run together, one of them misread."""
         found = None
-        for i in range(2, len(token) - 1):
+        n = len(token)
+        for i in sorted({i for size in self._sizes for i in (size, n - size) if 2 <= i <= n - 2}):
             a, b = token[:i], token[i:]
             if self.known(a) and self.known(b):
                 return None
@@ -410,7 +412,10 @@ def corrections(parts: DataFrame, words: DataFrame, index: DataFrame) -> DataFra
     known = words.where(F.col("texts") >= KNOWN_TEXTS).select(F.col("word").alias("core"), F.lit(True).alias("known"))
     asked = parts.select("part", _core(F.col("part")).alias("core")).join(known, "core", "left")
     low, core, n = F.col("part"), F.col("core"), F.length("core")
-    cuts = F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2)))
+    # one of two words run together is known: a part is cut only where a piece has the length of a known word
+    lengths = [r[0] for r in known.select(F.length("core")).distinct().collect()]  # as many as words have lengths
+    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
+    cuts = F.filter(F.array_union(sizes, F.transform(sizes, lambda i: n - i)), lambda i: (i >= 2) & (i <= n - 2))
     pieces = F.flatten(F.transform(cuts, lambda i: F.array(F.substring(core, F.lit(1), i), F.substring(core, i + 1, n - i))))
     apart = F.when(F.col("known").isNull() & (n > 7), pieces).otherwise(F.array().cast("array<string>"))
     forms = asked.select("part", F.explode(F.array_distinct(F.concat(F.array(low, core), apart))).alias("form"))
