@@ -208,6 +208,13 @@ def high_risk_symbols(c: Column) -> Column:
     return _distinct_characters(c, f"[{HIGH_RISK}]")
 
 
+def special_signature(c: Column) -> Column:
+    """The code points of a text's signs, marks and punctuation beyond ASCII, in the order they come."""
+    found = F.regexp_extract_all(squash(c), F.lit(r"[\p{S}\p{P}\p{M}&&[^\x00-\x7f]]"), F.lit(0))
+    code = lambda s: F.hex(F.ascii(s))
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit("U+"), F.when(F.length(code(s)) < 4, F.lpad(code(s), 4, "0")).otherwise(code(s)))), "|")
+
+
 def is_technical(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(TECHNICAL)
 

@@ -38,7 +38,7 @@ def w7_event_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g8_event_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """G8, W11 in one dimension: groups of a user's events with gaps of two hours or less."""
+    """W11 in one dimension: groups of a user's events with gaps of two hours or less."""
     events = table(spark, folder, "events").withColumn("place", F.struct("ts", "event_id"))
     seconds = F.col("ts").cast("timestamp").cast("double")
     gap = seconds - F.lag(seconds).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -71,7 +71,7 @@ def h6_part_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snk8_text_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """SNK8, F24: documents by the hash of their text, with the number that share it."""
+    """documents by the hash of their text, with the number that share it."""
     texts = table(spark, folder, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     return texts.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 

@@ -77,7 +77,7 @@ def f21_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f22_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """how alike the two witnesses of a decision are; equal pairs don't reach the UDF."""
+    """how alike the two witnesses of a decision are; equal pairs don't reach the UDF."""
     pairs = table(spark, folder, "manual_review_decisions").where("original_text IS NOT NULL AND source_text IS NOT NULL")
     a, b = text.engine_text(F.col("original_text")), text.engine_text(F.col("source_text"))
     pairs = pairs.select("decision_id", a.alias("a"), b.alias("b"))
@@ -86,6 +86,19 @@ def f22_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return same.unionByName(pairs.where("a <> b").join(other, ["a", "b"]).select("decision_id", "ratio"))
 
 
+def f20_edit_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """edit scripts that lead from the original to the source text of decisions, by how often; distinct pairs only reach the UDF."""
+    pairs = table(spark, folder, "manual_review_decisions").select(text.squash(F.col("original_text")).alias("a"), text.squash(F.col("source_text")).alias("b")).where("a <> b")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("script", udfs.edits("a", "b"))
+    return counted.groupBy("script").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def f37_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """values of the value index by the signature of their special characters."""
+    values = table(spark, folder, "value_index").groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("signature", text.special_signature(F.col("value")))
+    return values.where("signature <> ''").groupBy("signature").agg(F.sum("n").alias("n"))
+
+
 def f24_stable_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Stable ids of table cells, entity ids of their values, numbers as doubles."""
     c = F.col
@@ -330,6 +343,8 @@ SQL = {
     + _PROFILE
     + f""" SELECT DISTINCT ON (record_id) record_id, column_index, value, count(*) OVER (PARTITION BY record_id) AS n_candidates FROM field JOIN role USING (table_id, column_index)
       WHERE identifier_score >= 0.60 AND {q.squash("value")} <> '' ORDER BY record_id, identifier_score DESC, column_index""",
+    "f37_signatures": f"""WITH v AS (SELECT array_to_string(list_transform(regexp_extract_all({q.squash("value")}, '[\\p{{S}}\\p{{P}}\\p{{M}}]'), lambda c: CASE WHEN unicode(c) > 127 THEN printf('U+%04X', unicode(c)) END), '|') AS signature FROM value_index)
+      SELECT signature, count(*) AS n FROM v WHERE signature <> '' GROUP BY 1""",
     "j22_record_identifiers": q.FIELDS
     + _PROFILE
     + f""" SELECT record_id, {q.label("header")} AS header, arg_max({q.fold("value")}, (column_index, {q.fold("value")})) AS value FROM field JOIN role USING (table_id, column_index)

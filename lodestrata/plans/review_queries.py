@@ -55,7 +55,7 @@ def j6_table_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s1_index_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """S1, SNK5: the current records merged with the previous index; documents without current records are historical."""
+    """The current records merged with the previous index; documents without current records are historical."""
     rows = table(spark, folder, "records").select("record_id", "document_id", "page", "table_id", "source_status").distinct()
     current = rows.where("source_status = 'CURRENT'")
     merged = merge.merge_index(rows, current)
@@ -63,7 +63,7 @@ def s1_index_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s2_state_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """S2, SNK8: first against last state of every occurrence, by content hash."""
+    """First against last state of every occurrence, by content hash."""
     rows = table(spark, folder, "value_index").withColumn("sha", F.sha2(F.concat_ws("\u001f", F.coalesce("value", F.lit("")), F.coalesce("verification_status", F.lit(""))), 256))
     state = lambda f: rows.groupBy("occurrence_id").agg(f("sha", F.struct("loaded_at", "sha")).alias("sha"))
     return merge.state_diff(state(F.min_by), state(F.max_by), "occurrence_id", "sha")
@@ -79,14 +79,14 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s6_insert_absent(spark: SparkSession, folder: str) -> DataFrame:
-    """S6, SRC15: ledger lines that the decisions lack, by document, page and texts."""
+    """Ledger lines that the decisions lack, by document, page and texts."""
     base = table(spark, folder, "manual_review_decisions").select("decision_id", *_LEDGER).withColumn("page", text.page_key(F.col("page")))
     keys = ["document", "page", "original_text", "source_text", "verified_text", "decision"]
     return merge.insert_absent(base, _lines(spark, folder), keys).select("decision_id")
 
 
 def s7_ledger_union(spark: SparkSession, folder: str) -> DataFrame:
-    """S7, SRC11: entries of both ledgers in one shape, identical ones once, counted per decision."""
+    """Entries of both ledgers in one shape, identical ones once, counted per decision."""
     base = table(spark, folder, "manual_review_decisions").select("decision_id", *_LEDGER).withColumn("page", text.page_key(F.col("page")))
     return merge.ledger_union(base, _lines(spark, folder)).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document").alias("n_documents"))
 
@@ -103,7 +103,7 @@ def agg20_verification_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_engine_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """Agreement of two readings of a cell, the ratio of distinct pairs only."""
+    """Agreement of two readings of a cell, the ratio of distinct pairs only."""
     from lodestrata.functions.udfs import similarity
 
     a, b = text.engine_text(F.col("original_text")), text.engine_text(F.col("source_text"))
@@ -159,7 +159,7 @@ def j11_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j16_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The tier that answers each open item; high-risk items stay open."""
+    """The tier that answers each open item; high-risk items stay open."""
     return review.answer_items(*_review(spark, folder), "decision_id")
 
 
@@ -170,13 +170,13 @@ def w7_current(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w8_authoritative(spark: SparkSession, folder: str) -> DataFrame:
-    """The decision with the greatest authority for each place."""
+    """The decision with the greatest authority for each place."""
     rows = review.normalised(table(spark, folder, "manual_review_decisions"))
     return review.authoritative(rows, "decision_id").select("decision_id", "weight")
 
 
 def w12_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """Open places per document in their order, skipped places left out."""
+    """Open places per document in their order, skipped places left out."""
     rows = review.normalised(table(spark, folder, "manual_review_decisions")).select(*review.LOCATION, "decision_id", "previous_status", "is_human", "verified_text", "recovered_from_historical_log")
     open_ = rows.where(~F.col("is_human"))
     old = F.coalesce("recovered_from_historical_log", F.lit(False))
@@ -223,7 +223,7 @@ def k10_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j18_distinct_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs that no cell in the same place repeats."""
+    """Paragraphs that no cell in the same place repeats."""
     rows = review.normalised(table(spark, folder, "manual_review_decisions"))
     left, right = rows.where("object_type = 'PARAGRAPH'"), rows.where("object_type = 'TABLE_CELL'")
     return review.without_repeated_paragraphs(left, right, "decision_id").select("decision_id")
@@ -298,7 +298,7 @@ def agg15_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k7_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Fields of an entity for which its records disagree."""
+    """K7: fields of an entity for which its records disagree."""
     return query.conflicts(_questions(spark, folder)[2])
 
 
@@ -320,7 +320,7 @@ def g1_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g3_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Boxes of a page that cover more than half of the smaller one, counted per page; equal boxes are taken once."""
+    """Boxes of a page that cover more than half of the smaller one, counted per page; equal boxes are taken once."""
     rows = _blocks(spark, folder).where("bbox IS NOT NULL").groupBy("document", "page", "bbox").agg(F.min("decision_id").alias("id"))
     other = rows.select("document", "page", F.col("bbox").alias("box"), F.col("id").alias("other"))
     pairs = rows.join(other, ["document", "page"]).where((F.col("id") < F.col("other")) & (geometry.overlap_of_smaller(F.col("bbox"), F.col("box")) > 0.5))
@@ -328,7 +328,7 @@ def g3_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g6_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Row and column of every block on its page."""
+    """Row and column of every block on its page."""
     return geometry.grid_of_blocks(_blocks(spark, folder), ["document", "page"], "decision_id")
 
 
@@ -405,7 +405,7 @@ def w11_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w14_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Upper median and percentiles of block heights per page."""
+    """Upper median and percentiles of block heights per page."""
     heights = _blocks(spark, folder).where("bbox IS NOT NULL").groupBy("document", "page").agg(F.collect_list(F.round(F.col("bbox")[3] - F.col("bbox")[1], 3)).alias("h"))
     rank = lambda s, n: geometry.upper_rank(F.col("h"), s).alias(n)
     return heights.select("document", "page", rank(0.5, "p50"), rank(0.75, "p75"), rank(0.95, "p95"))
@@ -417,13 +417,13 @@ def agg11_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agg14_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG14, SNK11: fields of records of which the value index has the cell, per document."""
+    """AGG14: fields of records of which the value index has the cell, per document."""
     place = ["document_id", "table_id", "source_row_index", "column_index"]
     return quality.coverage(fields_of(spark, folder), table(spark, folder, "value_index"), place, "document_id")
 
 
 def p7_lost_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Decisions with an empty text whose box a text on the same page covers."""
+    """Decisions with an empty text whose box a text on the same page covers."""
     blocks = _blocks(spark, folder)
     return quality.empty_cells_with_evidence(blocks, blocks, ["document", "page"], "decision_id").select("decision_id")
 

@@ -442,3 +442,70 @@ def test_helpers_of_pages(spark):
     got = documents.geometry_tables(spark.createDataFrame(blocks, "document STRING, page INT, block_id INT, bbox ARRAY<DOUBLE>, text STRING"), ["document", "page"]).collect()
     assert {(r["page"], r["row_number"], r["column_number"]) for r in got} == {(1, r, c) for r in (1, 2) for c in (1, 2, 3)}
     assert documents.recovered(spark, [("d", "1", "o", "s", "v", "x")]).head()["verified_text"] == "v"
+
+
+def verdict_of(original, source, paragraph):
+    """The verification of two readings by plain Python, for comparison with the column rules."""
+    import re
+    import unicodedata
+    from difflib import SequenceMatcher
+
+    from lodestrata.functions import text
+
+    garbled = text.mojibake()
+    squash = lambda t: " ".join((t or "").split())
+
+    def comparison(t):
+        t = squash(t)
+        if any(c in t for c in "ÂÃÎÏâ℃"):
+            for old, new in garbled:
+                t = t.replace(old, new)
+            t = t.replace("°℃", "°C").replace("℃", "°C")
+        for old, new in (("μm", "µm"), ("um", "µm"), ("Ohm", "Ω"), ("ohm", "Ω")):
+            t = t.replace(old, new)
+        t = re.sub(f"[{text.DASHES}]", "-", t)
+        t = re.sub(r"(?<=[0-9])\s*\.\s*(?=[0-9])", ".", t)
+        t = re.sub(r"\s*%(?=\w)", "%", re.sub(r"\s*°\s*C\b", " °C", t))
+        return squash(t).lower().replace("ß", "ss").replace("ς", "σ").replace("µ", "μ")
+
+    tight = lambda t: re.sub(r"(?<=[0-9])\s*\.\s*(?=[0-9])", ".", t or "")
+    standalone = r"(?<![A-Za-z_])[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?![A-Za-z_])"
+    numbers = lambda t: [float(x) for x in re.findall(standalone, tight(t))]
+    moji = lambda t: any(g in (t or "") for g, _ in garbled)
+    technical = lambda t: any(unicodedata.category(c)[0] not in "LN" and not c.isspace() and c not in text.SEPARATORS for c in t or "")
+    risky = lambda t: moji(t) or any(c in text.HIGH_RISK for c in t or "")
+
+    def identifier(t):
+        t = t or ""
+        return bool(re.search("[A-Za-z]", t) and re.search("[0-9]", t) and (re.search(r"[_:/.\-]", t) or re.search("[A-Za-z][0-9]|[0-9][A-Za-z]", t)))
+
+    a, b = comparison(original), comparison(source)
+    if b == "":
+        return "SOURCE_EMPTY"
+    if a == b:
+        return "HIGH_RISK_AGREEMENT_REVIEW" if moji(original) or moji(source) else "SOURCE_VERIFIED"
+    if any(f(t) for f in (risky, technical) for t in (original, source)):
+        return "HIGH_RISK_SYMBOL_REVIEW"
+    if not paragraph and (identifier(original) or identifier(source)):
+        return "SOURCE_DISAGREEMENT"
+    x, y = numbers(original), numbers(source)
+    if len(x) != len(y) or any(abs(i - j) > 1e-12 for i, j in zip(x, y, strict=True)):
+        return "NUMERIC_DISAGREEMENT"
+    frame = lambda t: squash(re.sub(standalone, "#", tight(t))).lower()
+    if not paragraph and frame(original) == frame(source):
+        return "SOURCE_VERIFIED_CLOSE"
+    return "SOURCE_VERIFIED_CLOSE" if SequenceMatcher(None, a, b).ratio() >= 0.85 else "SOURCE_DISAGREEMENT"
+
+
+def test_verification_equals_plain_python_over_all_decisions(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    try:
+        ledger = spark.read.parquet(f"{folder}/manual_review_decisions.parquet").select("decision_id", "original_text", "source_text").collect()
+    except Exception:
+        pytest.skip("no test tables")
+    texts = {r["decision_id"]: (r["original_text"], r["source_text"]) for r in ledger}
+    got = entry.queries()["op_p3_rules"](spark, folder).collect()
+    wrong = [(texts[r["decision_id"]], r["verification"], want) for r in got if r["verification"] != (want := verdict_of(*texts[r["decision_id"]], r["kind"] == "PARAGRAPH"))]
+    assert wrong[:3] == [] and len(got) == len(ledger) and len({r["verification"] for r in got}) >= 4
