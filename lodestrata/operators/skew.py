@@ -25,17 +25,25 @@ def hot_hashes(df: DataFrame, keys: list[str], rows: int = HOT_ROWS, most: int =
     return [x["item"] for x in found["top"] or [] if x["count"] >= 0.8 * max(rows, found["n"] / most)]
 
 
-def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
+def hot_counted(counted: DataFrame, keys: list[str], n: str, total: int, rows: int = HOT_ROWS, most: int = HOT_KEYS) -> list[int]:
+    """``hot_hashes`` where the rows of each key are counted already, in ``n``; ``total`` rows in all."""
+    return [r[0] for r in counted.where(F.col(n) >= max(rows, total / most)).select(_hash(keys)).distinct().collect()]  # at most ``most``
+
+
+def skew_lookup(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int = HOT_ROWS, most: int = HOT_KEYS, heavy: list[int] | None = None
+) -> DataFrame:
     """``left.join(right, keys, how)`` for a ``right`` that is unique on ``keys``.
 
     Rows of hot keys never move: their matches (at most ``most`` rows, so the
     broadcast is bounded) travel to them. All other keys take the shuffled join, and
     without hot keys all rows do. Null keys match nothing and follow ``how`` (kept
-    by ``left`` and ``left_anti``).
+    by ``left`` and ``left_anti``). ``heavy``: the hashes of the hot keys, where they
+    are known.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    heavy = hot_hashes(left, keys, rows, most)
+    heavy = hot_hashes(left, keys, rows, most) if heavy is None else heavy
     if not heavy:
         return left.join(right, keys, how)
     hot = F.coalesce(_hash(keys).isin(heavy) & _all_set(keys), F.lit(False))

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestrata.operators import dewey, orphans
+from lodestrata.operators import skew
 from lodestrata.operators.skew import skew_lookup
 
 T = lambda month, day=1: dt.datetime(2024, month, day)
@@ -60,6 +61,17 @@ def test_skew_lookup_equals_a_join(spark):
             assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), (how, most)
 
 
+def test_hot_keys(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(300)] + [(None, 0)] * 400 + [(f"k{i}", i) for i in range(500)], "k STRING, n INT")
+    counted = df.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    hot = df.where("k = 'hot'").select(F.xxhash64("k")).head()[0]
+    assert skew.hot_hashes(df, ["k"], 200, 100) == [hot] and skew.hot_counted(counted.where("k IS NOT NULL"), ["k"], "c", 1200, 200, 100) == [hot]
+    assert skew.hot_hashes(df, ["k"]) == [] and skew.hot_hashes(df.limit(0), ["k"], 1, 1) == []
+    right = spark.createDataFrame([("hot", "x"), ("k1", "y")], "k STRING, v STRING")
+    split = skew_lookup(df, right, ["k"], "left", heavy=[hot])
+    assert sorted(map(str, split.collect())) == sorted(map(str, df.join(right, ["k"], "left").select(split.columns).collect()))
+
+
 def test_shred_typed_columns(spark):
     df = spark.createDataFrame([("a", [{"f": [{"v": "1"}, None, {"v": "2"}]}, None, {"f": None}, {"f": []}]), ("b", None), ("c", []), (None, [{"f": [{"v": None}]}])], "id STRING, items ARRAY<STRUCT<f: ARRAY<STRUCT<v: STRING>>>>")
     tables = dewey.shred(df, F.col("id"), "items")
