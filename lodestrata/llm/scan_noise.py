@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from lodestrata.llm.canonical import canonical_text, canonicalize
 from lodestrata.llm.duplicates import page_number
-from lodestrata.operators.skew import skew_lookup
+from lodestrata.operators.skew import hot_counted, skew_lookup
 from lodestrata.session import materialize, ship
 
 #: ``running`` is a running line without the title of its document.
@@ -538,7 +538,7 @@ def _digest() -> Column:
 
 
 def noisy_units(units: DataFrame) -> DataFrame:
-    """(unit, kinds, repaired) of the units that have noise. ``units`` as ``text_units`` gives them, written."""
+    """(unit, n, kinds, repaired) of the units that have noise. ``units`` as ``text_units`` gives them, written."""
     ship(units.sparkSession)
     text = F.col("text")
     # tokens and vocabulary, over all units
@@ -562,13 +562,13 @@ def noisy_units(units: DataFrame) -> DataFrame:
     hits = held.join(F.broadcast(wrong) if few else wrong, "token").groupBy("unit").agg(F.collect_list(F.struct("part", "low", "word")).alias("fixes"))
     forms = stripped.select("unit", F.explode(F.array_distinct(F.concat("halves", "wholes", F.transform("wholes", _core)))).alias("form"))
     slices = _slices(forms, "unit", index)
-    both = units.select("unit", "text").join(hits, "unit", "left").join(stripped.select("unit", "kinds", "body"), "unit", "left")
+    both = units.select("unit", "n", "text").join(hits, "unit", "left").join(stripped.select("unit", "kinds", "body"), "unit", "left")
     both = both.where("fixes IS NOT NULL OR kinds IS NOT NULL").join(slices, "unit", "left")
     mended = _mend(
         F.coalesce(F.array_join("kinds", " "), F.lit("")), F.coalesce("body", "text"), F.coalesce(_joined("words", "word", "texts"), F.lit("")),
         F.coalesce(_joined("fixes", "part", "low", "word"), F.lit("")),
     )
-    done = both.select("unit", mended.alias("m")).select("unit", "m.kinds", "m.repaired").where("kinds <> ''")
+    done = both.select("unit", "n", mended.alias("m")).select("unit", "n", "m.kinds", "m.repaired").where("kinds <> ''")
     return done.withColumn("kinds", F.split("kinds", " "))
 
 
@@ -582,4 +582,7 @@ def read_noise(df: DataFrame, key: str, document: str, page: str, columns: list[
     units = materialize(text_units(df, document, page, columns), "units")
     noisy = materialize(noisy_units(units), "noisy")
     rows = _fields(df, document, page, columns, [key]).select(key, "field", "unit")
-    return skew_lookup(rows, noisy, ["unit"], "inner").select(key, "field", "kinds", "repaired")
+    # how many fields hold a unit is counted already
+    total = units.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    heavy = hot_counted(noisy, ["unit"], "n", total)
+    return skew_lookup(rows, noisy, ["unit"], "inner", heavy=heavy).select(key, "field", "kinds", "repaired")
