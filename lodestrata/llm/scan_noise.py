@@ -447,16 +447,17 @@ def edge_lines(units: DataFrame) -> DataFrame:
 
     Lines are compared in strokes without numbers; copies of a page count once.
     """
-    lines = F.filter(F.split("text", _LINE_BREAK), lambda x: F.trim(x) != "")
-    edges = F.array(F.struct(F.lit("t").alias("edge"), F.get("l", F.lit(0)).alias("line")), F.struct(F.lit("b").alias("edge"), F.get("l", F.size("l") - 1).alias("line")))
-    rows = units.select("unit", "document", page_number(F.col("page")).alias("page"), lines.alias("l")).where(F.size("l") > 1).select("unit", "document", "page", F.explode(edges).alias("e"))
-    shape = F.regexp_replace(strokes_of(F.regexp_replace("e.line", r"(?U)\b\d+\b", "#")), r"(?U)[^\w#]|_", "")
-    rows = rows.select("unit", "document", "page", "e.edge", shape.alias("shape"))
+    one = F.when(F.col("text").contains("\r"), F.regexp_replace("text", r"\r\n?", "\n")).otherwise(F.col("text"))
+    rows = units.select("unit", "document", page_number(F.col("page")).alias("page"), F.regexp_replace(one, r"(?U)^\s+|\s+$", "").alias("l")).where(F.col("l").contains("\n"))
+    line = lambda edge, at: F.struct(F.lit(edge).alias("edge"), F.substring_index("l", "\n", at).alias("line"))
+    rows = rows.select("unit", "document", "page", F.explode(F.array(line("t", 1), line("b", -1))).alias("e"))
+    shape = F.regexp_replace(strokes_of(F.regexp_replace("e.line", r"\b\d+\b", "#")), r"[^\p{L}\p{N}#]+", "")
+    rows = materialize(rows.select("unit", "document", "page", "e.edge", shape.alias("shape")), "edges")
     pages = rows.select("document", "page").distinct().groupBy("document").agg(F.count(F.lit(1)).alias("of"))
     long = rows.where(F.length(F.replace("shape", F.lit("#"), F.lit(""))) >= EDGE_LETTERS)
     seen = long.select("document", "edge", "shape", "page").distinct().groupBy("document", "edge", "shape").agg(F.count(F.lit(1)).alias("pages"))
     known = seen.where(F.col("pages") >= EDGE_PAGES).join(pages, "document").where(F.col("pages") >= EDGE_SHARE * F.col("of")).select("document", "edge", "shape")
-    hits = long.join(materialize(known, "edges"), ["document", "edge", "shape"], "left_semi")
+    hits = long.join(known, ["document", "edge", "shape"], "left_semi")
     return hits.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_set("edge")), "").alias("edges"))
 
 
